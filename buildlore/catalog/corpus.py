@@ -95,7 +95,7 @@ _STAMP = """CASE event_id % 7 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') W
 
 
 @query("a9_coerce_types", "event_id bigint, moment timestamp, flag boolean",
-       f"""SELECT event_id, coalesce({", ".join(f"try_strptime(trim(s), '{f}')" for f in ["%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d"])}) AS at,
+       f"""SELECT event_id, coalesce({", ".join(f"try_strptime(trim(s), '{f}')" for f in ["%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d"])}) AS moment,
         event_id % 2 <> 0 AS flag FROM (SELECT event_id, {_STAMP} AS s FROM events)""")
 def a9(spark, sf):
     k = F.col("event_id") % 7

@@ -70,7 +70,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         regexp_split_to_array(content, '{WORD_BREAK}'), lambda w: length(w) >= 3)[1:6])) AS symbol FROM files"""),
     "code": (["files"], f"""SELECT repo_id, n,
         {text_list(CODE_DIRECTORIES)}[n % 3 + 1] || '/m' || n || {text_list(CODE_SUFFIXES)}[n % 8 + 1] AS path,
-        ({_CODE_TEXT}) || {_MARK} || array_to_string(regexp_split_to_array(content, '{LINE_BREAK}'), {_NL} || {_MARK}) || {_NL} AS content
+        ({_CODE_TEXT}) || {_MARK} || replace(array_to_string(regexp_split_to_array(content, '{LINE_BREAK}'), {_NL} || '@mark@'), '@mark@', {_MARK}) || {_NL} AS content
       FROM files"""),
     "manifests": (["files"], f"""SELECT repo_id, repeat('d/', n % 4) || 'x' || n ||
         CASE WHEN n % 25 = 6 THEN '/go.mod' ELSE '/Cargo.toml' END AS path,
