@@ -133,7 +133,7 @@ def c7(spark, sf):
 def dated_files(spark, sf):
     n, r = F.col("n"), F.substring("repo_id", 4, 9).cast("int")
     fs = B.file_table(spark, sf).filter(~((r % 6 == 0) & (n % 13 == 0)))
-    return fs.select("repo_id", "path", F.timestamp_add("DAY", F.floor(n / 3).cast("int"), F.lit("2020-01-01 00:00:00").cast("timestamp")).alias("ts"))
+    return fs.select("repo_id", "path", F.timestamp_add("DAY", F.floor(n / 3).cast("int"), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"))
 
 
 def histories(spark, sf):

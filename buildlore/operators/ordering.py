@@ -55,7 +55,7 @@ def tie_groups(tiers: DataFrame, first_seen: DataFrame, history: DataFrame) -> D
 
     Tier and group facts are aggregates joined back, so a tier that holds a third of all files is never one task's work.
     """
-    seen = first_seen.select("repo_id", "path", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    seen = first_seen.select("repo_id", "path", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).alias("at"))
     usable = first_seen.select("repo_id").distinct().join(history, "repo_id").filter(F.col("available") & (F.col("confidence") != "reduced"))
     files = tiers.join(seen, ["repo_id", "path"], "left").join(usable.select("repo_id", F.lit(True).alias("usable")), "repo_id", "left")
     files = attach_counts(files, TIER, tier_size=F.count(F.lit(1)), dated=F.count("at"), oldest=F.min("at"), newest=F.max("at"))

@@ -23,7 +23,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def now() -> Column:
-    return F.lit(NOW).cast("timestamp")
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def seconds_of(ts: Column) -> Column:
+    """Seconds since 1970 of a zoneless timestamp, fractions kept."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts) / F.lit(1e6)
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -188,7 +193,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
-        "event_id", (F.col("user_id") % 15).alias("key"), (F.unix_micros("ts") / F.lit(1e6) / F.lit(600.0)).alias("t")
+        "event_id", (F.col("user_id") % 15).alias("key"), (seconds_of(F.col("ts")) / F.lit(600.0)).alias("t")
     )
 
 
@@ -223,7 +228,7 @@ REPO_NOW = "1998-01-01 00:00:00"
 
 
 def repo_now() -> Column:
-    return F.lit(REPO_NOW).cast("timestamp")
+    return F.lit(REPO_NOW).cast("timestamp_ntz")
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:
