@@ -164,4 +164,4 @@ def failures(spark, sf):
 @query("w6_failure_bursts", "id bigint, recent bigint, breach boolean",
        f"WITH {FAILURES_SQL} SELECT id, count(*) OVER w AS recent, count(*) OVER w >= 25 AS breach FROM failures WINDOW w AS (ORDER BY t RANGE BETWEEN 60 PRECEDING AND CURRENT ROW)")
 def w6(spark, sf):
-    return L.trailing_counts(failures(spark, sf), ["key"], 60.0, 25)
+    return L.trailing_counts(failures(spark, sf), ["key"], 60, 25)

@@ -44,7 +44,7 @@ def t3(spark, sf):
        f(rn, id, alert, last) AS (SELECT rn, id, true, t FROM b WHERE rn = 1 UNION ALL SELECT b.rn, b.id, b.t - f.last >= 10, CASE WHEN b.t - f.last >= 10 THEN b.t ELSE f.last END FROM f JOIN b ON b.rn = f.rn + 1)
        SELECT id, alert FROM f""")
 def t4(spark, sf):
-    breaches = L.trailing_counts(failures(spark, sf), ["key"], 60.0, 25).filter("breach").select("id", "key", "t")
+    breaches = L.trailing_counts(failures(spark, sf), ["key"], 60, 25).filter("breach").select("id", "key", "t")
     return fold.alerts(breaches)
 
 

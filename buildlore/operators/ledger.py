@@ -194,7 +194,7 @@ def latency_report(logs: DataFrame, keys: list[str], wall_seconds: float) -> Dat
         "throughput", F.bround(F.col("total") / F.lit(wall_seconds), 2))
 
 
-def trailing_counts(failures: DataFrame, keys: list[str], seconds: float = 60.0, threshold: int = 5) -> DataFrame:
+def trailing_counts(failures: DataFrame, keys: list[str], seconds: int = 60, threshold: int = 5) -> DataFrame:
     """failures(keys..., id, t) plus how many fell in the trailing window, and whether that is a breach.
 
     Time is cut into slices of one window length; each row is also shown to the next slice, so a slice can be counted
