@@ -165,20 +165,20 @@ GROUPS_SQL = f"""{CLASSIFIED}, rn AS (SELECT repo_id, path, n, CAST(substr(repo_
  tg AS (SELECT *, CASE WHEN by_history THEN day ELSE -1 END AS gkey FROM tw),
  grouped AS (SELECT *, count(*) OVER g AS group_size, min(prio) OVER g <> max(prio) OVER g AS mixed FROM tg WINDOW g AS (PARTITION BY repo_id, tier_index, gkey)),
  refined AS (SELECT *, CASE WHEN tier_size = 1 THEN 'none' WHEN by_history AND group_size = 1 THEN 'history' WHEN mixed THEN 'heuristic' ELSE 'unresolved' END AS method FROM grouped)"""
-SCORED_SQL = f"""{GROUPS_SQL}, scored AS (SELECT repo_id, path, tier_index, is_cyclic, domain, method,
+SCORED_SQL = f"""{GROUPS_SQL}, scored AS (SELECT repo_id, path, tier_index, is_cyclic, domain, method, (gkey, CASE WHEN method = 'heuristic' THEN prio ELSE 0 END, path) AS place,
   CASE WHEN is_cyclic OR (r % 4 <> 0 AND r % 5 = 0) OR method = 'unresolved' THEN 'low' WHEN method IN ('none', 'history') THEN 'high' ELSE 'medium' END AS confidence,
   CASE WHEN is_cyclic THEN 'cyclic cluster (circular dependency)' WHEN r % 4 <> 0 AND r % 5 = 0 THEN 'reduced history confidence (squashed or rebased commits)' WHEN method = 'unresolved' THEN 'unresolved tie within tier'
    WHEN method = 'none' THEN 'topology (hard dependency fact)' WHEN method = 'history' THEN 'topology + verified history' ELSE 'topology + domain heuristic tie-break' END AS reason FROM refined
-  UNION ALL SELECT f.repo_id, f.path, -1, false, c.domain, 'none', 'low', 'isolated, no internal dependency signal' FROM files f JOIN classified c USING (repo_id, path) WHERE NOT EXISTS (SELECT 1 FROM tiers t WHERE t.repo_id = f.repo_id AND t.path = f.path))"""
+  UNION ALL SELECT f.repo_id, f.path, -1, false, c.domain, 'none', (-1, 0, f.path), 'low', 'isolated, no internal dependency signal' FROM files f JOIN classified c USING (repo_id, path) WHERE NOT EXISTS (SELECT 1 FROM tiers t WHERE t.repo_id = f.repo_id AND t.path = f.path))"""
 
 
 def scored(spark, sf):
     """Every file with tier, domain, method, confidence and reason."""
     refined = O.break_ties(groups(spark, sf))
-    ranked = O.score(refined, histories(spark, sf)).select("repo_id", "path", "tier_index", "is_cyclic", "domain", "method", "confidence", "reason")
+    ranked = O.score(refined, histories(spark, sf)).select("repo_id", "path", "tier_index", "is_cyclic", "domain", "method", "confidence", "reason", "group_key", "rank")
     alone = O.score_isolated(G.isolated(B.file_table(spark, sf), B.edge_table(spark, sf)))
     domains = O.convention_domains(B.file_table(spark, sf)).select("repo_id", "path", "domain")
-    alone = alone.join(domains, ["repo_id", "path"]).withColumn("is_cyclic", F.lit(False))
+    alone = alone.join(domains, ["repo_id", "path"]).withColumns({"is_cyclic": F.lit(False), "group_key": F.lit(-1).cast("bigint"), "rank": F.lit(0)})
     return ranked.unionByName(alone.select(*ranked.columns))
 
 

@@ -105,6 +105,13 @@ VIEWS: dict[str, tuple[list[str], str]] = {
       FROM events"""),
 }
 
+_JOB_NODE = """'{"id": "src/a{i}.py", "tier": ' || ((o_orderkey + {i}) % 3) || ', "domain": "core", "exports": ["Foo' || o_orderkey || '", "bar{i}"], "source_code": "' || repeat('x = 1\\n', o_orderkey % 100) || '"}'"""
+_JOB_NODES = "'\"nodes\": [' || " + " || ', ' || ".join(_JOB_NODE.replace("{i}", str(i)) for i in range(3)) + " || ']'"
+VIEWS["jobs"] = ([], f"""SELECT o_orderkey AS id, o_custkey AS user_id, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'running' END AS status, o_orderdate AS created_at,
+    CASE o_orderkey % 6 WHEN 0 THEN '{{"architecture_overview": {{"total_files": ' || (o_orderkey % 50) || ', "total_loc": ' || (o_orderkey % 1000) || '}}, "total_files": 7, "total_loc": 99, ' || {_JOB_NODES} || '}}'
+      WHEN 1 THEN '{{"total_files": ' || (o_orderkey % 20) || ', "total_loc": ' || (o_orderkey % 500) || ', "nodes": []}}' WHEN 2 THEN '{{' || {_JOB_NODES} || '}}' WHEN 3 THEN '{{}}' WHEN 5 THEN 'not json' END AS graph_json,
+    CASE WHEN o_orderkey % 2 = 1 THEN '- **Total Analyzed Files**: `' || (o_orderkey % 90) || '`' || chr(10) || '### Milestone 1: a' || chr(10) || '### Milestone 2: b' || chr(10) END AS markdown FROM orders""")
+
 
 def with_views(names: str, body: str, recursive: bool = False) -> str:
     """Put the named views, and the ones they stand on, in front of a query that starts with SELECT or more CTEs."""

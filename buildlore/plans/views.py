@@ -251,3 +251,31 @@ def usage(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_type").isin("view", "click"), "repo_analysis").otherwise(F.col("event_type")).alias("event_type"),
         F.col("ts").alias("created_at"),
     )
+
+
+def _job_json(k: Column) -> Column:
+    s = text_of
+    code = F.repeat(F.lit("x = 1\\n"), (k % 100).cast("int"))
+
+    def node(i: int) -> Column:
+        tier = s((k + i) % 3)
+        return F.concat(F.lit(f'{{"id": "src/a{i}.py", "tier": '), tier, F.lit(', "domain": "core", "exports": ["Foo'), s(k), F.lit(f'", "bar{i}"], "source_code": "'), code, F.lit('"}'))
+
+    nodes = F.concat(F.lit('"nodes": ['), node(0), F.lit(", "), node(1), F.lit(", "), node(2), F.lit("]"))
+    return pick_column(k % 6, [
+        F.concat(F.lit('{"architecture_overview": {"total_files": '), s(k % 50), F.lit(', "total_loc": '), s(k % 1000), F.lit('}, "total_files": 7, "total_loc": 99, '), nodes, F.lit("}")),
+        F.concat(F.lit('{"total_files": '), s(k % 20), F.lit(', "total_loc": '), s(k % 500), F.lit(', "nodes": []}')),
+        F.concat(F.lit("{"), nodes, F.lit("}")),
+        F.lit("{}"),
+        F.lit(None).cast("string"),
+        F.lit("not json"),
+    ])
+
+
+def jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Finished analyses with their stored document: one per order, in six shapes, some unreadable."""
+    k = F.col("o_orderkey")
+    told = F.concat(F.lit("- **Total Analyzed Files**: `"), text_of(k % 90), F.lit("`\n### Milestone 1: a\n### Milestone 2: b\n"))
+    return table(spark, sf, "orders").select(
+        k.alias("id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"),
+        F.col("o_orderdate").alias("created_at"), _job_json(k).alias("graph_json"), F.when(k % 2 == 1, told).alias("markdown"))
