@@ -67,8 +67,14 @@ def _counted(df: DataFrame) -> tuple[DataFrame, str, int]:
     return _store(df.withColumn("changed", F.lit(True)))
 
 
+TRIM_WORTH = 0.1
+
+
 def trim(edges: DataFrame) -> tuple[DataFrame, str, int]:
-    """Drop edges that cannot lie on or between cycles: nothing enters their source or nothing leaves their target."""
+    """Drop edges that cannot lie on or between cycles: nothing enters their source or nothing leaves their target.
+
+    This only makes later rounds smaller, so it stops once a pass drops less than a tenth of what is left.
+    """
     spark = edges.sparkSession
     live, place, n = _counted(edges.select("repo_id", "source", "target"))
     while n:
@@ -78,8 +84,8 @@ def trim(edges: DataFrame) -> tuple[DataFrame, str, int]:
         smaller, where, m = _counted(kept.select("repo_id", "source", "target"))
         drop_table(spark, place)
         live, place = smaller, where
-        if m == n:
-            break
+        if n - m <= n * TRIM_WORTH:
+            return live, place, m
         n = m
     return live, place, n
 
@@ -154,21 +160,25 @@ def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:
 def longest_depth(dag: DataFrame, nodes: DataFrame) -> DataFrame:
     """(repo_id, path, depth) over an acyclic graph: 0 without prerequisites, else one more than the deepest of them.
 
-    Only vertices whose depth changed in the last round send anything, so a round costs what it moves.
+    A vertex has depth k or more exactly if it is a source among the edges whose target has depth k - 1 or more. Each
+    round keeps only those edges, so the graph shrinks and no per-vertex state is rewritten.
     """
     spark = dag.sparkSession
-    dag, dag_at = write_table(dag)
-    state, place, n = _store(nodes.select(*VERTEX, F.lit(0).alias("depth"), F.lit(True).alias("changed")))
+    live, place, n = _counted(dag.select("repo_id", "source", "target"))
+    levels, places, k = [], [place], 0
     while n:
-        news = state.filter("changed").select("repo_id", F.col("path").alias("target"), F.col("depth").alias("below"))
-        offers = dag.join(news, ["repo_id", "target"]).groupBy("repo_id", F.col("source").alias("path")).agg((F.max("below") + 1).alias("offer"))
-        raised = state.join(offers, VERTEX, "left").select(
-            *VERTEX, F.greatest("depth", F.coalesce("offer", F.lit(0))).alias("depth"), (F.coalesce("offer", F.lit(0)) > F.col("depth")).alias("changed"))
-        nxt, where, n = _store(raised)
-        drop_table(spark, place)
-        state, place = nxt, where
-    drop_table(spark, dag_at)
-    return state.drop("changed")
+        k += 1
+        levels.append(sources(live).withColumn("depth", F.lit(k)))
+        deep = live.select("repo_id", F.col("source").alias("target")).distinct()
+        live, place, n = _counted(live.join(deep, ["repo_id", "target"], "left_semi").select("repo_id", "source", "target"))
+        places.append(place)
+    reached = nodes.select(*VERTEX, F.lit(0).alias("depth"))
+    for level in levels:
+        reached = reached.unionByName(level)
+    out = write_table(reached.groupBy(*VERTEX).agg(F.max("depth").alias("depth")))[0]
+    for old in places:
+        drop_table(spark, old)
+    return out
 
 
 def number_tiers(nodes: DataFrame) -> DataFrame:
