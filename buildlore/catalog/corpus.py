@@ -75,7 +75,7 @@ _LOG = """SELECT l_orderkey, l_linenumber, l_partkey, 'h' || l_orderkey || '|' |
          CASE WHEN r LIKE 'R%' THEN string_split(r, chr(9))[3] ELSE string_split(r, chr(9))[2] END AS path,
          CASE WHEN r LIKE 'R%' THEN replace(string_split(r, chr(9))[2], '\\', '/') END AS old_path FROM flat""")
 def a4(spark, sf):
-    li = V.table(spark, sf, "lineitem")
+    li = V.spread(V.table(spark, sf, "lineitem"))
     t = V.text_of
     part = F.concat(F.lit("f"), t(F.col("l_partkey")))
     status = (
@@ -257,7 +257,7 @@ REDACT_SQL = f"""d AS (SELECT doc_id, {_SECRET_TEXT} AS t FROM documents), k AS
 
 def secret_docs(spark, sf):
     text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit(_SECRETS)).otherwise(F.lit("")))
-    return V.table(spark, sf, "documents").select("doc_id", text.alias("content"))
+    return V.spread(V.table(spark, sf, "documents")).select("doc_id", text.alias("content"))
 
 
 @query("f9_secret_redaction", "doc_id bigint, redaction_count bigint, digest string",

@@ -55,14 +55,13 @@ def g3(spark, sf):
 @query("g4_strong_components", "repo_id string, path string, scc string, size bigint",
        with_views("edges", f"WITH {SCC_SQL} SELECT repo_id, path, scc, size FROM scc", recursive=True))
 def g4(spark, sf):
-    return G.strongly_connected(B.edge_table(spark, sf))
+    return B.cycles(spark, sf)
 
 
 @query("g5_condensation", "repo_id string, source string, target string",
        with_views("edges", f"WITH {DAG_SQL} SELECT * FROM dag", recursive=True))
 def g5(spark, sf):
-    scc = B.tiers(spark, sf).filter("is_cyclic")
-    return G.condensation(B.edge_table(spark, sf), scc)
+    return G.condensation(B.edge_table(spark, sf), B.cycles(spark, sf))
 
 
 @query("g6_longest_depth", "repo_id string, path string, depth int",
@@ -78,8 +77,7 @@ def g6(spark, sf):
 @query("g7_tiers", "repo_id string, tier_index int, is_cyclic boolean, path string, pos bigint",
        tiers_query("edges", "SELECT repo_id, tier_index, is_cyclic, path, row_number() OVER (PARTITION BY repo_id, tier_index ORDER BY path) AS pos FROM tiers"))
 def g7(spark, sf):
-    made = G.tier_table(B.edge_table(spark, sf))
-    return ordered_positions(made, ["repo_id", "tier_index"], ["path"], "pos")
+    return ordered_positions(B.tiers(spark, sf), ["repo_id", "tier_index"], ["path"], "pos")
 
 
 # rows only: label propagation stands in for a one-machine community search; the unit tests hold it to a plain Python version

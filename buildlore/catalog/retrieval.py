@@ -62,9 +62,9 @@ def s4(spark, sf):
 @query("s5_hashed_embedding", "doc_id bigint, bucket int, value double",
        f"WITH {vectors_sql('documents', 'doc_id', 'text', 'vec')} SELECT doc_id, bucket, w / norm AS value FROM vec JOIN vec_norm USING (doc_id)")
 def s5(spark, sf):
-    docs = R.with_weights(V.table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
-    docs = docs.withColumn("n", R.norm(F.col("weights")))
-    return docs.select("doc_id", "n", F.posexplode("weights").alias("bucket", "w")).filter("w <> 0").select("doc_id", "bucket", (F.col("w").cast("double") / F.col("n")).alias("value"))
+    docs = R.with_weights(V.spread(V.table(spark, sf, "documents").select("doc_id", "text")), "text").drop("text")
+    unit = R.normalized(F.col("weights"))
+    return docs.select("doc_id", F.posexplode(unit).alias("bucket", "value")).filter("value <> 0")
 
 
 # questions: every benchmark text, asked of one repository; every third mentions a file of it

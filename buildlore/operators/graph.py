@@ -200,9 +200,9 @@ def number_tiers(nodes: DataFrame) -> DataFrame:
     )
 
 
-def tier_table(edges: DataFrame) -> DataFrame:
+def tier_table(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
     """(repo_id, path, scc, is_cyclic, depth, tier_index) of every connected file, from valid edges."""
-    scc = strongly_connected(edges)
+    scc = strongly_connected(edges) if scc is None else scc
     nodes = with_scc(vertices(edges), scc)
     units = nodes.select("repo_id", F.col("scc").alias("path")).distinct()
     depth = longest_depth(condensation(edges, scc), units)

@@ -31,6 +31,7 @@ def _follow(nodes: DataFrame) -> DataFrame:
     `ptr` is null at a chain's end. Pointers are doubled, so a chain of length L takes log2(L) rounds.
     """
     spark = nodes.sparkSession
+    nodes = write_table(nodes)[0]
     state, place = write_table(nodes.select("repo_id", "path", F.coalesce("ptr", "path").alias("ptr"), F.col("ptr").isNull().alias("end")))
     while True:
         nxt = state.select("repo_id", F.col("path").alias("ptr"), F.col("ptr").alias("jump"), F.col("end").alias("there"))
@@ -51,6 +52,7 @@ def propagate_renames(seen: DataFrame) -> DataFrame:
     One pass in log order: the older name passes on a value of its own only when the walk met it earlier; otherwise it
     passes on what was recorded for it. Along such links log places strictly grow, so chains end.
     """
+    seen = write_table(seen)[0]
     orig = seen.select("repo_id", F.col("path").alias("original_path"), F.col("commit").alias("oc"), F.col("ts").alias("ot"), F.col("entered").alias("oe"))
     j = seen.join(orig, ["repo_id", "original_path"], "left")
     linked = F.col("was_rename") & F.col("oe").isNotNull()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from buildlore.functions.paths import basename, directory_prefixes, join_dir, normalize, parent_dir, resolve_dots, slashes, tails
 from buildlore.functions.text import WORD_BREAK
+from buildlore.session import materialize
 
 # Endings tried on a target, in order.
 EXTENSIONS = [".py", ".go", ".ts", ".tsx", ".js", ".jsx", ".java", ".rs", ".cpp", ".h", ".tla"]
@@ -81,10 +82,12 @@ def resolve_targets(raw_edges: DataFrame, universe: DataFrame) -> DataFrame:
     ranked += [option(50, "dir", t)]
     ranked += [option(51, "tail", F.concat(t, F.lit(e))) for e in TAIL_ENDINGS]
     wants = raw_edges.select("repo_id", slashes(F.col("source")).alias("source"), slashes(F.col("target")).alias("want"))
-    wants = wants.filter((F.col("source") != "") & (F.col("want") != ""))
+    # four steps below read these edges, so whatever extracts them runs once
+    wants = materialize(wants.filter((F.col("source") != "") & (F.col("want") != "")))
     everything = universe.select("repo_id", slashes(F.col("path")).alias("path")).unionByName(
         wants.select("repo_id", F.col("source").alias("path"))
     ).distinct()
+    everything = materialize(everything)
     path = F.col("path")
     hits = resolve_all(wants, ["want"], F.array(*ranked), everything, {"full": FULL, "dir": directory_prefixes(path), "tail": tails(path)})
     return (

@@ -14,9 +14,13 @@ def edge_table(spark: SparkSession, sf: str) -> DataFrame:
     return staged(spark, "edges", sf, lambda: G.valid_edges(V.edges(spark, sf)))
 
 
+def cycles(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(spark, "cycles", sf, lambda: G.strongly_connected(edge_table(spark, sf)))
+
+
 def tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Tier of every connected file; built once per session and folder, then read by every plan that needs it."""
-    return staged(spark, "tiers", sf, lambda: G.tier_table(edge_table(spark, sf)))
+    return staged(spark, "tiers", sf, lambda: G.tier_table(edge_table(spark, sf), cycles(spark, sf)))
 
 
 def file_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For per-row work that costs far more than moving the row: use all cores even if the input is one small file.
+
+    An input with at least as many splits as there are cores, which any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def now() -> Column:
     return F.lit(NOW).cast("timestamp_ntz")
 

@@ -49,7 +49,7 @@ def parse_commits(blocks: DataFrame, *keep: str) -> DataFrame:
     """Commit blocks (header line, then tab-separated status lines) to one row per changed file, null path for none."""
     body = F.transform(F.split("block", r"\r?\n"), lambda line: F.trim(line))
     head = F.split(F.element_at(body, 1), r"\|", 4)
-    rows = F.filter(F.slice(body, F.lit(2), F.size(body)), lambda line: F.size(F.split(line, "\t")) >= 2)
+    rows = F.filter(F.slice(body, F.lit(2), F.size(body)), lambda line: F.contains(line, F.lit("\t")))
     field = lambda i: F.coalesce(F.try_element_at(head, F.lit(i)), F.lit(""))
     out = blocks.select(
         *keep, field(1).alias("hash"), field(2).alias("timestamp"), field(3).alias("author"), field(4).alias("message"),

@@ -57,7 +57,7 @@ def test_caller_without_shared_words_is_found_by_the_graph(spark):
                                    "repo_id string, path string, start_line int, end_line int, chunk_id string, symbol string, content string")
     edges = spark.createDataFrame([("r", "use.py", "lib.py")], "repo_id string, source string, target string")
     q = spark.createDataFrame([("r", 1, "parse tokens", "lib.py")], "repo_id string, query_id int, text string, path string")
-    got = {r["chunk_id"]: r["sources"] for r in R.retrieve(q, chunks, edges, k=1).collect()}
+    got = {r["chunk_id"]: r["sources"] for r in R.retrieve(q, chunks, edges, k=1, graph_k=5).collect()}
     assert got == {"c1": "graph,vector", "c2": "graph"}
 
 
@@ -84,9 +84,9 @@ def test_upsert_touches_only_its_buckets(spark, tmp_path):
     place = str(tmp_path / "snaps")
     rows = lambda v, ids: spark.createDataFrame([(i, v, f"v{v}") for i in ids], "id int, version int, body string")
     sinks.upsert_snapshots(rows(1, range(20)), place, ["id"], "version", 8)
-    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "snaps").rglob("*.parquet")}
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "snaps").rglob("*.parquet")}
     sinks.upsert_snapshots(rows(2, [3]), place, ["id"], "version", 8)
-    after = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "snaps").rglob("*.parquet")}
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "snaps").rglob("*.parquet")}
     assert len(before.items() - after.items()) == 1
     got = {r["id"]: r["body"] for r in spark.read.parquet(place).collect()}
     assert got == {i: "v2" if i == 3 else "v1" for i in range(20)}
