@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlore.functions.text import lines, strip
+from buildlore.functions.text import bind, lines, strip
 
 MAX_LINES, OVERLAP = 40, 8
 
@@ -62,23 +62,26 @@ def symbol_spans(files: DataFrame) -> DataFrame:
     n = F.size("_lines")
     at = lambda i: F.element_at(F.col("_lines"), i)
     index = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    split = split.withColumn("_breaks", F.filter(index, lambda i: at(i).rlike(BOUNDARY)))
 
     def starts(sym: Column, i: Column) -> Column:
         name, line = short(sym), at(i)
-        declared = F.regexp_like(line, F.concat(F.lit(rf"(?U)\b(?:{DECLARES})\s+.*\b\Q"), name, F.lit(r"\E\b")))
+        # what stands before the last whole-word mention; one linear search where a single pattern would backtrack
+        before = F.call_function("regexp_extract", line, F.concat(F.lit(r"(?U)^(.*)\b\Q"), name, F.lit(r"\E\b")), F.lit(1))
+        declared = before.rlike(rf"(?U)\b(?:{DECLARES})\s")
         called = F.contains(line, F.concat(F.lit(" "), name, F.lit("("))) | F.contains(line, F.concat(F.lit(" "), name, F.lit(" ")))
         return F.contains(line, name) & (called | declared)
 
     first = F.transform(F.col("_syms"), lambda s: F.struct(s.alias("symbol"), F.try_element_at(F.filter(index, lambda i: starts(s, i)), F.lit(1)).alias("start")))
-    split = split.withColumn("_first", F.filter(first, lambda f: f["start"].isNotNull()))
 
-    def end(f: Column) -> Column:
-        stops = F.filter(F.col("_breaks"), lambda i: (i > f["start"]) & F.exists(F.col("_syms"), lambda s: (s != f["symbol"]) & F.contains(at(i), short(s))))
+    def end(f: Column, breaks: Column) -> Column:
+        stops = F.filter(breaks, lambda i: (i > f["start"]) & F.exists(F.col("_syms"), lambda s: (s != f["symbol"]) & F.contains(at(i), short(s))))
         return F.coalesce(F.try_element_at(stops, F.lit(1)) - 1, n)
 
-    spans = F.transform(F.col("_first"), lambda f: F.struct(f["start"].alias("start"), end(f).alias("end"), f["symbol"].alias("symbol")))
-    return split.withColumn("spans", spans).drop("_syms", "_breaks", "_first")
+    # the lines that can end a span are bound once per file: inside the lambda below they would be searched per symbol
+    spans = bind(F.filter(index, lambda i: at(i).rlike(BOUNDARY)), lambda breaks: F.transform(
+        F.filter(first, lambda f: f["start"].isNotNull()),
+        lambda f: F.struct(f["start"].alias("start"), end(f, breaks).alias("end"), f["symbol"].alias("symbol"))))
+    return split.withColumn("spans", spans).drop("_syms")
 
 
 def assemble_chunks(spans: DataFrame, size: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
