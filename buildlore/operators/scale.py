@@ -38,8 +38,7 @@ def ordered_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     The rows are range-partitioned by key and order, which spreads one large key over many ranges, and written once so
     the ranges cannot move between the two reads. Offsets then need one row per (key, range).
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = materialize(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
