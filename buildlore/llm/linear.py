@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from buildlore.llm import texts as T
 
 
+PAIR_HASHES = 4
+
+
 def held_out(key: str, parts: int, part: int) -> Column:
     """Whether crc32 of the key as text falls into `part` of `parts`; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts == part
@@ -24,13 +27,21 @@ def first_by_hash(rows: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def features(data: np.ndarray, at: np.ndarray, buckets: int, sizes: tuple[int, ...], with_words: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text number) of every byte n-gram of the sizes, and of every word; each kind has its own hash."""
+    """(bucket, text number) of every byte n-gram of the sizes, of every word, and of every pair of words written with a back reference.
+
+    A pair's second word is written as "same" or "other" beside the first, which is left open: two patterns, each hashed `PAIR_HASHES` times,
+    so that texts that say each word again and again share features whatever their words are.
+    """
     for n in sizes:
         h, doc = T.grams(data, at, n)
         yield (T.mix(h + np.uint64(n)) % np.uint64(buckets)).astype(np.int64), doc
     if with_words:
         h, doc, _, _ = T.words(data, at)
         yield (h % np.uint64(buckets)).astype(np.int64), doc
+        near = doc[1:] == doc[:-1]
+        same = (h[1:] == h[:-1])[near].astype(np.uint64)
+        for i in range(PAIR_HASHES):
+            yield (T.mix(same * np.uint64(PAIR_HASHES) + np.uint64(i + 1)) % np.uint64(buckets)).astype(np.int64), doc[1:][near]
 
 
 def counts(texts: pa.Array, buckets: int, sizes: tuple[int, ...], with_words: bool, lower: bool) -> list[tuple[np.ndarray, np.ndarray]]:

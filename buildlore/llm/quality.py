@@ -20,11 +20,11 @@ from buildlore.llm import linear
 from buildlore.llm import texts as T
 from buildlore.llm.base import query, table
 
-SAMPLE_ROWS = 4000  # the bound of the training sample
+SAMPLE_ROWS = 3000  # the bound of the training sample
 BUCKETS = 1 << 15
-DIMENSION = 16
+DIMENSION = 8
 SIZES = (3, 4)
-EPOCHS = 8
+EPOCHS = 4
 RATE = 0.3
 ACCEPT = 0.3
 
