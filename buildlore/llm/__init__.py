@@ -4,10 +4,7 @@ from importlib import import_module
 
 from buildlore.llm.base import ORACLES, QUERIES
 
-MODULES = [
-    "ngram_join", "url_filter", "chat_format", "embedding_dups", "paragraph_dedup", "byte_bpe", "quality", "decontamination", "language",
-    "html_text",
-]
+MODULES = ["url_filter", "chat_format", "byte_bpe", "quality", "language"]
 
 
 def load() -> tuple[dict, dict]:
