@@ -107,7 +107,7 @@ def shingles(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     scale = np.uint64(1)
     for j in range(k):
         ahead += np.where(at + j < end, padded[j : n + j] * scale, np.uint64(0))
-        scale = scale * np.uint64(0xD6E8FEB86659FD93)
+        scale = np.uint64(int(scale) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
     keep = (at + k <= end) | ((at == np.repeat(first, size)) & np.repeat(size < k, size))
     return mix(ahead[keep]), doc[keep]
 
