@@ -20,6 +20,7 @@ from buildlore.session import write_table
 BLOCK = 1024  # sets of a block; a task has two
 PACK = 2048  # sets of small groups that a task takes together, about
 COLUMNS = 4096  # tokens that are multiplied at a time
+FILTER_BITS = 1 << 26
 
 
 def distinct_groups(members: DataFrame) -> DataFrame:
@@ -174,3 +175,30 @@ def scratch(df: DataFrame, made: list[str]) -> DataFrame:
     out, place = write_table(df)
     made.append(place)
     return out
+
+
+def likely_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, _text) whose id may be among `ids`: all that are, and of the others few while ids number some millions.
+
+    A Bloom filter of at most `FILTER_BITS` bits, read by the tasks that scan, so that the join that follows moves few texts. With very many
+    ids the filter lets everything through and only the join decides.
+    """
+    n = max(1, ids.count())
+    bits = min(FILTER_BITS, 1 << max(10, (n * 12).bit_length()))
+    at = [F.shiftrightunsigned(F.xxhash64("id", F.lit(k)), 64 - (bits.bit_length() - 1)) for k in range(4)]
+    words = ids.select(F.explode(F.array(*at)).alias("at")).select(F.shiftright("at", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    told = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    filled = np.zeros(bits // 64, np.int64)
+    filled[told["word"].to_numpy()] = told["bits"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
+    hashed = rows.select("*", *[a.alias(f"_at{k}") for k, a in enumerate(at)])
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for k in range(4):
+                at = batch.column(batch.schema.get_field_index(f"_at{k}")).to_numpy()
+                keep &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield batch.select(["id", "_text"]).filter(pa.array(keep))
+
+    return hashed.mapInArrow(run, rows.schema)

@@ -133,7 +133,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float
     members = G.scratch(G.distinct_groups(bucketed), made)
     wanted = members.select("id").distinct()
     # the texts are read again, and only those of classes with a candidate are hashed and moved
-    chosen = slim.join(wanted, "id", "left_semi")
+    chosen = G.likely_members(slim, wanted).join(wanted, "id", "left_semi")
     sets = token_sets(chosen).dropDuplicates(["id"]).join(classes.select(F.col("rep").alias("id"), "weight"), "id")
     found = G.scratch(G.verify(members, sets, members.count(), SIMILARITY), made)
     links = found.filter("mate is null").groupBy("id").agg(F.sum("links").alias("links"))
