@@ -4,7 +4,10 @@ from importlib import import_module
 
 from buildlore.llm.base import ORACLES, QUERIES
 
-MODULES = ["url_filter", "chat_format", "byte_bpe", "quality", "language"]
+MODULES = [
+    "ngram_join", "url_filter", "chat_format", "embedding_dups", "paragraph_dedup", "byte_bpe", "quality", "decontamination", "language",
+    "html_text",
+]
 
 
 def load() -> tuple[dict, dict]:
