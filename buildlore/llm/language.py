@@ -102,13 +102,17 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     usable = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(~linear.held_out("doc_id", 3, 1))
     df, n = document_frequencies(usable)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    labels = sorted(r[0] for r in usable.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(labels) > LANGUAGES:
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_size"))
+    languages = sizes.limit(LANGUAGES + 1).count()
+    if languages > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    each = max(20, sample_rows // max(1, len(labels)))
-    # Spark keeps `each` rows a language in every task before it shuffles keys
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).select("doc_id", F.col("lang").alias("label")).distinct()
+    each = max(20, sample_rows // max(1, languages))
+    # keys whose hash is low enough for about twice `each` a language; only those are ranked
+    hashed = F.xxhash64("doc_id", F.lit("sample"))
+    low = F.pmod(hashed, F.lit(1 << 30)) <= F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(2.0 * each + 40) / F.col("_size"))
+    near = usable.select("doc_id", "lang").filter("doc_id is not null").join(F.broadcast(sizes), "lang").filter(low)
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    chosen = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).select("doc_id", F.col("lang").alias("label")).distinct()
     rows = usable.filter("doc_id is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter("lang = label")
     rows = rows.select("label", F.regexp_replace(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), r"[^\p{L}]+", " ").alias("text"))
     got = linear.sparse_rows(rows, BUCKETS, SIZES, False, False).toArrow()
