@@ -148,7 +148,8 @@ def ids_array(packed):
     width = F.lit(8)
     digits = F.hex(packed)
     word = lambda i: F.conv(F.concat(*[F.substring(digits, i * width + 7 - 2 * j, F.lit(2)) for j in range(4)]), 16, 10).cast("bigint")
-    return F.transform(F.sequence(F.lit(0), F.octet_length(packed) / 4 - 1), word)
+    n = (F.octet_length(packed) / 4).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), word)).otherwise(F.array().cast("array<bigint>"))
 
 
 @query("op6_byte_bpe")

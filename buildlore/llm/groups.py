@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from buildlore.operators.graph import connected_components
 from buildlore.session import write_table
 
-BLOCK = 1024  # sets of a block; a task has two
+BLOCK = 1536  # sets of a block; a task has two
 PACK = 2048  # sets of small groups that a task takes together, about
-COLUMNS = 4096  # tokens that are multiplied at a time
+COLUMNS = 2048  # tokens that are multiplied at a time
 FILTER_BITS = 1 << 26
 
 
@@ -170,6 +170,18 @@ def components(edges: DataFrame) -> DataFrame:
     return found.select(F.col("path").alias("id"), "component")
 
 
+def merged(members: DataFrame, made: list[str]) -> DataFrame:
+    """(group, id, n) of `members` (group, id), whose overlapping groups become one: every id is in one group, named by its smallest id.
+
+    For groups of sets that are much alike, as those of one group are often in many others with nearly the same members; all pairs of the
+    old groups are in the new ones.
+    """
+    heads = members.groupBy("group").agg(F.min("id").alias("mate"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("group", "mate")
+    found = scratch(components(members.join(heads, "group").filter("id <> mate").select("id", "mate").distinct()), made)
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(sizes, "component").select(F.col("component").alias("group"), "id", "n")
+
+
 def scratch(df: DataFrame, made: list[str]) -> DataFrame:
     """`df` written once to the cluster's shared folder; `made` remembers where."""
     out, place = write_table(df)

@@ -52,10 +52,11 @@ def features(page: Page, odds: dict) -> list[list[float]]:
     whole = max(1, nodes[0].total)
     unknown = (1 / 3, 1 / 3, 1 / 3)
     above: list[tuple[float, float]] = []  # the strongest sign of boilerplate and of main text among an element and its ancestors
-    order = [0] * len(nodes)
-    for x in nodes:
+    order, largest = [0] * len(nodes), [0] * len(nodes)
+    for k, x in enumerate(nodes):
         for i, c in enumerate(x.children):
             order[c] = i
+            largest[k] = max(largest[k], nodes[c].total)
     for i, x in enumerate(nodes):
         tag = odds.get(x.tokens[0], unknown)
         named = [odds[t] for t in x.tokens[1:] if t in odds]
@@ -67,7 +68,7 @@ def features(page: Page, odds: dict) -> list[list[float]]:
         above.append((max(up_boiler, own_boiler, tag[BOILER]), max(up_main, own_main, tag[MAIN])))
         beside = max(1, up.total) if up else whole
         siblings = len(up.children) if up else 1
-        biggest = max(nodes[c].total for c in up.children) if up else x.total
+        biggest = largest[x.parent] if up else x.total
         paragraphs = sum(nodes[c].tag == "p" for c in x.children)
         out.append([
             tag[MAIN], tag[WRAPPER], tag[BOILER], own_main, own_boiler, mean_main, up_main, up_boiler, float(x.depth),

@@ -104,10 +104,10 @@ class Page:
                 close = source.find(">", at) if end else -1
                 at = close + 1 if close >= 0 else n
                 continue
-            if tag == "a":
+            if tag == "a" and links:
                 stack, node, links, silent, block = self._pop(stack, ("a",), tuple(BLOCK), links, silent, block)
             if tag in BLOCK:
-                if tag != "html":
+                if silent and tag != "html":
                     stack, node, links, silent, block = self._pop(stack, ("head",), (), links, silent, block)
                 if tag in CLOSES_ITSELF:
                     stack, node, links, silent, block = self._pop(stack, CLOSES_ITSELF[tag], SCOPE.get(tag, ()), links, silent, block)

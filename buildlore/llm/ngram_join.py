@@ -3,9 +3,9 @@
 Documents with equal sets form a class, and classes are joined. A class's set is embedded as MinHash values, of which two sets agree on as
 large a share as their similarity. Each run starts with all sets in one bucket and splits it on two sampled positions; buckets that stay large
 are split again on two positions their own path samples; buckets that are small, or that splitting no longer takes apart because their sets
-agree nearly everywhere, are compared by brute force. A pair at the threshold stays together along some path of a run with a probability known
-beforehand, and runs are repeated until the target recall is met. Splitting moves (path, class) pairs only; token sets are read for those
-classes alone that share a bucket with another one.
+agree nearly everywhere, are compared by brute force; such alike buckets overlap much, and are made one where they do. A pair at the threshold
+stays together along some path of a run with a probability known beforehand, and runs are repeated until the target recall is met. Splitting
+moves (path, class) pairs only; token sets are read for those classes alone that share a bucket with another one.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ POSITIONS = 64
 SAMPLED = 2
 SMALL = 256  # sets of a bucket that is compared by brute force at once
 TOGETHER = 0.7  # share of a bucket that stays in a part for splitting to be given up
+TINY = 8  # sets of a bucket that is not looked at more closely before it is compared
 DEPTH = 8
 
 
@@ -87,32 +88,57 @@ def token_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, tokens array<bigint>")
 
 
-def _split(rows: DataFrame, sampled: list) -> DataFrame:
-    """(group, id, parent_n) after one split of `rows` (path, id, signature, n) on the sampled positions."""
-    child = lambda c: F.xxhash64("path", c, F.element_at("signature", c + 1))
-    return rows.select(F.explode(F.array_distinct(F.array(*[child(c) for c in sampled]))).alias("group"), "id", F.col("n").alias("parent_n"))
+def buckets(classes: DataFrame, made: list[str], recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(group, id) of the buckets that brute force looks at, for `classes` (id, signature): those of sets that are alike throughout, and others.
 
-
-def buckets(classes: DataFrame, made: list[str], recall: float = RECALL) -> DataFrame:
-    """(group, id) of the buckets that brute force looks at, for `classes` (id, signature)."""
+    A bucket is alike if on a further sampled position most of its sets agree, so that splitting it would not take it apart.
+    """
     runs = runs_for(recall)
     rng = np.random.default_rng(3)
     start = [F.xxhash64(F.lit(r), F.lit(int(c)), F.element_at("signature", int(c) + 1)) for r in range(runs) for c in rng.choice(POSITIONS, SAMPLED, False)]
-    rows = classes.select(F.explode(F.array_distinct(F.array(*start))).alias("group"), "id").withColumn("parent_n", F.lit(None).cast("bigint"))
-    done: DataFrame | None = None
+    rows = classes.select(F.explode(F.array_distinct(F.array(*start))).alias("group"), "id").withColumn("parent", F.lit(None).cast("bigint")).withColumn("parent_n", F.lit(None).cast("bigint"))
+    alike, other = [rows.filter("false").select("group", "id")], []
     for depth in range(1, DEPTH + 1):
         sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sized = G.scratch(rows.join(sizes, "group"), made)
-        kept_together = F.coalesce(F.col("n") >= TOGETHER * F.col("parent_n"), F.lit(False))
-        stop = (F.col("n") <= SMALL) | kept_together | F.lit(depth == DEPTH)
-        ready = sized.filter(stop).select("group", "id")
-        done = ready if done is None else done.unionByName(ready)
-        large = sized.filter(~stop)
-        if large.isEmpty():
+        together = F.coalesce(F.col("n") >= TOGETHER * F.col("parent_n"), F.lit(False))
+        if depth > 1:
+            # small buckets were split only to see whether they are alike
+            seen = sized.filter(F.col("parent_n") <= SMALL).groupBy("parent").agg(F.max(together.cast("int")).alias("alike"))
+            small = small.join(seen, small["group"] == seen["parent"], "left")
+            alike.append(small.filter("alike = 1").select("group", "id"))
+            other.append(small.filter("coalesce(alike, 0) = 0").select("group", "id"))
+            sized = sized.filter(F.col("parent_n") > SMALL)
+            alike.append(sized.filter(together).select("group", "id"))
+            sized = sized.filter(~together)
+        if depth == DEPTH or sized.isEmpty():
+            other.append(sized.select("group", "id"))
             break
+        other.append(sized.filter(F.col("n") < TINY).select("group", "id"))
+        left = sized.filter(F.col("n") >= TINY).select("group", "id", "n")
+        small = left.filter(F.col("n") <= SMALL)
         sampled = [F.pmod(F.xxhash64("path", F.lit(k)), F.lit(POSITIONS)).cast("int") for k in range(SAMPLED)]
-        rows = _split(large.select(F.col("group").alias("path"), "id", "n").join(classes.select("id", "signature"), "id"), sampled).distinct()
-    return done.distinct()
+        child = [F.xxhash64("path", c, F.element_at("signature", c + 1)) for c in sampled]
+        parents = left.withColumnRenamed("group", "path").join(classes.select("id", "signature"), "id")
+        rows = parents.select(F.explode(F.array_distinct(F.array(*child))).alias("group"), "id", F.col("path").alias("parent"), F.col("n").alias("parent_n"))
+    return _union(alike), _union(other)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def candidates(classes: DataFrame, made: list[str], recall: float = RECALL) -> DataFrame:
+    """(group, id, n): buckets of sets that are alike, where they overlap made one; and the others that none of those covers."""
+    alike, other = buckets(classes, made, recall)
+    merged = G.scratch(G.merged(alike, made), made)
+    other = G.scratch(G.distinct_groups(other), made)
+    within = other.join(merged.select("id", F.col("group").alias("held")), "id", "left")
+    covered = within.groupBy("group").agg(F.count("held").alias("k"), F.min("held").alias("low"), F.max("held").alias("high"), F.max("n").alias("n")).filter("k = n and low = high").select("group")
+    return merged.unionByName(other.join(covered, "group", "left_anti").select("group", "id", "n"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
@@ -129,8 +155,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float
     named = G.scratch(signatures(slim).dropDuplicates(["id", "n", "a", "b"]), made)
     classes = named.filter("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("signature").alias("signature"))
     classes = G.scratch(classes, made)
-    bucketed = buckets(classes.select(F.col("rep").alias("id"), "signature"), made, recall)
-    members = G.scratch(G.distinct_groups(bucketed), made)
+    members = G.scratch(candidates(classes.select(F.col("rep").alias("id"), "signature"), made, recall), made)
     wanted = members.select("id").distinct()
     # the texts are read again, and only those of classes with a candidate are hashed and moved
     chosen = G.likely_members(slim, wanted).join(wanted, "id", "left_semi")

@@ -1,7 +1,7 @@
 """Substring dedup: paragraphs that occur in several documents, or twice in one, by MinHash banding and exact verification.
 
-A paragraph is a line of text; a long line's sentences, cut where their own words say so, are looked at too, so that a passage is also found
-inside other prose. Equal paragraphs are one by a hash of their words. Distinct lines are banded by MinHash of five-word shingles, with as many
+A paragraph is a line of text; runs of a line's sentences, cut where their own words say so, are looked at too, so that a passage is also
+found inside other prose. Equal paragraphs are one by a hash of their words. Distinct lines are banded by MinHash of five-word shingles, with as many
 bands as a high recall at the threshold takes; lines that collide are compared by exact Jaccard similarity, linked lines form components, and
 of each component only the first occurrence stays. Candidate lines alone are read again; everything else that moves is a few numbers a line.
 """
@@ -57,14 +57,18 @@ class Cut:
         line = np.cumsum(self.data == 10)[self.starts]
         new_line = np.r_[True, (self.doc[1:] != self.doc[:-1]) | (line[1:] != line[:-1])]
         self.line = np.cumsum(new_line) - 1
-        # a sentence end cuts if the two words before it say so: the same words cut the same way wherever they stand
-        before = np.r_[self.h[:1], self.h[:-1]]
-        cuts = _ENDS[self.data[self.ends - 1]] & (T.mix(self.h ^ (before << np.uint64(1))) % np.uint64(2) == 0)
-        new_part = new_line | np.r_[False, cuts[:-1]]
-        lines, parts = np.flatnonzero(new_line), np.flatnonzero(new_part)
-        line_stop, part_stop = np.r_[lines[1:], n], np.r_[parts[1:], n]
-        inner = ~(new_line[parts] & np.isin(part_stop, line_stop) & (np.searchsorted(lines, parts, "right") == np.searchsorted(lines, part_stop, "left")))
-        first, stop = np.r_[lines, parts[inner]], np.r_[line_stop, part_stop[inner]]
+        lines = np.flatnonzero(new_line)
+        line_stop = np.r_[lines[1:], n]
+        cut = self._cut_after() + 1
+        # from every cut to the first one that makes it long enough, inside its line
+        stops = np.unique(np.r_[cut, line_stop])
+        begin = cut[~np.isin(cut, line_stop)]
+        begin = np.unique(np.r_[begin, lines])
+        to = np.searchsorted(stops, begin + LEAST_WORDS)
+        end = stops[np.minimum(to, len(stops) - 1)]
+        own = np.searchsorted(lines, begin, "right") - 1
+        inner = (to < len(stops)) & (end <= line_stop[own]) & ~((begin == lines[own]) & (end == line_stop[own]))
+        first, stop = np.r_[lines, begin[inner]], np.r_[line_stop, end[inner]]
         whole = np.r_[np.ones(len(lines), bool), np.zeros(int(inner.sum()), bool)]
         long = stop - first >= LEAST_WORDS
         self.first, self.stop, self.whole = first[long], stop[long], whole[long]
@@ -72,6 +76,24 @@ class Cut:
         up, down = T._powers(n)
         self.a, self.b = (self._key(T.mix(self.h + np.uint64(k)), up, down) for k in (1, 2))
 
+    def _cut_after(self) -> np.ndarray:
+        """Words after which a line is cut: the sentence ends whose two last words hash lowest among three in a row, so one of any three.
+
+        Which they are depends on the sentences around alone, so a passage is cut in the same places wherever it stands.
+        """
+        ends = np.flatnonzero(_ENDS[self.data[self.ends - 1]])
+        before = np.r_[self.h[:1], self.h[:-1]]
+        h = np.r_[np.full(2, ~np.uint64(0)), T.mix(self.h[ends] ^ (before[ends] << np.uint64(1))), np.full(2, ~np.uint64(0))]
+        line = np.r_[-2, -2, self.line[ends], -1, -1]
+        mid, keep = slice(2, 2 + len(ends)), np.zeros(len(ends), bool)
+        for shift in (-2, -1, 0):
+            low = np.ones(len(ends), bool)
+            for k in range(shift, shift + 3):
+                there = slice(2 + k, 2 + k + len(ends))
+                low &= (h[mid] <= h[there]) | (line[there] != line[mid])
+            keep |= low
+        return ends[keep]
+
     def _key(self, h: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
         total = np.r_[np.zeros(1, np.uint64), np.cumsum(h * up)]
         return T.mix((total[self.stop] - total[self.first]) * down[self.first] + (self.stop - self.first).astype(np.uint64)).view(np.int64)
@@ -159,7 +181,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = lines.select(F.explode("bands").alias("group"), F.col("a").alias("id"))
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     colliding = G.scratch(rows.join(sizes.select("group"), "group").distinct(), made)
-    members = G.scratch(G.distinct_groups(colliding), made)
+    members = G.scratch(G.merged(colliding, made), made)
     wanted = members.select("id").distinct()
     held = G.scratch(lines.join(wanted, lines["a"] == wanted["id"], "left_semi").select("doc").distinct(), made)
     chosen = G.likely_members(slim, held.select(F.col("doc").alias("id"))).join(held.select(F.col("doc").alias("id")), "id", "left_semi")

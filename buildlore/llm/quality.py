@@ -24,7 +24,8 @@ SAMPLE_ROWS = 3000  # the bound of the training sample
 BUCKETS = 1 << 15
 DIMENSION = 8
 SIZES = (3, 4)
-EPOCHS = 4
+EPOCHS = 4  # or more, until a small sample has given as many steps as `LEAST_STEPS`
+LEAST_STEPS = 12_000
 RATE = 0.3
 ACCEPT = 0.3
 
@@ -42,8 +43,9 @@ def train(at: list[np.ndarray], n: list[np.ndarray], labels: np.ndarray) -> Mode
     out = rng.normal(0, 0.1, (DIMENSION, 2))
     bias = np.zeros(2)
     share = [c / max(1, c.sum()) for c in n]
-    steps, step = EPOCHS * max(1, len(labels)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, LEAST_STEPS // max(1, len(labels)))
+    steps, step = epochs * max(1, len(labels)), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(labels)):
             rate = RATE * (1 - step / steps)
             step += 1

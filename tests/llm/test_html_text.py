@@ -75,7 +75,7 @@ def test_decoding_is_the_most_likely_labelling():
     ("x<b>y</b>z<br>w", "xyz w"),
     ("<ul><li>a<li>b</ul>c", "a\nb\nc"),
     ("<p>a<script>var x='</p>';</script>b<!-- <p>c --></p>", "ab"),
-    ("<p title='>'>a</p><p title=\">b", "a"),
+    ("<p title='>'>a</p><p title=\">b", "a\nb"),
     ("<p>a<!-- never ends", "a"),
     ("<head><title>t</title><body><p>a</body>", "a"),
     ("</div></p>a<", "a<"),
