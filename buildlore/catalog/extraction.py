@@ -71,6 +71,23 @@ def e4(spark, sf):
     return J.resolve_tla(mods, code).join(mods.select("repo_id", "path", "module"), ["repo_id", "path"])
 
 
+# every specification's model file lies beside it or, for every third, in another folder; some belong to nothing
+_CONFIGS = "CASE WHEN n % 3 = 0 THEN 'models/' ELSE regexp_extract(path, '^(.*/)[^/]*$', 1) END || CASE WHEN n % 5 = 0 THEN 'other' ELSE regexp_extract(path, '([^/]*)[.]tla$', 1) END || '.cfg'"
+
+
+@query("e4_linked_configs", "repo_id string, path string, config string",
+       with_views("code", rf"""WITH t AS (SELECT repo_id, path, n, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, unnest(list_distinct([regexp_extract(path, '([^/]*)[.]tla$', 1), regexp_extract(content, '(?m)^[-=]{{3,}}\s*MODULE\s+([A-Za-z0-9_]+)', 1)])) AS name FROM code WHERE path LIKE '%.tla'),
+       k AS (SELECT DISTINCT repo_id, {_CONFIGS} AS config FROM code WHERE path LIKE '%.tla'), c AS (SELECT *, regexp_extract(config, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(config, '([^/]+)[.]cfg$', 1) AS name FROM k),
+       near AS (SELECT DISTINCT t.repo_id, path, config FROM t JOIN c ON c.repo_id = t.repo_id AND c.folder = t.folder AND c.name = t.name)
+       SELECT * FROM near UNION SELECT t.repo_id, path, config FROM t JOIN c ON c.repo_id = t.repo_id AND c.name = t.name WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.repo_id = t.repo_id AND near.path = t.path)"""))
+def e4_configs(spark, sf):
+    code = V.code(spark, sf).filter(F.col("path").endswith(".tla"))
+    folder = F.when(F.col("n") % 3 == 0, F.lit("models/")).otherwise(F.regexp_extract("path", "^(.*/)[^/]*$", 1))
+    name = F.when(F.col("n") % 5 == 0, F.lit("other")).otherwise(F.regexp_extract("path", "([^/]*)[.]tla$", 1))
+    configs = code.select("repo_id", F.concat(folder, name, F.lit(".cfg")).alias("path")).distinct()
+    return J.linked_configs(X.tla_modules(code), configs)
+
+
 @query("e5_java_edges", "repo_id string, path string, symbol string, import_type string, line int, target string, is_external boolean, resolved boolean",
        with_views("code", rf"""WITH {LINES_CTE}, i AS (SELECT repo_id, path, line, regexp_extract(text, '^import\s+(?:static\s+)?([\w.]+?)(\.\*)?\s*;', 1) AS symbol,
           CASE WHEN regexp_extract(text, '^import\s+(?:static\s+)?([\w.]+?)(\.\*)?\s*;', 2) <> '' THEN 'star' ELSE 'static' END AS import_type FROM ln WHERE path LIKE '%.java'),

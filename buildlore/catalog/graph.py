@@ -86,17 +86,13 @@ def g8(spark, sf):
     return G.communities(B.edge_table(spark, sf), B.file_table(spark, sf))
 
 
-# every 4th file's edges only, so that repositories fall into several pieces
 @query("g9_connected_components", "repo_id string, path string, component string",
-       with_views("numbered_edges", """WITH part_edges AS (SELECT repo_id, source, target FROM numbered_edges WHERE n // 4 % 2 = 0),
+       with_views("numbered_edges", """WITH part_edges AS (SELECT repo_id, source, target FROM numbered_edges),
        both_ways AS (SELECT repo_id, source AS a, target AS b FROM part_edges UNION SELECT repo_id, target, source FROM part_edges),
        walk(repo_id, a, b) AS (SELECT repo_id, a, b FROM both_ways UNION SELECT w.repo_id, w.a, e.b FROM walk w JOIN both_ways e ON e.repo_id = w.repo_id AND e.a = w.b)
        SELECT repo_id, a AS path, least(a, min(b)) AS component FROM walk GROUP BY repo_id, a""", recursive=True))
 def g9(spark, sf):
-    return G.connected_components(V.numbered_edges(spark, sf).filter(F.floor(F.col("n") / 4) % 2 == 0))
-
-
-_MEMBERS_SQL = None
+    return G.connected_components(V.edges(spark, sf))
 
 
 def members(spark, sf):

@@ -94,11 +94,14 @@ def h14(spark, sf):
     return V.repos(spark, sf).groupBy(repository_count_key(F.col("github_url")).alias("repo_key")).agg(F.count(F.lit(1)).alias("submissions"))
 
 
+EVERY_TABLE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 @query("h17_table_counts", "table_name string, row_count bigint",
-       " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("customer", "orders", "lineitem", "events", "documents", "pages")))
+       " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in EVERY_TABLE))
 def h17(spark, sf):
     out = None
-    for t in ("customer", "orders", "lineitem", "events", "documents", "pages"):
+    for t in EVERY_TABLE:
         one = V.table(spark, sf, t).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
         out = one if out is None else out.unionAll(one)
     return out

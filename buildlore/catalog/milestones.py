@@ -90,7 +90,7 @@ def h10(spark, sf):
        tiers_query("files edges symbols", "SELECT repo_id, tier_index, place, symbol FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, tier_index ORDER BY symbol) AS place FROM (SELECT DISTINCT repo_id, tier_index, symbol FROM symbols JOIN tiers USING (repo_id, path))) WHERE place <= 10"))
 def h11(spark, sf):
     junk = V.files(spark, sf).select("repo_id", "path", F.concat(F.lit("0/"), "path").alias("symbol"))
-    return M.milestone_symbols(V.symbols(spark, sf).unionByName(junk), B.tiers(spark, sf))
+    return M.milestone_symbols(V.symbols(spark, sf).drop("pos").unionByName(junk), B.tiers(spark, sf))
 
 
 @query("h12_domain_distribution", "repo_id string, domain string, files bigint, pct double",
@@ -116,15 +116,26 @@ def h16(spark, sf):
     return M.overall_confidence(scored_table(spark, sf))
 
 
-@query("s14_quiz", "repo_id string, question_id string, tier_index int, correct int, question string",
-       facts_query("""QUIZ""".replace("QUIZ", """, q0 AS (SELECT repo_id, min(tier_index) AS base FROM described GROUP BY repo_id), dd AS (SELECT repo_id, domain, count(*) AS n FROM classified GROUP BY ALL), dn AS (SELECT repo_id, arg_min(domain, (-n, domain)) AS dom, list_sort(list(domain)) AS names FROM dd GROUP BY repo_id)
-       SELECT d.repo_id, 'q_foundational' AS question_id, tier_index, 0 AS correct, 'Why should a developer begin reverse-engineering `' || d.repo_id || '` at Milestone ' || tier_index || ' (' || title || ')?' AS question FROM described d JOIN q0 ON q0.repo_id = d.repo_id AND base = tier_index
-       UNION ALL SELECT repo_id, 'q_cyclic_core', min(tier_index), 1, 'Milestone ' || min(tier_index) || ' contains a mutual dependency cycle (' || arg_min(files, tier_index) || ' files). How should this cluster be approached?' FROM described WHERE is_cyclic GROUP BY repo_id
-       UNION ALL SELECT d.repo_id, 'q_tier_' || tier_index || '_role', tier_index, 0, 'What is the architectural role of Milestone ' || tier_index || ' (' || title || ')?' FROM described d JOIN q0 ON q0.repo_id = d.repo_id AND base <> tier_index WHERE NOT is_cyclic
-       UNION ALL SELECT dn.repo_id, 'q_domain_profile', coalesce((SELECT min(tier_index) FROM described d WHERE d.repo_id = dn.repo_id AND d.dominant_domain = dn.dom), base), greatest(0, coalesce(list_position(names[1:4], dom), 0) - 1), 'Which domain represents the largest portion of files in `' || dn.repo_id || '`?' FROM dn JOIN q0 USING (repo_id)""")))
+_QUIZ_SQL = r""", q0 AS (SELECT repo_id, min(tier_index) AS base FROM described GROUP BY repo_id), dd AS (SELECT repo_id, domain, count(*) AS n FROM classified GROUP BY ALL),
+       dn AS (SELECT repo_id, arg_min(domain, (-n, domain)) AS dom, max(n) AS most, sum(n) AS total, list_sort(list(domain)) AS names FROM dd GROUP BY repo_id)
+       SELECT d.repo_id, 'q_foundational' AS question_id, tier_index, 0 AS correct, 'Why should a developer begin reverse-engineering `' || d.repo_id || '` at Milestone ' || tier_index || ' (' || title || ')?' AS question,
+        'These ' || files || ' files are leaf primitives with 0 internal dependencies. | These files contain the top-level CLI entry point. | These files contain end-to-end integration tests. | These files were the most recently edited in git history.' AS options,
+        'Milestone 0 represents starting foundational files (files with no internal dependencies) that can be understood in isolation without prior knowledge of the rest of the codebase.' AS explanation FROM described d JOIN q0 ON q0.repo_id = d.repo_id AND base = tier_index
+       UNION ALL SELECT repo_id, 'q_cyclic_core', min(tier_index), 1, 'Milestone ' || min(tier_index) || ' contains a mutual dependency cycle (' || arg_min(files, tier_index) || ' files). How should this cluster be approached?',
+        'Read them sequentially in alphabetical order because order is strict. | Read them as a coupled system / cohesive unit, since their interfaces are co-dependent. | Skip them completely because cycles are always invalid code bugs. | Read only the largest file and ignore the others.',
+        'These files depend on each other in a loop, so there''s no single correct order — an estimate is used instead. They are best understood together as a subsystem.' FROM described WHERE is_cyclic GROUP BY repo_id
+       UNION ALL SELECT d.repo_id, 'q_tier_' || tier_index || '_role', tier_index, 0, 'What is the architectural role of Milestone ' || tier_index || ' (' || title || ')?',
+        'It implements the ' || dominant_domain || ' layer that builds upon and depends on lower-tier foundational modules. | It defines low-level leaf utilities with zero internal imports. | It is completely isolated and detached from all other repository components. | It acts exclusively as a temporary build artifact cache.',
+        'Milestone ' || tier_index || ' serves the ' || dominant_domain || ' layer, consuming the abstractions provided by lower tiers.' FROM described d JOIN q0 ON q0.repo_id = d.repo_id AND base <> tier_index WHERE NOT is_cyclic
+       UNION ALL SELECT dn.repo_id, 'q_domain_profile', coalesce((SELECT min(tier_index) FROM described d WHERE d.repo_id = dn.repo_id AND d.dominant_domain = dn.dom), base), greatest(0, coalesce(list_position(names[1:4], dom), 0) - 1), 'Which domain represents the largest portion of files in `' || dn.repo_id || '`?',
+        array_to_string(list_transform(names[1:4], lambda d: '`' || d || '`'), ' | '), '`' || dom || '` accounts for ' || most || ' out of ' || total || ' analyzed files in the codebase.' FROM dn JOIN q0 USING (repo_id)"""
+
+
+@query("s14_quiz", "repo_id string, question_id string, tier_index int, correct int, question string, options string, explanation string", facts_query(_QUIZ_SQL))
 def s14(spark, sf):
     segments = O.convention_domains(B.file_table(spark, sf))
-    return M.quiz(described(spark, sf), segments.groupBy("repo_id", "domain").agg(F.count(F.lit(1)).alias("files")))
+    asked = M.quiz(described(spark, sf), segments.groupBy("repo_id", "domain").agg(F.count(F.lit(1)).alias("files")))
+    return asked.withColumn("options", F.array_join("options", " | "))
 
 
 def node_table(spark, sf):

@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from buildlore.catalog.base import query
@@ -62,20 +63,20 @@ def s4(spark, sf):
 @query("s5_hashed_embedding", "doc_id bigint, bucket int, value double",
        f"WITH {vectors_sql('documents', 'doc_id', 'text', 'vec')} SELECT doc_id, bucket, w / norm AS value FROM vec JOIN vec_norm USING (doc_id)")
 def s5(spark, sf):
-    docs = R.with_weights(V.spread(V.table(spark, sf, "documents").select("doc_id", "text")), "text").drop("text")
+    docs = R.with_weights(V.table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
     unit = R.normalized(F.col("weights"))
     return docs.select("doc_id", F.posexplode(unit).alias("bucket", "value")).filter("value <> 0")
 
 
 # questions: every benchmark text, asked of one repository; every third mentions a file of it
-QUERIES_SQL = """asked AS (SELECT 'src' || (item_id % 20) AS repo_id, item_id AS query_id, text || CASE WHEN item_id % 3 = 0 THEN ' see ' || f.name || '!' ELSE '' END AS text
+QUERIES_SQL = """asked AS (SELECT 'src' || (item_id % 20) AS repo_id, item_id AS query_id, text || CASE WHEN item_id % 3 = 0 THEN coalesce(' see ' || f.name || '!', '') ELSE '' END AS text
   FROM benchmark LEFT JOIN (SELECT repo_id AS fr, n AS fn, regexp_extract(path, '([^/]*)$', 1) AS name FROM files) f ON f.fr = 'src' || (item_id % 20) AND f.fn = item_id % 11)"""
 
 
 def questions(spark, sf):
     q = V.table(spark, sf, "benchmark").select(F.concat(F.lit("src"), V.text_of(F.col("item_id") % 20)).alias("repo_id"), F.col("item_id").alias("query_id"), "text", (F.col("item_id") % 11).alias("n"))
     names = B.file_table(spark, sf).select("repo_id", "n", F.element_at(F.split("path", "/"), -1).alias("name"))
-    said = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit(" see "), "name", F.lit("!"))).otherwise(F.lit(""))
+    said = F.coalesce(F.when(F.col("query_id") % 3 == 0, F.concat(F.lit(" see "), "name", F.lit("!"))), F.lit(""))
     return q.join(names, ["repo_id", "n"], "left").select("repo_id", "query_id", F.concat("text", said).alias("text"))
 
 
@@ -173,10 +174,10 @@ def w11(spark, sf):
 
 
 @query("w12_edge_union", "repo_id string, source string, target string",
-       with_views("numbered_edges", "SELECT repo_id, source, target FROM numbered_edges WHERE n % 2 = 0 UNION SELECT repo_id, source, target FROM numbered_edges WHERE n % 3 <> 0"))
+       with_views("numbered_edges", "SELECT repo_id, source, target FROM numbered_edges WHERE n % 2 = 0 UNION SELECT repo_id, source, target FROM numbered_edges WHERE n % 2 = 1 OR n % 3 = 0"))
 def w12(spark, sf):
     e = V.numbered_edges(spark, sf)
-    listed, parsed = e.filter("n % 2 = 0"), e.filter("n % 3 <> 0")
+    listed, parsed = e.filter("n % 2 = 0"), e.filter("n % 2 = 1 OR n % 3 = 0")
     return listed.unionByName(parsed).select("repo_id", "source", "target").distinct()
 
 
@@ -195,7 +196,8 @@ def w13(spark, sf):
        with_views("files", f"WITH {CHUNKS_SQL} SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id, path ORDER BY start_line, end_line) AS place, start_line, chunk_id FROM chunks"))
 def w14(spark, sf):
     # a file holds a bounded number of chunks, so a window per file is small
-    return first_rows(chunks(spark, sf), ["repo_id", "path"], ["start_line", "end_line"], 2**31 - 1, "place")
+    order = Window.partitionBy("repo_id", "path").orderBy("start_line", "end_line")
+    return chunks(spark, sf).withColumn("place", F.row_number().over(order))
 
 
 @query("j15_hint_leaks", "hint_id string, name string",

@@ -66,8 +66,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "raw_edges": (["numbered_edges"], r"""SELECT DISTINCT repo_id, source, CASE n % 4 WHEN 0 THEN target
         WHEN 1 THEN regexp_replace(target, '\.[^./]*$', '') WHEN 2 THEN regexp_replace(target, '^.*/', '')
         ELSE regexp_replace(target, '/[^/]*$', '') END AS target FROM numbered_edges"""),
-    "symbols": (["files"], f"""SELECT repo_id, path, unnest(list_distinct(list_filter(
-        regexp_split_to_array(content, '{WORD_BREAK}'), lambda w: length(w) >= 3)[1:6])) AS symbol FROM files"""),
+    "symbols": (["files"], f"""SELECT repo_id, path, symbol, row_number() OVER (PARTITION BY repo_id, path ORDER BY symbol) - 1 AS pos FROM (SELECT repo_id, path, unnest(list_distinct(list_filter(
+        regexp_split_to_array(content, '{WORD_BREAK}'), lambda w: length(w) >= 3))) AS symbol FROM files)"""),
     "code": (["files"], f"""SELECT repo_id, n,
         {text_list(CODE_DIRECTORIES)}[n % 3 + 1] || '/m' || n || {text_list(CODE_SUFFIXES)}[n % 8 + 1] AS path,
         ({_CODE_TEXT}) || {_MARK} || replace(array_to_string(regexp_split_to_array(content, '{LINE_BREAK}'), {_NL} || '@mark@'), '@mark@', {_MARK}) || {_NL} AS content

@@ -84,8 +84,9 @@ def t7(spark, sf):
 
 
 @query("t8_stale_runs", "id bigint, status string, error_message string",
-       with_views("repos", f"""WITH a AS (SELECT *, CAST(epoch({REPO_NOW_SQL}) - epoch(created_at) AS BIGINT) AS age FROM repos) SELECT id, CASE WHEN status = 'processing' AND age >= 900 THEN 'failed' ELSE status END AS status,
-       CASE WHEN status = 'processing' AND age >= 900 THEN 'Processing lock expired after ' || age || 's (timeout: 900s). Dead worker detected; lock reclaimed.' END AS error_message FROM a"""))
+       with_views("repos", f"""WITH a AS (SELECT *, CAST(epoch({REPO_NOW_SQL}) - epoch(created_at) AS BIGINT) AS age, expires_at > {REPO_NOW_SQL} AND row_number() OVER (PARTITION BY github_url, commit_hash, expires_at > {REPO_NOW_SQL} ORDER BY created_at DESC, id) = 1 AS newest FROM repos)
+       SELECT id, CASE WHEN newest AND status = 'processing' AND age >= 900 THEN 'failed' ELSE status END AS status,
+       CASE WHEN newest AND status = 'processing' AND age >= 900 THEN 'Processing lock expired after ' || age || 's (timeout: 900s). Dead worker detected; lock reclaimed.' END AS error_message FROM a"""))
 def t8(spark, sf):
     return S.stale_runs(V.repos(spark, sf), V.repo_now())
 

@@ -39,10 +39,10 @@ def j12(spark, sf):
 
 
 # an attempt per file: its symbols are expected; a changed copy of them was submitted
-_EXPECTED = r"""ex AS (SELECT repo_id || ':' || path AS attempt, symbol AS name, CASE WHEN regexp_matches(symbol, '^[A-Z]') THEN 'class' ELSE 'function' END AS kind, CASE WHEN length(symbol) % 3 <> 0 THEN length(symbol) % 4 END AS arg_count FROM symbols),
+_EXPECTED = r"""ex AS (SELECT repo_id || ':' || path AS attempt, symbol AS name, CASE WHEN regexp_matches(symbol, '^[A-Z]') THEN 'class' ELSE 'function' END AS kind, CASE WHEN length(symbol) % 3 <> 0 THEN length(symbol) % 4 END AS arg_count, pos FROM symbols),
  su0 AS (SELECT *, length(name) AS len FROM ex),
- su AS (SELECT attempt, len * 2 AS idx, name, CASE WHEN kind = 'class' THEN 'class' ELSE 'method' END AS kind, CASE WHEN kind = 'class' THEN NULL ELSE len % 4 + 1 END AS arg_count, CASE WHEN len % 2 = 0 THEN ['self'] ELSE ['x'] END AS args, len % 5 = 0 AS is_stub FROM su0 WHERE len % 7 <> 0
-   UNION ALL SELECT attempt, len * 2 + 1, name, 'function', len % 4, ['y'], len % 4 = 0 FROM su0 WHERE len % 3 = 1 UNION ALL SELECT attempt, len + 1000, name || '_extra', 'function', 0, ['z'], false FROM su0 WHERE len % 4 = 1),
+ su AS (SELECT attempt, pos * 3 AS idx, name, CASE WHEN kind = 'class' THEN 'class' ELSE 'method' END AS kind, CASE WHEN kind = 'class' THEN NULL ELSE len % 4 + 1 END AS arg_count, CASE WHEN len % 2 = 0 THEN ['self'] ELSE ['x'] END AS args, len % 5 = 0 AS is_stub FROM su0 WHERE len % 7 <> 0
+   UNION ALL SELECT attempt, pos * 3 + 1, name, 'function', len % 4, ['y'], len % 4 = 0 FROM su0 WHERE len % 3 = 1 UNION ALL SELECT attempt, pos * 3 + 2, name || '_extra', 'function', 0, ['z'], false FROM su0 WHERE len % 4 = 1),
  hits AS (SELECT e.attempt, e.name, min(s.idx) FILTER (NOT is_stub) AS m, min(s.idx) FILTER (is_stub) AS st FROM ex e JOIN su s ON s.attempt = e.attempt AND s.name = e.name
    AND ((e.kind = 'class' AND s.kind = 'class') OR (e.kind <> 'class' AND s.kind <> 'class')) AND (e.arg_count IS NULL OR s.arg_count IS NULL OR e.arg_count = s.arg_count OR (list_contains(s.args, 'self') AND s.arg_count - 1 = e.arg_count)) GROUP BY ALL),
  cmp AS (SELECT e.attempt, e.name, CASE WHEN m IS NOT NULL THEN 'present' ELSE 'missing' END AS status, coalesce(st IS NOT NULL AND (m IS NULL OR st < m), false) AS stub_seen, m AS match_idx FROM ex e LEFT JOIN hits h USING (attempt, name))"""
@@ -57,10 +57,10 @@ def comparison(spark, sf):
     ex = s.select(attempt, F.col("symbol").alias("pos"), F.col("symbol").alias("name"), kind.alias("kind"), F.when(n % 3 != 0, n % 4).alias("arg_count"), none)
     one = lambda w: F.array(F.lit(w))
     su = (
-        s.filter(n % 7 != 0).select(attempt, (n * 2).alias("idx"), F.col("symbol").alias("name"), F.when(kind == "class", "class").otherwise("method").alias("kind"),
+        s.filter(n % 7 != 0).select(attempt, (F.col("pos") * 3).alias("idx"), F.col("symbol").alias("name"), F.when(kind == "class", "class").otherwise("method").alias("kind"),
                                     F.when(kind != "class", n % 4 + 1).alias("arg_count"), F.when(n % 2 == 0, one("self")).otherwise(one("x")).alias("args"), (n % 5 == 0).alias("is_stub"))
-        .unionAll(s.filter(n % 3 == 1).select(attempt, n * 2 + 1, "symbol", F.lit("function"), n % 4, one("y"), n % 4 == 0))
-        .unionAll(s.filter(n % 4 == 1).select(attempt, n + 1000, F.concat("symbol", F.lit("_extra")), F.lit("function"), F.lit(0), one("z"), F.lit(False)))
+        .unionAll(s.filter(n % 3 == 1).select(attempt, F.col("pos") * 3 + 1, "symbol", F.lit("function"), n % 4, one("y"), n % 4 == 0))
+        .unionAll(s.filter(n % 4 == 1).select(attempt, F.col("pos") * 3 + 2, F.concat("symbol", F.lit("_extra")), F.lit("function"), F.lit(0), one("z"), F.lit(False)))
     )
     return ex, su
 
@@ -85,8 +85,8 @@ def j11_verdicts(spark, sf):
 
 
 _BLANKS = """bx AS (SELECT repo_id || ':' || path AS attempt, CASE WHEN length(symbol) % 2 = 0 THEN 'C.' || symbol ELSE symbol END AS full_name, symbol AS name, length(symbol) % 6 = 0 AS is_trivial FROM symbols),
- bs AS (SELECT repo_id || ':' || path AS attempt, length(symbol) AS idx, CASE WHEN length(symbol) % 4 = 0 THEN 'C.' || symbol WHEN length(symbol) % 4 = 1 THEN 'D.' || symbol ELSE symbol END AS full_name, symbol AS name, length(symbol) % 3 = 0 AS is_trivial FROM symbols WHERE length(symbol) % 5 <> 0
-   UNION ALL SELECT repo_id || ':' || path, length(symbol) + 100, symbol, symbol, true FROM symbols WHERE length(symbol) % 4 = 1),
+ bs AS (SELECT repo_id || ':' || path AS attempt, pos * 2 AS idx, CASE WHEN length(symbol) % 4 = 0 THEN 'C.' || symbol WHEN length(symbol) % 4 = 1 THEN 'D.' || symbol ELSE symbol END AS full_name, symbol AS name, length(symbol) % 3 = 0 AS is_trivial FROM symbols WHERE length(symbol) % 5 <> 0
+   UNION ALL SELECT repo_id || ':' || path, pos * 2 + 1, symbol, symbol, true FROM symbols WHERE length(symbol) % 4 = 1),
  bf AS (SELECT attempt, full_name AS k, arg_max(is_trivial, idx) AS t FROM bs GROUP BY ALL), bn AS (SELECT attempt, name AS k, arg_min(is_trivial, idx) AS t FROM bs GROUP BY ALL),
  bg AS (SELECT x.attempt, x.full_name, coalesce(a.t, b.t, c.t, d.t) AS t, x.is_trivial FROM bx x LEFT JOIN bf a ON a.attempt = x.attempt AND a.k = x.full_name LEFT JOIN bn b ON b.attempt = x.attempt AND b.k = x.full_name LEFT JOIN bf c ON c.attempt = x.attempt AND c.k = x.name LEFT JOIN bn d ON d.attempt = x.attempt AND d.k = x.name),
  graded AS (SELECT attempt, full_name, CASE WHEN t IS NULL THEN 'missing' WHEN NOT t OR is_trivial THEN 'implemented' ELSE 'unimplemented_stub' END AS status FROM bg)"""
@@ -98,8 +98,8 @@ def blanks(spark, sf):
     n, sym = F.length("symbol"), F.col("symbol")
     owned = lambda o: F.concat(F.lit(o + "."), sym)
     bx = s.select(attempt, F.when(n % 2 == 0, owned("C")).otherwise(sym).alias("full_name"), sym.alias("name"), (n % 6 == 0).alias("is_trivial"))
-    bs = s.filter(n % 5 != 0).select(attempt, n.alias("idx"), F.when(n % 4 == 0, owned("C")).when(n % 4 == 1, owned("D")).otherwise(sym).alias("full_name"), sym.alias("name"), (n % 3 == 0).alias("is_trivial"))
-    return C.grade_blanks(bx, bs.unionAll(s.filter(n % 4 == 1).select(attempt, n + 100, sym, sym, F.lit(True))))
+    bs = s.filter(n % 5 != 0).select(attempt, (F.col("pos") * 2).alias("idx"), F.when(n % 4 == 0, owned("C")).when(n % 4 == 1, owned("D")).otherwise(sym).alias("full_name"), sym.alias("name"), (n % 3 == 0).alias("is_trivial"))
+    return C.grade_blanks(bx, bs.unionAll(s.filter(n % 4 == 1).select(attempt, F.col("pos") * 2 + 1, sym, sym, F.lit(True))))
 
 
 @query("j13_blank_grading", "attempt string, full_name string, status string", with_views("symbols", f"WITH {_BLANKS} SELECT * FROM graded"))
@@ -146,12 +146,14 @@ def c16(spark, sf):
 
 # ---------------------------------------------------------------- texts; rows only, because SQL engines without look-behind cannot split them
 def narratives(spark, sf):
-    """A conversation is a milestone of one repository; some turns mention files, their own or another milestone's."""
+    """A conversation is a milestone about one file, of all repositories' files in turn; some turns mention files, their own or another's."""
     c = V.table(spark, sf, "conversations").filter("text <> ''")
-    n = (F.col("conv_id") % 50).alias("n")
-    own = B.file_table(spark, sf).filter("repo_id = 'src1'").select("n", "path")
-    t = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), V.text_of(F.col("conv_id")).alias("milestone"), "turn", "text", n)
-    joined = t.join(F.broadcast(own), "n", "left")
+    own = B.file_table(spark, sf)
+    sizes = own.groupBy("repo_id").agg(F.count(F.lit(1)).alias("size"))
+    repo = F.concat(F.lit("src"), V.text_of(F.col("conv_id") % 20)).alias("repo_id")
+    t = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), V.text_of(F.col("conv_id")).alias("milestone"), "turn", "text", "conv_id", repo)
+    t = t.join(sizes, "repo_id", "left").withColumn("n", F.floor(F.col("conv_id") / 20) % F.col("size"))
+    joined = t.join(own.select("repo_id", "n", "path"), ["repo_id", "n"], "left")
     said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" See `"), F.coalesce("path", F.lit("a.py")), F.lit("` first. Moreover, it runs. "))).when(
         F.col("turn") % 3 == 1, F.lit(" Then other/gone.py fails. Furthermore, nothing else does. ")).otherwise(F.lit(""))
     return joined.select("id", "milestone", F.concat("text", said, F.lit("Done.")).alias("text"), F.coalesce("path", F.lit("a.py")).alias("path"))

@@ -68,6 +68,7 @@ def _counted(df: DataFrame) -> tuple[DataFrame, str, int]:
 
 
 TRIM_WORTH = 0.1
+FOLDED = 16  # levels of a longest path that are put together in one table
 
 
 def trim(edges: DataFrame) -> tuple[DataFrame, str, int]:
@@ -165,20 +166,21 @@ def longest_depth(dag: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     spark = dag.sparkSession
     live, place, n = _counted(dag.select("repo_id", "source", "target"))
-    levels, places, k = [], [place], 0
+    reached, places, k, kept = nodes.select(*VERTEX, F.lit(0).alias("depth")), [place], 0, None
     while n:
         k += 1
-        levels.append(sources(live).withColumn("depth", F.lit(k)))
+        reached = reached.unionByName(sources(live).withColumn("depth", F.lit(k)))
         deep = live.select("repo_id", F.col("source").alias("target")).distinct()
         live, place, n = _counted(live.join(deep, ["repo_id", "target"], "left_semi").select("repo_id", "source", "target"))
         places.append(place)
-    reached = nodes.select(*VERTEX, F.lit(0).alias("depth"))
-    for level in levels:
-        reached = reached.unionByName(level)
-    out = write_table(reached.groupBy(*VERTEX).agg(F.max("depth").alias("depth")))[0]
-    for old in places:
-        drop_table(spark, old)
-    return out
+        if k % FOLDED == 0 or not n:
+            # the levels so far become one table, so that neither the plan nor the old edges pile up with the depth
+            reached, now = write_table(reached.groupBy(*VERTEX).agg(F.max("depth").alias("depth")))
+            for old in [*places[:-1], *([kept] if kept else [])]:
+                drop_table(spark, old)
+            places, kept = places[-1:], now
+    drop_table(spark, places[-1])
+    return reached if kept else write_table(reached)[0]
 
 
 def number_tiers(nodes: DataFrame) -> DataFrame:
@@ -248,27 +250,29 @@ def _fingerprint(df: DataFrame) -> tuple[DataFrame, str, tuple]:
     return table, place, (got["n"], got["s"], got["t"])
 
 
-def communities(edges: DataFrame, nodes: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """(repo_id, path, community): synchronous label propagation on the undirected graph.
+def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(repo_id, path, community): label propagation on the undirected graph, until no vertex wants another label.
 
-    Every vertex takes the label most common among its neighbours and itself, the smallest among equals. Stops when
-    nothing changes; graphs that oscillate stop after `max_rounds`, which is part of this operator's definition.
+    A vertex wants the label most common among its neighbours and itself, the smallest among equals. In every round a half of the vertices,
+    another one each time, chosen by a hash, takes what it wants; since neighbours seldom change together, agreement grows and no two labels
+    can be exchanged for ever. The result is a fixpoint: every vertex has the label it wants.
     """
     spark = edges.sparkSession
     und = edges.select("repo_id", "source", "target").unionByName(edges.select("repo_id", F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
     und, und_at = write_table(und)
     state, place, n = _store(nodes.select(*VERTEX, F.col("path").alias("community"), F.lit(True).alias("changed")))
-    for _ in range(max_rounds):
+    turn = 0
+    while n:
+        turn += 1
         sent = und.join(state.select("repo_id", F.col("path").alias("source"), "community"), ["repo_id", "source"]).select("repo_id", F.col("target").alias("path"), "community")
         votes = sent.unionByName(state.select(*VERTEX, "community")).groupBy(*VERTEX, "community").agg(F.count(F.lit(1)).alias("votes"))
         won = votes.groupBy(*VERTEX).agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("community").alias("c"))).alias("_w"))
+        mine = F.pmod(F.xxhash64(*VERTEX, F.lit(turn)), F.lit(2)) == 0
         moved = won.join(state.select(*VERTEX, F.col("community").alias("was")), VERTEX).select(
-            *VERTEX, F.col("_w.c").alias("community"), (F.col("_w.c") != F.col("was")).alias("changed"))
+            *VERTEX, F.when(mine, F.col("_w.c")).otherwise(F.col("was")).alias("community"), (F.col("_w.c") != F.col("was")).alias("changed"))
         nxt, where, n = _store(moved)
         drop_table(spark, place)
         state, place = nxt, where
-        if n == 0:
-            break
     drop_table(spark, und_at)
     return state.drop("changed")
 

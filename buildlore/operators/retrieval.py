@@ -15,7 +15,8 @@ from buildlore.operators.chunking import line_range
 from buildlore.operators.scale import first_rows
 
 DIMENSION = 128
-BLOCK_ROWS = 50_000
+QUERY_ROWS = 1024  # of a block; with ITEM_ROWS a block's scores take 64 MB
+ITEM_ROWS = 8192
 GRAPH_SCORE = 0.5  # fixed value: score of a chunk only the graph found
 SCORE_PLACES = 6
 
@@ -67,19 +68,31 @@ def normalized(vector: Column) -> Column:
     return bind(vector, lambda v: bind(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best scores of every row, best first; equal scores go to the smaller id, at the border too."""
+    k = min(k, scores.shape[1])
+    border = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    row, column = np.nonzero(scores >= border[:, None])
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, np.arange(len(scores)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], column[keep]
+
+
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> DataFrame:
     """queries(repo_id, query_id, vector) against items(repo_id, item_id, vector) of the same repository: exact cosine top-k.
 
     Items are cut into blocks of bounded size however large a repository is, and so are queries; each pair of blocks is
-    one matrix product that leaves at most k rows per query, so all pairs never exist as rows. Scores are rounded
-    before they are ranked and equal ones go to the smaller id, which makes the order independent of summation order.
+    one matrix product of at most `query_rows` x `item_rows` scores that leaves k rows per query, so all pairs never exist as rows. Scores are
+    rounded before they are ranked and equal ones go to the smaller id, which makes the order independent of summation order.
     """
 
-    def blocked(df: DataFrame, id_: str, name: str) -> DataFrame:
-        sizes = df.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(f"{name}s"))
+    def blocked(df: DataFrame, id_: str, name: str, rows: int) -> DataFrame:
+        sizes = df.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(f"{name}s"))
         return df.join(sizes, "repo_id").withColumn(name, F.pmod(F.xxhash64(id_), F.col(f"{name}s")).cast("int"))
 
-    q, it = blocked(queries, "query_id", "qb"), blocked(items, "item_id", "ib")
+    q, it = blocked(queries, "query_id", "qb", query_rows), blocked(items, "item_id", "ib", item_rows)
     # every query block meets every item block of its repository: replicate the block numbers, not the pairs
     other_q = q.groupBy("repo_id").agg(F.max("qbs").alias("qbs"))
     other_i = it.groupBy("repo_id").agg(F.max("ibs").alias("ibs"))
@@ -88,19 +101,15 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int =
     kinds = f"repo_id string, query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double"
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"repo_id": [], "query_id": [], "item_id": [], "score": []})
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame({"repo_id": [], "query_id": [], "item_id": [], "score": []})
         a, b = (np.vstack(x["vector"].to_numpy()).astype(np.float64) for x in (left, right))
         a, b = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (a, b))
-        scores = np.round(a @ b.T, SCORE_PLACES)
+        scores = a @ b.T
+        np.round(scores, SCORE_PLACES, out=scores)
         ids = right["item_id"].to_numpy()
-        rank = np.argsort(ids, kind="stable")
-        scores, ids = scores[:, rank], ids[rank]
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(left)), best.shape[1])
-        return pd.DataFrame({"repo_id": left["repo_id"].iloc[0], "query_id": left["query_id"].to_numpy()[rows], "item_id": ids[best.ravel()],
-                             "score": scores[rows, best.ravel()]})
+        row, column = best_of(scores, ids, k)
+        return pd.DataFrame({"repo_id": left["repo_id"].iloc[0], "query_id": left["query_id"].to_numpy()[row], "item_id": ids[column], "score": scores[row, column]})
 
     keys = ["repo_id", "qb", "ib"]
     found = q.groupBy(*keys).cogroup(it.groupBy(*keys)).applyInPandas(block, kinds)
@@ -152,7 +161,8 @@ def detect_focus(queries: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 5, graph_k: int = 5, cap: int = 10) -> DataFrame:
-    """queries(repo_id, query_id, text, path): vector and graph retrieval, fused. `path` may be null."""
+    """queries(repo_id, query_id, text, path): vector and graph retrieval, fused. `path` may be null; queries without text find nothing."""
+    queries = queries.filter(F.col("text").isNotNull())
     q = with_weights(queries.select("repo_id", "query_id", "text"), "text", "vector").drop("text")
     items = with_weights(chunks.select("repo_id", F.col("chunk_id").alias("item_id"), "content"), "content", "vector").drop("content")
     by_vector = vector_topk(q, items, k).withColumnRenamed("item_id", "chunk_id")

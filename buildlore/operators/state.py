@@ -40,11 +40,18 @@ def latest_values(events: DataFrame, keys: list[str], order: list[str], columns:
 
 
 def stale_runs(repos: DataFrame, now: Column, timeout: int = STALE_SECONDS) -> DataFrame:
-    """Runs still processing long after their last heartbeat become failed, with the reason."""
+    """Of each address and commit the newest unexpired run becomes failed, with the reason, if it still processes long after its last heartbeat.
+
+    Older and expired runs stay as they are. Of runs created at the same time the one with the smaller id counts as the newest.
+    """
     age = F.timestamp_diff("SECOND", F.col("created_at"), now)
-    stale = (F.col("status") == "processing") & (age >= timeout)
+    live = repos.filter(F.col("expires_at") > now)
+    newest = live.groupBy("github_url", "commit_hash").agg(F.max_by("id", F.struct("created_at", -F.col("id"))).alias("id")).select("id", F.lit(True).alias("_newest"))
+    repos = repos.join(newest, "id", "left")
+    stale = F.col("_newest").isNotNull() & (F.col("status") == "processing") & (age >= timeout)
     message = F.concat(F.lit("Processing lock expired after "), age.cast("string"), F.lit(f"s (timeout: {timeout}s). Dead worker detected; lock reclaimed."))
-    return repos.withColumn("error_message", F.when(stale, message)).withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
+    failed = F.when(stale, "failed").otherwise(F.col("status"))
+    return repos.withColumn("error_message", F.when(stale, message)).withColumn("status", failed).drop("_newest")
 
 
 def retained(repos: DataFrame, now: Column) -> DataFrame:

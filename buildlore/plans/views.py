@@ -22,15 +22,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For per-row work that costs far more than moving the row: use all cores even if the input is one small file.
-
-    An input with at least as many splits as there are cores, which any large one has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def now() -> Column:
     return F.lit(NOW).cast("timestamp_ntz")
 
@@ -99,9 +90,9 @@ def raw_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Up to six symbols per file: its first words of three letters or more."""
-    found = F.slice(F.filter(F.split("content", WORD_BREAK), lambda w: F.length(w) >= 3), 1, 6)
-    return files(spark, sf).select("repo_id", "path", F.explode(F.array_distinct(found)).alias("symbol"))
+    """Every distinct word of three letters or more as a symbol of its file, with its place among them in name order."""
+    found = F.array_sort(F.array_distinct(F.filter(F.split("content", WORD_BREAK), lambda w: F.length(w) >= 3)))
+    return files(spark, sf).select("repo_id", "path", F.posexplode(found).alias("pos", "symbol"))
 
 
 def _code_path(n: Column) -> Column:

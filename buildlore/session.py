@@ -17,6 +17,7 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "20g") ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName("buildlore")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.sql.files.minPartitionNum", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -39,7 +39,7 @@ def test_top_k_over_blocks(spark):
     items += [("r1", 1000 + i, items[1][2]) for i in range(4)]  # equal scores
     queries = [(r, q, rng.normal(size=6).tolist()) for r in ("r1", "r2", "r3") for q in range(3)] + [("r1", 9, items[1][2])]
     got = R.vector_topk(spark.createDataFrame(queries, "repo_id string, query_id int, vector array<double>"),
-                        spark.createDataFrame(items, "repo_id string, item_id int, vector array<double>"), 4, block_rows=40)
+                        spark.createDataFrame(items, "repo_id string, item_id int, vector array<double>"), 4, query_rows=40, item_rows=40)
     found = {}
     for r in got.collect():
         found.setdefault((r["repo_id"], r["query_id"]), []).append((r["rank"], r["item_id"]))

@@ -165,3 +165,39 @@ def test_submissions(spark):
     assert rows[0]["error"].startswith("SyntaxError")
     assert [(r["name"], r["full_name"], r["kind"], r["arg_count"], r["is_stub"], r["is_async"]) for r in rows[1:]] == [
         ("A", "A", "class", None, False, False), ("m", "A.m", "method", 3, True, False), ("go", "go", "function", 0, False, True), ("todo", "todo", "function", 0, True, False)]
+
+
+def test_one_bad_file_document_or_pattern_is_a_marked_row(spark):
+    from pyspark.sql import functions as F
+
+    from buildlore.functions.text import MALFORMED, output_matches, scrub_json
+    from buildlore.operators.extraction import python_facts
+    from buildlore.operators.verification import submitted_symbols
+
+    long = "x = " + " + ".join(["1"] * 5000)
+    code = [("r", "deep.py", long), ("r", "bad.py", "def broken(:"), ("r", "good.py", "if True:\n    import os\nfrom a import *\n__import__('m')\n"), ("r", "nested.py", "(" * 500), ("r", "none.py", None)]
+    files = spark.createDataFrame(code, "repo_id string, path string, content string")
+    rows = {r.path: r for r in python_facts(files).collect()}
+    assert rows["bad.py"].error and rows["nested.py"].error and not rows["good.py"].error and not rows["none.py"].error
+    assert [(i.symbol, i.import_type, i.may_resolve, i.line) for i in rows["good.py"].imports] == [("os", "conditional", True, 2), ("a", "star", False, 3), ("m", "dynamic", False, 4)]
+    assert rows["deep.py"].error is None or "Recursion" in rows["deep.py"].error
+    told = {r.attempt: r for r in submitted_symbols(files.selectExpr("path AS attempt", "content AS code")).collect()}
+    assert told["bad.py"].error.startswith("SyntaxError") and told["nested.py"].error
+    docs = spark.createDataFrame([('{"a":[{"Card":1}],"b":2}',), ("{",), ("[" * 100_000,), (None,), ("7",), ('"x"',)], "d string")
+    assert [r[0] for r in docs.coalesce(1).select(scrub_json("d")).collect()] == ['{"a":[{"Card":"[REDACTED]"}],"b":2}', MALFORMED, MALFORMED, None, "7", '"x"']
+    runs = spark.createDataFrame([("abc", "b.", "regex"), ("abc", "(", "regex"), (" abc", "abc ", "exact"), ("abc", "z", "contains")], "o string, e string, m string")
+    assert [r[0] for r in runs.coalesce(1).select(output_matches(F.col("o"), F.col("e"), F.col("m"))).collect()] == [True, None, True, False]
+
+
+def test_best_scores_keep_the_smaller_of_equal_ids():
+    import numpy as np
+
+    from buildlore.operators.retrieval import ITEM_ROWS, QUERY_ROWS, best_of
+
+    rng = np.random.default_rng(1)
+    scores, ids = rng.integers(0, 4, (30, 50)) / 4.0, rng.permutation(50)
+    row, column = best_of(scores, ids, 7)
+    for r in range(30):
+        want = sorted(range(50), key=lambda c: (-scores[r, c], ids[c]))[:7]
+        assert column[row == r].tolist() == want
+    assert QUERY_ROWS * ITEM_ROWS * 8 <= 256 << 20
