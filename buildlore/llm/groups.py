@@ -7,6 +7,7 @@ compares two blocks; small groups are packed, many to a task. So no task holds m
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -126,14 +127,15 @@ def _compare(group: int, ids: np.ndarray, sets: list, lists: list, weight: np.nd
     return (ids[has], links[has]), (ids[joined], ids[root[joined]])
 
 
-def verify(members: DataFrame, sets: DataFrame, rows: int, least: Fraction) -> DataFrame:
-    """(id, mate, links) from `members` (group, id, n) and `sets` (id, tokens, weight): the pairs of sets whose Jaccard similarity is `least`.
+def verify(members: DataFrame, texts: DataFrame, rows: int, least: Fraction, sets_of: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
+    """(id, mate, links) from `members` (group, id, n) and `texts` (id, text, weight): the pairs whose Jaccard similarity is `least` or more.
 
-    Rows with a mate are spanning links: the components of the links are those of these rows. Rows without one add the weights of the linked
-    sets to their id. Every pair that meets in a group is compared exactly, and counted once.
+    `sets_of` makes a text's set of sorted distinct tokens; texts move and not sets, as they are smaller. Rows with a mate are spanning links:
+    the components of the links are those of these rows. Rows without one add the weights of the linked sets to their id. Every pair that
+    meets in a group is compared exactly, and counted once.
     """
     lists = members.groupBy("id").agg(F.sort_array(F.collect_list("group")).alias("groups"))  # as many as the sets' runs gave it
-    payload = sets.join(lists, "id")
+    payload = texts.join(lists, "id")
     full = tasks(members, rows).join(payload, "id")
 
     def run(table: pa.Table) -> pa.Table:
@@ -141,12 +143,10 @@ def verify(members: DataFrame, sets: DataFrame, rows: int, least: Fraction) -> D
         group, ids, own, weight = (table[c].to_numpy() for c in ("group", "id", "own", "weight"))
         i, j = int(table["i"][0].as_py()), int(table["j"][0].as_py())
 
-        def lists_of(name: str) -> list[np.ndarray]:
-            column = table[name].chunk(0) if table[name].num_chunks else pa.array([], pa.list_(pa.int64()))
-            at, flat = np.asarray(column.offsets), np.asarray(column.values)
-            return [flat[x:y] for x, y in zip(at[:-1], at[1:])]
-
-        tokens, own_groups = lists_of("tokens"), lists_of("groups")
+        column = table["groups"].chunk(0)
+        at, flat = np.asarray(column.offsets), np.asarray(column.values)
+        own_groups = [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+        tokens = sets_of(table["text"].chunk(0))
         found_ids, found_mates, found_links = [], [], []
         order = np.argsort(group, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
@@ -190,12 +190,13 @@ def scratch(df: DataFrame, made: list[str]) -> DataFrame:
 
 
 def likely_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, _text) whose id may be among `ids`: all that are, and of the others few while ids number some millions.
+    """The rows (id, ...) whose id is among the distinct `ids`, and few others: for a join that follows and should not move every text.
 
-    A Bloom filter of at most `FILTER_BITS` bits, read by the tasks that scan, so that the join that follows moves few texts. With very many
-    ids the filter lets everything through and only the join decides.
+    A Bloom filter of at most `FILTER_BITS` bits is read by the tasks that scan. Ids too many for it are joined instead.
     """
     n = max(1, ids.count())
+    if n * 8 > FILTER_BITS:
+        return rows.join(ids, "id", "left_semi")
     bits = min(FILTER_BITS, 1 << max(10, (n * 12).bit_length()))
     at = [F.shiftrightunsigned(F.xxhash64("id", F.lit(k)), 64 - (bits.bit_length() - 1)) for k in range(4)]
     words = ids.select(F.explode(F.array(*at)).alias("at")).select(F.shiftright("at", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
@@ -203,6 +204,7 @@ def likely_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
     filled = np.zeros(bits // 64, np.int64)
     filled[told["word"].to_numpy()] = told["bits"].to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
+    names = rows.columns
     hashed = rows.select("*", *[a.alias(f"_at{k}") for k, a in enumerate(at)])
 
     def run(batches):
@@ -211,6 +213,6 @@ def likely_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
             for k in range(4):
                 at = batch.column(batch.schema.get_field_index(f"_at{k}")).to_numpy()
                 keep &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            yield batch.select(["id", "_text"]).filter(pa.array(keep))
+            yield batch.select(names).filter(pa.array(keep))
 
     return hashed.mapInArrow(run, rows.schema)

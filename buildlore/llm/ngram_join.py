@@ -48,44 +48,34 @@ def runs_for(recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost_in_a_run())))
 
 
-def _shingle_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    (texts,) = T.columns_of(batch, "_text")
+def _shingles(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, shingle hashes, their texts) of a column in slices."""
     for a, b in T.slices(texts):
         data, at = T.utf8(pc.utf8_lower(texts[a:b]))
         h, doc, _, _ = T.words(data, at)
         yield a, b, *T.shingles(h, doc, WORDS)
 
 
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    return [s for a, b, h, doc in _shingles(texts) for s in T.sets(h, doc, b - a)]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n, a, b, signature): the size of each text's set of shingles, a 128-bit name of the set, and its MinHash values."""
+    """(id, mark, n, a, b, signature): the size of each text's set of shingles, a 128-bit name of the set, and its MinHash values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (ids,) = T.columns_of(batch, "id")
-            for a, b, h, doc in _shingle_slices(batch):
+            ids, marks, texts = T.columns_of(batch, "id", "mark", "text")
+            for a, b, h, doc in _shingles(texts):
                 sig = T.minhash(h, doc, b - a, POSITIONS).view(np.int32)
                 own = T.sets(h, doc, b - a)
                 name = [(len(s), int(T.mix(s).sum().view(np.int64)), int(T.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64))) for s in own]
                 n, x, y = (pa.array([t[k] for t in name], pa.int64()) for k in range(3))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * POSITIONS), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([ids[a:b], n, x, y, flat], ["id", "n", "a", "b", "signature"])
-
-    return docs.mapInArrow(run, "id bigint, n bigint, a bigint, b bigint, signature array<int>")
-
-
-def token_sets(docs: DataFrame) -> DataFrame:
-    """(id, tokens): the sorted distinct shingle hashes of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (ids,) = T.columns_of(batch, "id")
-            for a, b, h, doc in _shingle_slices(batch):
-                own = T.sets(h, doc, b - a)
-                at = np.r_[0, np.cumsum([len(s) for s in own])].astype(np.int32)
-                flat = np.concatenate(own).view(np.int64) if len(own) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], marks[a:b], n, x, y, flat], ["id", "mark", "n", "a", "b", "signature"])
 
-    return docs.mapInArrow(run, "id bigint, tokens array<bigint>")
+    return docs.mapInArrow(run, "id bigint, mark bigint, n bigint, a bigint, b bigint, signature array<int>")
 
 
 def buckets(classes: DataFrame, made: list[str], recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -145,22 +135,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float
     """(key, class_id, n_links) of every distinct key: the smallest key it is connected with by links, and how many other keys it links with.
 
     Words are runs of characters other than ASCII white space, in lower case; a text of one to four words is one shingle. A text without
-    words, null ones included, links with nothing and is its own class. Rows with a null key are left out; a key that repeats with the same
-    text counts once, one that has several texts joins their classes and takes the largest number of links. Other columns are not looked
-    at. Equal sets always meet; a pair at the threshold is found with probability `recall` at least, more similar ones more surely.
+    words, null ones included, links with nothing and is its own class. Rows with a null key are left out; a key that repeats counts once,
+    and if its texts differ, with the one that has the fewest distinct shingles. Other columns are not looked at. Equal sets always meet; a pair at the threshold is found with probability `recall` at least, more similar ones more surely.
     """
     made: list[str] = []
     spark = docs.sparkSession
-    slim = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("_text"))
-    named = G.scratch(signatures(slim).dropDuplicates(["id", "n", "a", "b"]), made)
-    classes = named.filter("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("signature").alias("signature"))
-    classes = G.scratch(classes, made)
+    slim = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    one = F.min_by(F.struct("n", "a", "b", "mark", "signature"), F.struct("n", "a", "b", "mark"))
+    named = G.scratch(signatures(slim).groupBy("id").agg(one.alias("_s")).select("id", "_s.*"), made)
+    least = F.min(F.struct("id", "mark")).alias("_r")
+    classes = named.filter("n > 0").groupBy("n", "a", "b").agg(least, F.count(F.lit(1)).alias("weight"), F.first("signature").alias("signature"))
+    classes = G.scratch(classes.select("n", "a", "b", F.col("_r.id").alias("rep"), F.col("_r.mark").alias("mark"), "weight", "signature"), made)
     members = G.scratch(candidates(classes.select(F.col("rep").alias("id"), "signature"), made, recall), made)
-    wanted = members.select("id").distinct()
-    # the texts are read again, and only those of classes with a candidate are hashed and moved
-    chosen = G.likely_members(slim, wanted).join(wanted, "id", "left_semi")
-    sets = token_sets(chosen).dropDuplicates(["id"]).join(classes.select(F.col("rep").alias("id"), "weight"), "id")
-    found = G.scratch(G.verify(members, sets, members.count(), SIMILARITY), made)
+    # the texts are read again, and only those of classes with a candidate move
+    chosen = G.likely_members(slim, members.select("id").distinct())
+    own = classes.select(F.col("rep").alias("id"), F.col("mark").alias("_mark"), "weight")
+    texts = chosen.join(own, "id").filter("mark = _mark").dropDuplicates(["id"]).select("id", "text", "weight")
+    found = G.scratch(G.verify(members, texts, members.count(), SIMILARITY, shingle_sets), made)
     links = found.filter("mate is null").groupBy("id").agg(F.sum("links").alias("links"))
     connected = G.components(found.filter("mate is not null").select("id", "mate"))
     told = classes.select("n", "a", "b", "rep", "weight").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(connected.withColumnRenamed("id", "rep"), "rep", "left")

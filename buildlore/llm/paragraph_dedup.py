@@ -152,18 +152,26 @@ def banded_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, a bigint, b bigint, bands array<bigint>")
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
-    """(id, tokens) of every whole line of at least `LEAST_WORDS` words: its first hash and its sorted distinct shingle hashes."""
+def line_texts(docs: DataFrame) -> DataFrame:
+    """(id, text) of every whole line of at least `LEAST_WORDS` words: its first hash, and itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cut in _cuts(batches):
-            rows, h, place = cut.line_shingles()
-            own = T.sets(h, place, len(rows))
-            at = np.r_[0, np.cumsum([len(s) for s in own])].astype(np.int32)
-            flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cut.a[rows]), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "tokens"])
+            rows = np.flatnonzero(cut.whole)
+            first, last = cut.starts[cut.first[rows]], cut.ends[cut.stop[rows] - 1]
+            lines = [cut.data[x:y].tobytes().decode() for x, y in zip(first, last)]
+            yield pa.RecordBatch.from_arrays([pa.array(cut.a[rows]), pa.array(lines, pa.string())], ["id", "text"])
+
+    return docs.mapInArrow(run, "id bigint, text string")
 
-    return docs.mapInArrow(run, "id bigint, tokens array<bigint>")
+
+def line_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of lines whose ASCII letters are small, as `line_texts` gives them."""
+    out = []
+    for a, b in T.slices(texts):
+        h, doc, _, _ = T.words(*T.utf8(texts[a:b]))
+        out += T.sets(*T.shingles(h, doc, WORDS), b - a)
+    return out
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,10 +191,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     colliding = G.scratch(rows.join(sizes.select("group"), "group").distinct(), made)
     members = G.scratch(G.merged(colliding, made), made)
     wanted = members.select("id").distinct()
-    held = G.scratch(lines.join(wanted, lines["a"] == wanted["id"], "left_semi").select("doc").distinct(), made)
-    chosen = G.likely_members(slim, held.select(F.col("doc").alias("id"))).join(held.select(F.col("doc").alias("id")), "id", "left_semi")
-    sets = line_sets(chosen).join(wanted, "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"), F.lit(1).cast("bigint").alias("weight"))
-    found = G.scratch(G.verify(members, sets, members.count(), SIMILARITY).filter("mate is not null").select("id", "mate"), made)
+    held = G.scratch(lines.join(wanted, lines["a"] == wanted["id"], "left_semi").select(F.col("doc").alias("id")).distinct(), made)
+    # the documents that hold candidate lines are read again, and of those only the lines that are wanted move
+    texts = G.likely_members(line_texts(G.likely_members(slim, held)), wanted).dropDuplicates(["id"]).withColumn("weight", F.lit(1).cast("bigint"))
+    found = G.scratch(G.verify(members, texts, members.count(), SIMILARITY, line_sets).filter("mate is not null").select("id", "mate"), made)
     linked = G.components(found)
     # an occurrence's class is its line's component, or else its own words
     units = paragraphs(slim).distinct()
