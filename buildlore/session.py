@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGED: dict[tuple[str, str], DataFrame] = {}
+_STAGED: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "20g") -> SparkSession:
@@ -67,9 +66,29 @@ def drop_table(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _stamp(spark: SparkSession, location: str) -> tuple:
+    """Name, size and time of every file below a folder: what a table built from it depends on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def staged(spark: SparkSession, name: str, location: str, build) -> DataFrame:
-    """Build an intermediate table once per session and input folder, then share it between the plans that need it."""
-    key = (spark.sparkContext.applicationId, f"{name}@{os.path.abspath(location)}")
+    """Build an intermediate table once per session and state of the input folder, then share it between the plans that need it.
+
+    If the folder's files have changed, the table is built anew; the old one goes with `forget`, as a plan may still read it.
+    """
+    key = (spark.sparkContext.applicationId, f"{name}@{location}", _stamp(spark, location))
     if key not in _STAGED:
-        _STAGED[key] = materialize(build())
-    return _STAGED[key]
+        _STAGED[key] = write_table(build())
+    return _STAGED[key][0]
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop every staged table of this session; for callers that have read their results."""
+    for key in [k for k in _STAGED if k[0] == spark.sparkContext.applicationId]:
+        drop_table(spark, _STAGED.pop(key)[1])
