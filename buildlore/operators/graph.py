@@ -67,15 +67,8 @@ def _counted(df: DataFrame) -> tuple[DataFrame, str, int]:
     return _store(df.withColumn("changed", F.lit(True)))
 
 
-TRIM_WORTH = 0.1
-FOLDED = 16  # levels of a longest path that are put together in one table
-
-
 def trim(edges: DataFrame) -> tuple[DataFrame, str, int]:
-    """Drop edges that cannot lie on or between cycles: nothing enters their source or nothing leaves their target.
-
-    This only makes later rounds smaller, so it stops once a pass drops less than a tenth of what is left.
-    """
+    """Drop edges that cannot lie on or between cycles, to the end: nothing enters their source or nothing leaves their target."""
     spark = edges.sparkSession
     live, place, n = _counted(edges.select("repo_id", "source", "target"))
     while n:
@@ -85,8 +78,8 @@ def trim(edges: DataFrame) -> tuple[DataFrame, str, int]:
         smaller, where, m = _counted(kept.select("repo_id", "source", "target"))
         drop_table(spark, place)
         live, place = smaller, where
-        if n - m <= n * TRIM_WORTH:
-            return live, place, m
+        if m == n:
+            break
         n = m
     return live, place, n
 
@@ -111,20 +104,75 @@ def _reach_labels(live: DataFrame) -> tuple[DataFrame, str]:
     return state, place
 
 
+def chain_ends(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(repo_id, path, end, dist, low, loop) of the inner vertices of chains: those with one way in and one way out.
+
+    `end` is the first vertex behind that is no inner one, `dist` edges away. Inner vertices that form a cycle by themselves have no end:
+    for them `loop` is set and `low` is the cycle's smallest vertex. Pointers double in each round, so a chain of n takes log n rounds.
+    """
+    spark = edges.sparkSession
+    out = edges.groupBy("repo_id", F.col("source").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("end"))
+    into = edges.groupBy("repo_id", F.col("target").alias("path")).agg(F.count(F.lit(1)).alias("m"))
+    inner = out.filter("n = 1").join(into.filter("m = 1"), VERTEX).filter("path <> end")
+    state, place, n = _counted(inner.select(*VERTEX, "end", F.lit(1).cast("bigint").alias("dist"), F.col("path").alias("low")))
+    reach, open_ends = 1, n
+    while open_ends and reach < 2 * n:
+        ahead = state.select("repo_id", F.col("path").alias("end"), F.col("end").alias("e2"), F.col("dist").alias("d2"), F.col("low").alias("l2"))
+        both = state.drop("changed").join(ahead, ["repo_id", "end"], "left")
+        further = both.select(*VERTEX, F.coalesce("e2", "end").alias("end"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"),
+                              F.least("low", "l2").alias("low"), F.col("e2").isNotNull().alias("changed"))
+        nxt, where, open_ends = _store(further)
+        drop_table(spark, place)
+        state, place, reach = nxt, where, reach * 2
+    # whoever still moves after as many steps as there are inner vertices goes round in a circle
+    return state.withColumnRenamed("changed", "loop") if open_ends else state.withColumn("loop", F.lit(False)).drop("changed"), place
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(repo_id, path, scc) for the members of components with two or more files; `scc` is the smallest member.
 
-    A vertex whose smallest ancestor is also its smallest descendant shares a component with it. Each pass assigns at
-    least the component of the smallest vertex left and keeps only edges inside one (ancestor, descendant) class.
+    Chains become single edges first, and cycles that are nothing but a chain are found on the way, so long ones take few rounds. On what is
+    left, a vertex whose smallest ancestor is also its smallest descendant shares a component with it.
     """
     spark = edges.sparkSession
-    found: DataFrame | None = None
+    edges, edges_at = write_table(edges.select("repo_id", "source", "target").filter("source <> target").distinct())
+    ahead, ahead_at = chain_ends(edges)
+    circles = ahead.filter("loop").select(*VERTEX, F.col("low").alias("key"))
+    open_edges = edges.join(circles.select("repo_id", F.col("path").alias("source")), ["repo_id", "source"], "left_anti")
+    back, back_at = chain_ends(open_edges.select("repo_id", F.col("target").alias("source"), F.col("source").alias("target")))
+    inner = ahead.filter("NOT loop").select(*VERTEX, F.col("end").alias("to")).join(back.filter("NOT loop").select(*VERTEX, F.col("end").alias("of")), VERTEX)
+    inner, inner_at = write_table(inner)
+    outer = open_edges.join(ahead.select("repo_id", F.col("path").alias("source")), ["repo_id", "source"], "left_anti")
+    short = outer.join(inner.select("repo_id", F.col("path").alias("target"), "to"), ["repo_id", "target"], "left")
+    short = short.select("repo_id", "source", F.coalesce("to", "target").alias("target")).filter("source <> target").distinct()
+    core = _core_components(short)
+    ends = core.select(*VERTEX, F.col("scc").alias("key"))
+    # an inner vertex is on a cycle if its chain's two ends are one vertex, or lie in one component
+    at_start = inner.join(ends.select("repo_id", F.col("path").alias("of"), F.col("key").alias("k1")), ["repo_id", "of"], "left")
+    placed = at_start.join(ends.select("repo_id", F.col("path").alias("to"), F.col("key").alias("k2")), ["repo_id", "to"], "left")
+    closed = placed.filter((F.col("of") == F.col("to")) | (F.col("k1") == F.col("k2")))
+    own = closed.select(*VERTEX, F.coalesce("k1", "of").alias("key"))
+    heads = closed.select("repo_id", F.col("of").alias("path"), F.coalesce("k1", "of").alias("key")).distinct()
+    members, members_at = write_table(ends.unionByName(own).unionByName(heads).unionByName(circles).distinct())
+    named = members.groupBy("repo_id", "key").agg(F.min("path").alias("scc"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    out, _ = write_table(members.join(named, ["repo_id", "key"]).select(*VERTEX, "scc", "size"))
+    for old in (edges_at, ahead_at, back_at, inner_at, members_at):
+        drop_table(spark, old)
+    return out
+
+
+def _core_components(edges: DataFrame) -> DataFrame:
+    """(repo_id, path, scc): components of two or more by smallest ancestor and descendant.
+
+    Each pass assigns at least the component of the smallest vertex left and keeps only edges inside one (ancestor, descendant) class.
+    """
+    spark = edges.sparkSession
+    found, places = sources(edges).limit(0).withColumn("scc", F.col("path")), []
     live, place, n = trim(edges)
     while n:
         labels, labels_at = _reach_labels(live)
-        hit = labels.filter(F.col("fwd") == F.col("bwd")).select(*VERTEX, F.col("fwd").alias("scc"))
-        part = write_table(hit)[0]
-        found = part if found is None else found.unionByName(part)
+        part, part_at = write_table(labels.filter(F.col("fwd") == F.col("bwd")).select(*VERTEX, F.col("fwd").alias("scc")))
+        found, places = found.unionByName(part), [*places, part_at]
         rest = labels.filter(F.col("fwd") != F.col("bwd")).select("repo_id", "path", F.struct("fwd", "bwd").alias("k"))
         inside = (
             live.join(rest.select("repo_id", F.col("path").alias("source"), F.col("k").alias("ks")), ["repo_id", "source"])
@@ -135,10 +183,12 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         drop_table(spark, place)
         drop_table(spark, labels_at)
         live, place = smaller, where
-    if found is None:
-        return sources(edges).limit(0).withColumn("scc", F.col("path"))
+    drop_table(spark, place)
     big = found.groupBy("repo_id", "scc").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return found.join(big, ["repo_id", "scc"]).select(*VERTEX, "scc", "size")
+    out, _ = write_table(found.join(big, ["repo_id", "scc"]).select(*VERTEX, "scc"))
+    for old in places:
+        drop_table(spark, old)
+    return out
 
 
 def with_scc(nodes: DataFrame, scc: DataFrame) -> DataFrame:
@@ -161,26 +211,32 @@ def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:
 def longest_depth(dag: DataFrame, nodes: DataFrame) -> DataFrame:
     """(repo_id, path, depth) over an acyclic graph: 0 without prerequisites, else one more than the deepest of them.
 
-    A vertex has depth k or more exactly if it is a source among the edges whose target has depth k - 1 or more. Each
-    round keeps only those edges, so the graph shrinks and no per-vertex state is rewritten.
+    Chains become single edges that count their steps. On the vertices left, depths rise until none does: in each round only vertices that
+    have just risen tell those that depend on them. The inner vertices of a chain follow from its end.
     """
     spark = dag.sparkSession
-    live, place, n = _counted(dag.select("repo_id", "source", "target"))
-    reached, places, k, kept = nodes.select(*VERTEX, F.lit(0).alias("depth")), [place], 0, None
+    dag, dag_at = write_table(dag.select("repo_id", "source", "target").distinct())
+    ahead, ahead_at = chain_ends(dag)
+    inner = ahead.select(*VERTEX, "end", "dist")
+    outer = dag.join(inner.select("repo_id", F.col("path").alias("source")), ["repo_id", "source"], "left_anti")
+    short = outer.join(inner.select("repo_id", F.col("path").alias("target"), "end", "dist"), ["repo_id", "target"], "left")
+    short = short.select("repo_id", "source", F.coalesce("end", "target").alias("target"), (F.coalesce("dist", F.lit(0)) + 1).alias("steps"))
+    short, short_at = write_table(short.groupBy("repo_id", "source", "target").agg(F.max("steps").alias("steps")))
+    ends = vertices(short).unionByName(inner.select("repo_id", F.col("end").alias("path"))).distinct()
+    state, place, n = _store(ends.select(*VERTEX, F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("changed")))
     while n:
-        k += 1
-        reached = reached.unionByName(sources(live).withColumn("depth", F.lit(k)))
-        deep = live.select("repo_id", F.col("source").alias("target")).distinct()
-        live, place, n = _counted(live.join(deep, ["repo_id", "target"], "left_semi").select("repo_id", "source", "target"))
-        places.append(place)
-        if k % FOLDED == 0 or not n:
-            # the levels so far become one table, so that neither the plan nor the old edges pile up with the depth
-            reached, now = write_table(reached.groupBy(*VERTEX).agg(F.max("depth").alias("depth")))
-            for old in [*places[:-1], *([kept] if kept else [])]:
-                drop_table(spark, old)
-            places, kept = places[-1:], now
-    drop_table(spark, places[-1])
-    return reached if kept else write_table(reached)[0]
+        risen = state.filter("changed").select("repo_id", F.col("path").alias("target"), "depth")
+        told = short.join(risen, ["repo_id", "target"]).select("repo_id", F.col("source").alias("path"), (F.col("steps") + F.col("depth")).alias("depth"), F.lit(None).cast("bigint").alias("was"))
+        both = state.select(*VERTEX, "depth", F.col("depth").alias("was")).unionByName(told).groupBy(*VERTEX).agg(F.max("depth").alias("depth"), F.max("was").alias("was"))
+        nxt, where, n = _store(both.select(*VERTEX, "depth", (F.col("depth") > F.col("was")).alias("changed")))
+        drop_table(spark, place)
+        state, place = nxt, where
+    behind = inner.join(state.select("repo_id", F.col("path").alias("end"), F.col("depth").alias("rest")), ["repo_id", "end"]).select(*VERTEX, (F.col("dist") + F.col("rest")).alias("depth"))
+    reached = nodes.select(*VERTEX, F.lit(0).cast("bigint").alias("depth")).unionByName(state.select(*VERTEX, "depth")).unionByName(behind)
+    out = write_table(reached.groupBy(*VERTEX).agg(F.max("depth").cast("int").alias("depth")))[0]
+    for old in (dag_at, ahead_at, short_at, place):
+        drop_table(spark, old)
+    return out
 
 
 def number_tiers(nodes: DataFrame) -> DataFrame:
@@ -267,7 +323,7 @@ def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         sent = und.join(state.select("repo_id", F.col("path").alias("source"), "community"), ["repo_id", "source"]).select("repo_id", F.col("target").alias("path"), "community")
         votes = sent.unionByName(state.select(*VERTEX, "community")).groupBy(*VERTEX, "community").agg(F.count(F.lit(1)).alias("votes"))
         won = votes.groupBy(*VERTEX).agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("community").alias("c"))).alias("_w"))
-        mine = F.pmod(F.xxhash64(*VERTEX, F.lit(turn)), F.lit(2)) == 0
+        mine = F.crc32(F.concat_ws(":", *VERTEX, F.lit(turn)).cast("binary")) % 2 == 0
         moved = won.join(state.select(*VERTEX, F.col("community").alias("was")), VERTEX).select(
             *VERTEX, F.when(mine, F.col("_w.c")).otherwise(F.col("was")).alias("community"), (F.col("_w.c") != F.col("was")).alias("changed"))
         nxt, where, n = _store(moved)

@@ -73,7 +73,7 @@ def test_long_chain_is_one_component(spark):
 def test_communities_match_plain_version(spark):
     nodes = {n: sorted({x for e in edges for x in e} | {"zz"}) for n, edges in CASES.items()}
     df = spark.createDataFrame([(r, p) for r, ps in nodes.items() for p in ps], "repo_id string, path string")
-    assert by_repo(G.communities(all_cases(spark), df), "community") == {n: propagate(nodes[n], e) for n, e in CASES.items()}
+    assert by_repo(G.communities(all_cases(spark), df), "community") == {n: propagate(n, nodes[n], e) for n, e in CASES.items()}
 
 
 def test_unknown_file_takes_its_neighbours_domain(spark):
@@ -87,3 +87,34 @@ def test_vote_needs_half(spark):
     rows = [("r", "a", "c", "docs"), ("r", "b", "c", "core"), ("r", "d", "c", "tests"), ("r", "x", "c", "uncategorized")]
     df = spark.createDataFrame(rows, "repo_id string, path string, community string, domain string")
     assert as_map(G.community_vote(df), "domain") == {"x": "uncategorized"}
+
+
+def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
+    n = 5000
+    name = lambda i: f"v{(i * 7919) % n:05d}"
+    chain = [("chain", name(i), name(i + 1)) for i in range(n - 1)]
+    circle = [("circle", name(i), name((i + 1) % n)) for i in range(n)]
+    # a cycle with a way in, a way out and a chord
+    mixed = [("mixed", f"m{i:04d}", f"m{(i + 1) % 900:04d}") for i in range(900)] + [("mixed", "m0100", "m0500"), ("mixed", "in", "m0003"), ("mixed", "m0700", "out")]
+    edges = spark.createDataFrame(chain + circle + mixed, "repo_id string, source string, target string").coalesce(4)
+    rounds = []
+    store = G._store
+    monkeypatch.setattr(G, "_store", lambda *a: rounds.append(1) or store(*a))
+    scc = {(r.repo_id, r.path): (r.scc, r.size) for r in G.strongly_connected(edges).collect()}
+    assert len(rounds) <= 40
+    assert scc == {("circle", name(i)): ("v00000", n) for i in range(n)} | {("mixed", f"m{i:04d}"): ("m0000", 900) for i in range(900)}
+    rounds.clear()
+    line = edges.filter("repo_id = 'chain'")
+    depth = as_map(G.longest_depth(line, G.vertices(line)), "depth")
+    assert len(rounds) <= 40
+    assert depth == {name(i): n - 1 - i for i in range(n)}
+
+
+def test_communities_are_a_fixpoint(spark):
+    edges = {(f"p{i:02d}", f"p{i + 1:02d}") for i in range(49)} | {("x", "y"), ("y", "z"), ("x", "z"), ("b1", "b2"), ("b1", "b3"), ("b4", "b2"), ("b4", "b3")}
+    nodes = spark.createDataFrame([("r", v) for v in sorted({v for e in edges for v in e} | {"alone"})], "repo_id string, path string")
+    got = as_map(G.communities(frame(spark, edges), nodes), "community")
+    for v in got:
+        near = [got[b if a == v else a] for a, b in edges if v in (a, b)] + [got[v]]
+        assert got[v] == min(set(near), key=lambda c: (-near.count(c), c))
+    assert got["alone"] == "alone" and got["x"] == got["y"] == got["z"]
