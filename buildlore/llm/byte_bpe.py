@@ -25,7 +25,7 @@ from buildlore.llm.texts import columns_of, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MODEL_BYTES = 64 << 20
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 40
 
 

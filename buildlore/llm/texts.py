@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -57,6 +57,8 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         stop = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
         yield start, stop
         start = stop
+    # a worker lives on after its task; what Arrow has freed goes back to the machine
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
