@@ -3,7 +3,8 @@
 A paragraph is a line of text; runs of a line's sentences, cut where their own words say so, are looked at too, so that a passage is also
 found inside other prose. Equal paragraphs are one by a hash of their words. Distinct lines are banded by MinHash of five-word shingles, with as many
 bands as a high recall at the threshold takes; lines that collide are compared by exact Jaccard similarity, linked lines form components, and
-of each component only the first occurrence stays. Candidate lines alone are read again; everything else that moves is a few numbers a line.
+of each component only the first occurrence stays. Only documents with a candidate line are read again and move their lines; everything else
+that moves is a few numbers a line.
 """
 
 from __future__ import annotations
@@ -192,8 +193,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     members = G.scratch(G.merged(colliding, made), made)
     wanted = members.select("id").distinct()
     held = G.scratch(lines.join(wanted, lines["a"] == wanted["id"], "left_semi").select(F.col("doc").alias("id")).distinct(), made)
-    # the documents that hold candidate lines are read again, and of those only the lines that are wanted move
-    texts = G.likely_members(line_texts(G.likely_members(slim, held)), wanted).dropDuplicates(["id"]).withColumn("weight", F.lit(1).cast("bigint"))
+    # the documents that hold candidate lines are read again, and only the lines of those move
+    texts = line_texts(G.likely_members(slim, held)).dropDuplicates(["id"]).withColumn("weight", F.lit(1).cast("bigint"))
     found = G.scratch(G.verify(members, texts, members.count(), SIMILARITY, line_sets).filter("mate is not null").select("id", "mate"), made)
     linked = G.components(found)
     # an occurrence's class is its line's component, or else its own words
