@@ -11,6 +11,20 @@ from buildlore.llm.base import table
 from buildlore.session import materialize
 
 
+BATCH_ROWS = 1000  # rows that go to a Python worker at a time; whole documents are long, and workers of earlier stages still hold their last batch
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(stage):
+    """`stage` with batches of at most `BATCH_ROWS` rows in the session, however many it had before; results do not depend on it."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_SETTING, str(min(BATCH_ROWS, int(spark.conf.get(BATCH_SETTING)))))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled ones among them."""
     scored = quality.with_score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), "_score")
@@ -39,11 +53,11 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", keep_good),
-    ("n-gram Jaccard join", drop_near_copies),
-    ("substring dedup", cut_repeats),
-    ("benchmark decontamination", drop_benchmark),
-    ("byte-level BPE", to_tokens),
+    ("quality classifier", small_batches(keep_good)),
+    ("n-gram Jaccard join", small_batches(drop_near_copies)),
+    ("substring dedup", small_batches(cut_repeats)),
+    ("benchmark decontamination", small_batches(drop_benchmark)),
+    ("byte-level BPE", small_batches(to_tokens)),
 ]
 
 #: Training a classifier is no SQL; tests/llm hold the stages against brute force.
