@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buildlore.llm.texts import mix
 from buildlore.operators.graph import connected_components
 from buildlore.session import write_table
 
@@ -189,6 +190,43 @@ def scratch(df: DataFrame, made: list[str]) -> DataFrame:
     return out
 
 
+class Likely:
+    """A Bloom filter over ids that tasks read: it holds all of them, and few others unless they are too many for `FILTER_BITS` bits."""
+
+    def __init__(self, shared, bits: int):
+        self.shared, self.bits = shared, bits
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+        shift = np.uint64(64 - (bits.bit_length() - 1))
+        return [mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) >> shift for k in range(4)]
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(ids), bool)
+        for at in self.places(ids, self.bits):
+            keep &= (self.shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return keep
+
+
+def likely(ids: DataFrame) -> Likely:
+    """A filter of the distinct `ids` (id); of at most `FILTER_BITS` bits, so that it takes in more other ids the more there are."""
+    n = max(1, ids.count())
+    bits = min(FILTER_BITS, 1 << max(10, (n * 12).bit_length()))
+
+    def run(batches):
+        for batch in batches:
+            at = np.concatenate(Likely.places(batch.column(0).to_numpy(), bits)).astype(np.int64)
+            word, own = np.unique(at >> 6, return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, own, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["word", "bits"])
+
+    told = ids.mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    filled = np.zeros(bits // 64, np.int64)
+    filled[told["word"].to_numpy()] = told["bits"].to_numpy()
+    return Likely(ids.sparkSession.sparkContext.broadcast(filled.view(np.uint8)), bits)
+
+
 def likely_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows (id, ...) whose id is among the distinct `ids`, and few others: for a join that follows and should not move every text.
 

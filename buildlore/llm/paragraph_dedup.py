@@ -1,10 +1,13 @@
-"""Substring dedup: paragraphs that occur in several documents, or twice in one, by MinHash banding and exact verification.
+"""Substring dedup: passages that occur in several documents, or twice in one, and lines that are near copies of others.
 
-A paragraph is a line of text; runs of a line's sentences, cut where their own words say so, are looked at too, so that a passage is also
-found inside other prose. Equal paragraphs are one by a hash of their words. Distinct lines are banded by MinHash of five-word shingles, with as many
-bands as a high recall at the threshold takes; lines that collide are compared by exact Jaccard similarity, linked lines form components, and
-of each component only the first occurrence stays. Only documents with a candidate line are read again and move their lines; everything else
-that moves is a few numbers a line.
+A passage is a run of `LEAST_WORDS` words or more, wherever it stands; runs are equal by their words. Every run of `LEAST_WORDS` words has an
+anchor, the lowest hash among its runs of `ANCHOR_WORDS` words, which its words alone decide. Neighbouring runs with one anchor are a block.
+Anchors are counted first; only blocks of anchors that occur again move, and where the blocks of an anchor differ, so do their runs one by one.
+So no equal run is missed, and a copied text moves a row a block.
+
+A paragraph is a line of text. Distinct lines are banded by MinHash of five-word shingles, with as many bands as a high recall at the threshold
+takes; lines that collide are compared by exact Jaccard similarity, linked lines form components, and of each component only the first
+occurrence stays. Only documents with a candidate line are read again and move their lines; everything else that moves is a few numbers a line.
 """
 
 from __future__ import annotations
@@ -28,11 +31,10 @@ WORDS = 5
 SIMILARITY = Fraction(4, 5)
 RECALL = 0.996  # of a pair at the threshold; at 0.85 it is above 0.999
 ROWS = 3
-LEAST_WORDS = 20  # shorter paragraphs are phrases that documents may share
+LEAST_WORDS = 20  # shorter passages are phrases that documents may share
+ANCHOR_WORDS = 10  # of the runs that anchors are chosen from, LEAST_WORDS - ANCHOR_WORDS + 1 in each passage of LEAST_WORDS
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_ENDS = np.zeros(256, bool)
-_ENDS[[33, 46, 63]] = True
 
 
 def bands_for(recall: float, rows: int = ROWS, similarity: float = float(SIMILARITY)) -> int:
@@ -44,78 +46,80 @@ BANDS = bands_for(RECALL)
 
 
 class Cut:
-    """The paragraphs of a slice of texts: for each its text number, its words from first to last, whether it is a whole line, and two hashes."""
+    """The words of a slice of texts, and its lines of at least `LEAST_WORDS` words: each one's text number, its words from first to last, and two hashes."""
 
     def __init__(self, texts: pa.Array):
         data, at = T.utf8(texts)
         self.data, self.at = _LOWER[data], at
         self.h, self.doc, self.starts, self.ends = T.words(self.data, at)
+        self.n_texts = len(at) - 1
         n = len(self.h)
         if not n:
-            self.text = self.first = self.stop = np.zeros(0, np.int64)
-            self.whole, self.a, self.b = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.line = self.text = self.first = self.stop = np.zeros(0, np.int64)
+            self.a, self.b = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         line = np.cumsum(self.data == 10)[self.starts]
         new_line = np.r_[True, (self.doc[1:] != self.doc[:-1]) | (line[1:] != line[:-1])]
         self.line = np.cumsum(new_line) - 1
-        lines = np.flatnonzero(new_line)
-        line_stop = np.r_[lines[1:], n]
-        cut = self._cut_after() + 1
-        # from every cut to the first one that makes it long enough, inside its line
-        stops = np.unique(np.r_[cut, line_stop])
-        begin = cut[~np.isin(cut, line_stop)]
-        begin = np.unique(np.r_[begin, lines])
-        to = np.searchsorted(stops, begin + LEAST_WORDS)
-        end = stops[np.minimum(to, len(stops) - 1)]
-        own = np.searchsorted(lines, begin, "right") - 1
-        inner = (to < len(stops)) & (end <= line_stop[own]) & ~((begin == lines[own]) & (end == line_stop[own]))
-        first, stop = np.r_[lines, begin[inner]], np.r_[line_stop, end[inner]]
-        whole = np.r_[np.ones(len(lines), bool), np.zeros(int(inner.sum()), bool)]
+        first = np.flatnonzero(new_line)
+        stop = np.r_[first[1:], n]
         long = stop - first >= LEAST_WORDS
-        self.first, self.stop, self.whole = first[long], stop[long], whole[long]
+        self.first, self.stop = first[long], stop[long]
         self.text = self.doc[self.first]
-        up, down = T._powers(n)
-        self.a, self.b = (self._key(T.mix(self.h + np.uint64(k)), up, down) for k in (1, 2))
+        self.a, self.b = (self.hashes(self.first, self.stop, k) for k in (1, 2))
 
-    def _cut_after(self) -> np.ndarray:
-        """Words after which a line is cut: the sentence ends whose two last words hash lowest among three in a row, so one of any three.
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the blocks' first and last runs of `LEAST_WORDS` words, and the blocks' anchors.
 
-        Which they are depends on the sentences around alone, so a passage is cut in the same places wherever it stands.
+        All runs with equal words have equal anchors at the same place in them, in whatever blocks they are.
         """
-        ends = np.flatnonzero(_ENDS[self.data[self.ends - 1]])
-        before = np.r_[self.h[:1], self.h[:-1]]
-        h = np.r_[np.full(2, ~np.uint64(0)), T.mix(self.h[ends] ^ (before[ends] << np.uint64(1))), np.full(2, ~np.uint64(0))]
-        line = np.r_[-2, -2, self.line[ends], -1, -1]
-        mid, keep = slice(2, 2 + len(ends)), np.zeros(len(ends), bool)
-        for shift in (-2, -1, 0):
-            low = np.ones(len(ends), bool)
-            for k in range(shift, shift + 3):
-                there = slice(2 + k, 2 + k + len(ends))
-                low &= (h[mid] <= h[there]) | (line[there] != line[mid])
-            keep |= low
-        return ends[keep]
-
-    def _key(self, h: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        near = LEAST_WORDS - ANCHOR_WORDS + 1
+        n = len(self.h) - LEAST_WORDS + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.arange(n + near - 1)
+        grams = self.hashes(at, at + ANCHOR_WORDS, 3).view(np.uint64)
+        low, place = grams[:n].copy(), np.arange(n)
+        for k in range(1, near):
+            less = grams[k : k + n] < low
+            low[less] = grams[k : k + n][less]
+            place[less] = np.flatnonzero(less) + k
+        whole = self.line[:n] == self.line[LEAST_WORDS - 1 :]
+        where = np.flatnonzero(whole)
+        if not len(where):
+            return where, where, where
+        new = np.r_[True, (np.diff(place[where]) != 0) | (np.diff(where) != 1)]
+        begin = np.flatnonzero(new)
+        return where[begin], where[np.r_[begin[1:], len(where)] - 1], low[where[begin]].view(np.int64)
+
+    def hashes(self, first: np.ndarray, stop: np.ndarray, k: int) -> np.ndarray:
+        """One of several hashes of the words from first to last."""
+        up, down = T._powers(len(self.h))
+        return self._key(T.mix(self.h + np.uint64(k)), up, down, first, stop)
+
+    @staticmethod
+    def _key(h: np.ndarray, up: np.ndarray, down: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         total = np.r_[np.zeros(1, np.uint64), np.cumsum(h * up)]
-        return T.mix((total[self.stop] - total[self.first]) * down[self.first] + (self.stop - self.first).astype(np.uint64)).view(np.int64)
+        return T.mix((total[stop] - total[first]) * down[first] + (stop - first).astype(np.uint64)).view(np.int64)
+
+    def places(self, first: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+        """The first and last word of each run in its text, and its first and last character there, the last ones excluded."""
+        if not len(first):
+            return [np.zeros(0, np.int32)] * 4
+        text = self.doc[first]
+        before = np.searchsorted(self.doc, np.arange(self.n_texts))[text]
+        chars = np.r_[0, np.cumsum((self.data & 0xC0) != 0x80)]
+        begin = chars[self.at[text]]
+        return [x.astype(np.int32) for x in (first - before, stop - before, chars[self.starts[first]] - begin, chars[self.ends[stop - 1]] - begin)]
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last character of each paragraph in its text, the last one excluded."""
+    def line_shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of the lines, with their place among these."""
         if not len(self.first):
-            return self.first, self.first
-        chars = np.r_[0, np.cumsum((self.data & 0xC0) != 0x80)]
-        begin = chars[self.at[self.text]]
-        return chars[self.starts[self.first]] - begin, chars[self.ends[self.stop - 1]] - begin
-
-    def line_shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The whole lines' numbers among the paragraphs, and the shingles of these lines with their place among them."""
-        rows = np.flatnonzero(self.whole)
-        if not len(rows):
-            return rows, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         place = np.full(int(self.line[-1]) + 1, -1)
-        place[self.line[self.first[rows]]] = np.arange(len(rows))
+        place[self.line[self.first]] = np.arange(len(self.first))
         own = place[self.line]
-        return rows, *T.shingles(self.h[own >= 0], own[own >= 0], WORDS)
+        return T.shingles(self.h[own >= 0], own[own >= 0], WORDS)
 
 
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Cut]]:
@@ -125,43 +129,75 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Cut]]:
             yield ids[a:b], Cut(texts[a:b])
 
 
+_PLACES = "word int, word_stop int, start int, end int"
+_PLACE_NAMES = ["word", "word_stop", "start", "end"]
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(id, start, end, a, b) of every paragraph of at least `LEAST_WORDS` words."""
+    """(id, word, word_stop, start, end, a, b) of every line of at least `LEAST_WORDS` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, cut in _cuts(batches):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut.text)), *map(pa.array, cut.places(cut.first, cut.stop)), pa.array(cut.a), pa.array(cut.b)], ["id", *_PLACE_NAMES, "a", "b"])
+
+    return docs.mapInArrow(run, f"id bigint, {_PLACES}, a bigint, b bigint")
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """(id, n): anchors of blocks, and how many blocks of a slice of texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cut in _cuts(batches):
+            names, n = np.unique(cut.runs()[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], ["id", "n"])
+
+    return docs.mapInArrow(run, "id bigint, n bigint")
+
+
+def blocks(docs: DataFrame, wanted: G.Likely, single: bool) -> DataFrame:
+    """(id, word, word_stop, start, end, anchor, a, b) of the blocks of wanted anchors, and few others; `single`: of their runs of `LEAST_WORDS` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, cut in _cuts(batches):
-            start, end = cut.spans()
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut.text)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(cut.a), pa.array(cut.b)], ["id", "start", "end", "a", "b"])
+            first, last, anchor = cut.runs()
+            keep = wanted.holds(anchor)
+            first, last, anchor = first[keep], last[keep], anchor[keep]
+            if single:
+                size = last - first + 1
+                first = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else first
+                last, anchor = first, np.repeat(anchor, size)
+            stop = last + LEAST_WORDS
+            a, b = (cut.hashes(first, stop, k) for k in (1, 2)) if len(first) else (anchor, anchor)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut.doc[first])), *map(pa.array, [*cut.places(first, stop), anchor, a, b])], ["id", *_PLACE_NAMES, "anchor", "a", "b"])
 
-    return docs.mapInArrow(run, "id bigint, start int, end int, a bigint, b bigint")
+    return docs.mapInArrow(run, f"id bigint, {_PLACES}, anchor bigint, a bigint, b bigint")
 
 
 def banded_lines(docs: DataFrame) -> DataFrame:
-    """(id, a, b, bands) of every whole line of at least `LEAST_WORDS` words."""
+    """(id, a, b, bands) of every line of at least `LEAST_WORDS` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, cut in _cuts(batches):
-            rows, h, place = cut.line_shingles()
-            sig = T.minhash(h, place, len(rows), BANDS * ROWS).astype(np.uint64).reshape(len(rows), BANDS, ROWS)
-            band = np.zeros((len(rows), BANDS), np.uint64)
+            n = len(cut.first)
+            sig = T.minhash(*cut.line_shingles(), n, BANDS * ROWS).astype(np.uint64).reshape(n, BANDS, ROWS)
+            band = np.zeros((n, BANDS), np.uint64)
             for k in range(ROWS):
                 band = T.mix(band * np.uint64(3) + sig[:, :, k] + np.uint64(k))
             band += np.arange(BANDS, dtype=np.uint64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut.text[rows])), pa.array(cut.a[rows]), pa.array(cut.b[rows]), flat], ["id", "a", "b", "bands"])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut.text)), pa.array(cut.a), pa.array(cut.b), flat], ["id", "a", "b", "bands"])
 
     return docs.mapInArrow(run, "id bigint, a bigint, b bigint, bands array<bigint>")
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
-    """(id, text) of every whole line of at least `LEAST_WORDS` words: its first hash, and itself."""
+    """(id, text) of every line of at least `LEAST_WORDS` words: its first hash, and itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cut in _cuts(batches):
-            rows = np.flatnonzero(cut.whole)
-            first, last = cut.starts[cut.first[rows]], cut.ends[cut.stop[rows] - 1]
+            first, last = (cut.starts[cut.first], cut.ends[cut.stop - 1]) if len(cut.first) else (cut.first, cut.first)
             lines = [cut.data[x:y].tobytes().decode() for x, y in zip(first, last)]
-            yield pa.RecordBatch.from_arrays([pa.array(cut.a[rows]), pa.array(lines, pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(cut.a), pa.array(lines, pa.string())], ["id", "text"])
 
     return docs.mapInArrow(run, "id bigint, text string")
 
@@ -175,13 +211,87 @@ def line_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _later(units: DataFrame, component: DataFrame | None = None, made: list[str] | None = None) -> DataFrame:
+    """The units (id, places, a, b) that are not the first with their hashes, or of their component, with the one that is: `kept` (id, word, start)."""
+    place = F.struct("id", "word", "start")
+    told = units.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    if component is None:
+        keepers = told.filter("first <> last").select("a", "b", F.col("first").alias("kept"))
+    else:
+        told = told.join(component.withColumnRenamed("id", "a"), "a", "left").filter("first <> last or component is not null")
+        told = G.scratch(told, made)
+        best = told.filter("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
+        keepers = told.join(best, "component", "left").select("a", "b", F.coalesce("kept", "first").alias("kept"))
+    return units.join(keepers, ["a", "b"]).filter(F.struct("id", "word", "start") != F.col("kept")).select("id", *_PLACE_NAMES, "kept")
+
+
+def passages(slim: DataFrame, made: list[str]) -> DataFrame:
+    """(id, places, kept) of parts of `slim` (id, _text) that together are all runs of `LEAST_WORDS` words which stand at an earlier place too."""
+    again = G.scratch(anchors(slim).groupBy("id").agg(F.sum("n").alias("n")).filter("n > 1").select("id"), made)
+    units = G.scratch(blocks(slim, G.likely(again), False), made)
+    # an anchor whose blocks are all equal needs no closer look
+    mixed = G.scratch(units.groupBy("anchor").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low <> high").select(F.col("anchor").alias("id")), made)
+    single = G.scratch(blocks(slim, G.likely(mixed), True), made)
+    return _later(units).unionByName(_later(single))
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """(id, start, end, kept_id, kept_start) from `rows` (id, places, kept, line): lines as they are, and passages put together from parts.
+
+    Parts that overlap or touch, and whose kept ones lie in one text at the same distance, are one passage. Passages of which removed lines
+    hold every word are left out.
+    """
+    names = [*_PLACE_NAMES, "kept_id", "kept_word", "kept_start", "line"]
+    fields = F.struct(*_PLACE_NAMES, F.col("kept.id").alias("kept_id"), F.col("kept.word").alias("kept_word"), F.col("kept.start").alias("kept_start"), "line")
+    lists = rows.groupBy("id").agg(F.collect_set(fields).alias("_rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, column = T.columns_of(batch, "id", "_rows")
+            flat = column.flatten()
+            doc = np.repeat(np.arange(len(ids)), np.asarray(column.value_lengths()))
+            v = {k: np.asarray(flat.field(i)).astype(np.int64) for i, k in enumerate(names)}
+            is_line = v["line"] == 1
+            lines = np.flatnonzero(is_line)
+            # words of each text that go with lines, counted up
+            size = np.zeros(len(ids) + 1, np.int64)
+            np.maximum.at(size, doc + 1, v["word_stop"] + 1)
+            at = np.cumsum(size)[:-1][doc] if len(doc) else doc
+            edge = np.zeros(int(size.sum()) + 1, np.int64)
+            np.add.at(edge, (at + v["word"])[lines], 1)
+            np.add.at(edge, (at + v["word_stop"])[lines], -1)
+            gone = np.r_[0, np.cumsum(np.cumsum(edge) > 0)]
+            part = np.flatnonzero(~is_line)
+            part = part[np.lexsort((v["word"][part], (v["kept_word"] - v["word"])[part], v["kept_id"][part], doc[part]))]
+            p = {k: x[part] for k, x in v.items()}
+            own, off = doc[part], p["kept_word"] - p["word"]
+            if len(part):
+                group = np.r_[True, (np.diff(own) != 0) | (np.diff(p["kept_id"]) != 0) | (np.diff(off) != 0)]
+                # the furthest end so far in each group
+                number = np.cumsum(group) - 1
+                reach = np.maximum.accumulate(p["word_stop"] + number * (1 << 32)) - number * (1 << 32)
+                new = group | np.r_[True, p["word"][1:] > reach[:-1]]
+                first = np.flatnonzero(new)
+                stop, end = np.maximum.reduceat(p["word_stop"], first), np.maximum.reduceat(p["end"], first)
+                x = at[part][first]
+                left = gone[x + stop] - gone[x + p["word"][first]] < stop - p["word"][first]
+                first, end = first[left], end[left]
+            else:
+                first, end = part, part
+            out = [np.r_[doc[lines], own[first]], *(np.r_[v[k][lines], e] for k, e in (("start", p["start"][first]), ("end", end), ("kept_id", p["kept_id"][first]), ("kept_start", p["kept_start"][first])))]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out[0])), *(pa.array(x, kind) for x, kind in zip(out[1:], kinds))], ["id", "start", "end", "kept_id", "kept_start"])
+
+    return lists.mapInArrow(run, "id bigint, start int, end int, kept_id bigint, kept_start int")
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, kept_id, kept_start): every paragraph to be removed, and where the one that stays stands.
+    """(key, start, end, kept_id, kept_start): every passage and line to be removed, and where the one that stays stands.
 
-    Positions count characters. The paragraph that stays is the first of its component by key, then position; a component holds paragraphs
-    that are equal but for white space and ASCII case, and lines linked by a Jaccard similarity of 0.8 or more, directly or through others.
-    Removed spans of a text may lie inside one another. Null and empty texts have no paragraphs. Rows with a null key are left out; a row
-    given twice counts once. Extra columns are ignored, and a table without repeats, or without rows, gives no rows.
+    Positions count characters. Of runs of `LEAST_WORDS` words or more that are equal but for white space and ASCII case the first by key, then
+    position, stays; of lines linked by a Jaccard similarity of 0.8 or more, directly or through others, the first of their component.
+    Removed spans of a text may overlap or lie inside one another. Null and empty texts have no passages. Rows with a null key are left out; a
+    row given twice counts once. Extra columns are ignored, and a table without repeats, or without rows, gives no rows.
     """
     made: list[str] = []
     spark = docs.sparkSession
@@ -196,14 +306,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # the documents that hold candidate lines are read again, and only the lines of those move
     texts = line_texts(G.likely_members(slim, held)).dropDuplicates(["id"]).withColumn("weight", F.lit(1).cast("bigint"))
     found = G.scratch(G.verify(members, texts, members.count(), SIMILARITY, line_sets).filter("mate is not null").select("id", "mate"), made)
-    linked = G.components(found)
-    # an occurrence's class is its line's component, or else its own words
-    units = paragraphs(slim).distinct()
-    repeated = G.scratch(units.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("first")).join(linked.withColumnRenamed("id", "a"), "a", "left").filter("n > 1 or component is not null"), made)
-    best = repeated.filter("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
-    keepers = repeated.join(best, "component", "left").select("a", "b", F.coalesce("kept", "first").alias("kept"))
-    out = units.join(keepers, ["a", "b"]).filter(F.struct("id", "start") != F.col("kept"))
-    out = G.scratch(out.select("id", "start", "end", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start")), []).withColumnRenamed("id", key)
+    gone = G.scratch(_later(paragraphs(slim), G.components(found), made).withColumn("line", F.lit(1)), made)
+    gone = gone.unionByName(passages(slim, made).withColumn("line", F.lit(0)))
+    out = G.scratch(_spans(gone), []).withColumnRenamed("id", key)
     for place in made:
         drop_table(spark, place)
     return out

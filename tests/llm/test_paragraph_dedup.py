@@ -76,6 +76,44 @@ def test_passage_inside_other_prose_is_found(documents):
     assert hit <= {2 * i + 1 for i in range(20)} and len(hit) == 20
 
 
+def words_to_go(rows, within):
+    """(id, word) of every word in a run of `LEAST_WORDS` words that stands at an earlier place too; runs stay within what `within` splits off."""
+    first, gone = {}, set()
+    for i, t in sorted(rows):
+        n = 0
+        for part in within(t):
+            w = part.lower().split()
+            for k in range(len(w) - P.LEAST_WORDS + 1):
+                if first.setdefault(tuple(w[k : k + P.LEAST_WORDS]), (i, n + k)) != (i, n + k):
+                    gone |= {(i, n + k + j) for j in range(P.LEAST_WORDS)}
+            n += len(w)
+    return gone
+
+
+def words_cut(rows, got):
+    """(id, word) of every word that lies in a span."""
+    out = set()
+    for i, t in rows:
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+        out |= {(i, k) for r in got if r.doc_id == i for k, (a, b) in enumerate(at) if r.start <= a and b <= r.end}
+    return out
+
+
+def test_every_word_of_a_repeated_passage_goes(documents):
+    """Passages of 20 to 80 words inside lines, of sentences of any length and of none, at any place."""
+    rng = random.Random(11)
+    plain = lambda n: sentence(rng, n)[:-1].lower()
+    rows = []
+    for i, n in enumerate([20, 21, 33, 51, 51, 51, 52, 80] * 4):
+        size = [10, 15, 20, 99][i // 8]
+        w = plain(n).split()
+        passage = " ".join(x + "." if k % size == size - 1 else x for k, x in enumerate(w))
+        rows += [(3 * i + k, f"{plain(rng.randint(1, 60))} {passage} {plain(rng.randint(1, 60))}") for k in range(3)]
+    got = P.repeats(documents(rows)).collect()
+    want = words_to_go(rows, lambda t: [t])
+    assert words_cut(rows, got) == want and len({i for i, _ in want}) == 64
+
+
 def test_cutting(spark):
     docs = spark.createDataFrame([(1, "éa\nbb\ncc", 8, "x"), (2, None, 0, None), (None, "q", 1, "y"), (3, "all", 3, "z")], "doc_id bigint, text string, n_chars bigint, start string")
     spans = spark.createDataFrame([(1, 3, 5), (1, 4, 5), (3, 0, 3)], "doc_id bigint, start int, end int")
