@@ -1,9 +1,9 @@
 """Substring dedup: passages that occur in several documents, or twice in one, and lines that are near copies of others.
 
-A passage is a run of `LEAST_WORDS` words or more, wherever it stands; runs are equal by their words. Every run of `LEAST_WORDS` words has an
+A passage is a run of `LEAST_WORDS` words or more, wherever it stands, over line ends too; runs are equal by their words. Every run of `LEAST_WORDS` words has an
 anchor, the lowest hash among its runs of `ANCHOR_WORDS` words, which its words alone decide. Neighbouring runs with one anchor are a block.
-Anchors are counted first; only blocks of anchors that occur again move, and where the blocks of an anchor differ, so do their runs one by one.
-So no equal run is missed, and a copied text moves a row a block.
+Anchors are counted first; only blocks of anchors that occur again move, and where the blocks of an anchor differ, the runs of the first one of
+each kind move one by one. So no equal run is missed, and a copied text moves a row a block.
 
 A paragraph is a line of text. Distinct lines are banded by MinHash of five-word shingles, with as many bands as a high recall at the threshold
 takes; lines that collide are compared by exact Jaccard similarity, linked lines form components, and of each component only the first
@@ -25,7 +25,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from buildlore.llm import groups as G
 from buildlore.llm import texts as T
 from buildlore.llm.base import query, table
-from buildlore.session import drop_table
+from buildlore.session import drop_table, write_table
 
 WORDS = 5
 SIMILARITY = Fraction(4, 5)
@@ -84,7 +84,7 @@ class Cut:
             less = grams[k : k + n] < low
             low[less] = grams[k : k + n][less]
             place[less] = np.flatnonzero(less) + k
-        whole = self.line[:n] == self.line[LEAST_WORDS - 1 :]
+        whole = self.doc[:n] == self.doc[LEAST_WORDS - 1 :]
         where = np.flatnonzero(whole)
         if not len(where):
             return where, where, where
@@ -107,10 +107,14 @@ class Cut:
         if not len(first):
             return [np.zeros(0, np.int32)] * 4
         text = self.doc[first]
-        before = np.searchsorted(self.doc, np.arange(self.n_texts))[text]
+        word = self.in_text(first)
         chars = np.r_[0, np.cumsum((self.data & 0xC0) != 0x80)]
         begin = chars[self.at[text]]
-        return [x.astype(np.int32) for x in (first - before, stop - before, chars[self.starts[first]] - begin, chars[self.ends[stop - 1]] - begin)]
+        return [x.astype(np.int32) for x in (word, word + stop - first, chars[self.starts[first]] - begin, chars[self.ends[stop - 1]] - begin)]
+
+    def in_text(self, word: np.ndarray) -> np.ndarray:
+        """The words' numbers in their texts."""
+        return word - np.searchsorted(self.doc, np.arange(self.n_texts))[self.doc[word]] if len(word) else word
 
     def line_shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """The shingles of the lines, with their place among these."""
@@ -154,23 +158,46 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n bigint")
 
 
-def blocks(docs: DataFrame, wanted: G.Likely, single: bool) -> DataFrame:
-    """(id, word, word_stop, start, end, anchor, a, b) of the blocks of wanted anchors, and few others; `single`: of their runs of `LEAST_WORDS` words."""
+def _marks(ids: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return T.mix(T.mix(ids.view(np.uint64)) + word.astype(np.uint64)).view(np.int64)
+
+
+def marks(blocks: DataFrame) -> DataFrame:
+    """(id): a hash of the text and word where each of `blocks` (id, word) begins."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, word = (c.to_numpy() for c in T.columns_of(batch, "id", "word"))
+            yield pa.RecordBatch.from_arrays([pa.array(_marks(ids, word))], ["id"])
+
+    return blocks.mapInArrow(run, "id bigint")
+
+
+def blocks(docs: DataFrame, wanted: G.Likely) -> DataFrame:
+    """(id, word, word_stop, start, end, a, b) of the blocks whose anchors `a` are wanted, and few others."""
+    return _blocks(docs, lambda ids, cut, first, anchor: wanted.holds(anchor), False)
+
+
+def single_runs(docs: DataFrame, wanted: G.Likely) -> DataFrame:
+    """(id, word, word_stop, start, end, a, b) of the runs of `LEAST_WORDS` words of the blocks whose marks are wanted, and few others."""
+    return _blocks(docs, lambda ids, cut, first, anchor: wanted.holds(_marks(ids.take(pa.array(cut.doc[first])).to_numpy(), cut.in_text(first))), True)
+
+
+def _blocks(docs: DataFrame, keeps, single: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, cut in _cuts(batches):
             first, last, anchor = cut.runs()
-            keep = wanted.holds(anchor)
+            keep = keeps(ids, cut, first, anchor)
             first, last, anchor = first[keep], last[keep], anchor[keep]
-            if single:
+            if single and len(first):
                 size = last - first + 1
-                first = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else first
+                first = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
                 last, anchor = first, np.repeat(anchor, size)
             stop = last + LEAST_WORDS
-            a, b = (cut.hashes(first, stop, k) for k in (1, 2)) if len(first) else (anchor, anchor)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut.doc[first])), *map(pa.array, [*cut.places(first, stop), anchor, a, b])], ["id", *_PLACE_NAMES, "anchor", "a", "b"])
+            b = cut.hashes(first, stop, 1) if len(first) else anchor
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut.doc[first])), *map(pa.array, [*cut.places(first, stop), anchor, b])], ["id", *_PLACE_NAMES, "a", "b"])
 
-    return docs.mapInArrow(run, f"id bigint, {_PLACES}, anchor bigint, a bigint, b bigint")
+    return docs.mapInArrow(run, f"id bigint, {_PLACES}, a bigint, b bigint")
 
 
 def banded_lines(docs: DataFrame) -> DataFrame:
@@ -211,28 +238,27 @@ def line_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _later(units: DataFrame, component: DataFrame | None = None, made: list[str] | None = None) -> DataFrame:
-    """The units (id, places, a, b) that are not the first with their hashes, or of their component, with the one that is: `kept` (id, word, start)."""
-    place = F.struct("id", "word", "start")
-    told = units.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    if component is None:
-        keepers = told.filter("first <> last").select("a", "b", F.col("first").alias("kept"))
-    else:
-        told = told.join(component.withColumnRenamed("id", "a"), "a", "left").filter("first <> last or component is not null")
-        told = G.scratch(told, made)
-        best = told.filter("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
-        keepers = told.join(best, "component", "left").select("a", "b", F.coalesce("kept", "first").alias("kept"))
+def _first(units: DataFrame) -> DataFrame:
+    """(a, b, n, first): how many units (id, places, a, b) have these hashes, and the id, word and start of the first."""
+    return units.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "word", "start")).alias("first"))
+
+
+def _later(units: DataFrame, keepers: DataFrame) -> DataFrame:
+    """(id, places, kept) of the units that are not at the place `kept` that `keepers` (a, b, kept) has for their hashes."""
     return units.join(keepers, ["a", "b"]).filter(F.struct("id", "word", "start") != F.col("kept")).select("id", *_PLACE_NAMES, "kept")
 
 
 def passages(slim: DataFrame, made: list[str]) -> DataFrame:
     """(id, places, kept) of parts of `slim` (id, _text) that together are all runs of `LEAST_WORDS` words which stand at an earlier place too."""
     again = G.scratch(anchors(slim).groupBy("id").agg(F.sum("n").alias("n")).filter("n > 1").select("id"), made)
-    units = G.scratch(blocks(slim, G.likely(again), False), made)
-    # an anchor whose blocks are all equal needs no closer look
-    mixed = G.scratch(units.groupBy("anchor").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low <> high").select(F.col("anchor").alias("id")), made)
-    single = G.scratch(blocks(slim, G.likely(mixed), True), made)
-    return _later(units).unionByName(_later(single))
+    units = G.scratch(blocks(slim, G.likely(again)), made)
+    firsts = G.scratch(_first(units), made)
+    # a block that is not the first of its kind goes as a whole; an anchor whose blocks are all equal needs no closer look
+    mixed = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("a")
+    first = G.scratch(marks(firsts.join(mixed, "a", "left_semi").select("first.id", "first.word")), made)
+    single = G.scratch(single_runs(slim, G.likely(first)), made)
+    keepers = lambda told: told.filter("n > 1").select("a", "b", F.col("first").alias("kept"))
+    return _later(units, keepers(firsts)).unionByName(_later(single, keepers(_first(single))))
 
 
 def _spans(rows: DataFrame) -> DataFrame:
@@ -243,7 +269,7 @@ def _spans(rows: DataFrame) -> DataFrame:
     """
     names = [*_PLACE_NAMES, "kept_id", "kept_word", "kept_start", "line"]
     fields = F.struct(*_PLACE_NAMES, F.col("kept.id").alias("kept_id"), F.col("kept.word").alias("kept_word"), F.col("kept.start").alias("kept_start"), "line")
-    lists = rows.groupBy("id").agg(F.collect_set(fields).alias("_rows"))
+    lists = rows.groupBy("id").agg(F.collect_list(fields).alias("_rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,6 +279,7 @@ def _spans(rows: DataFrame) -> DataFrame:
             v = {k: np.asarray(flat.field(i)).astype(np.int64) for i, k in enumerate(names)}
             is_line = v["line"] == 1
             lines = np.flatnonzero(is_line)
+            lines = lines[np.unique((doc[lines] << 32) + v["word"][lines], return_index=True)[1]]
             # words of each text that go with lines, counted up
             size = np.zeros(len(ids) + 1, np.int64)
             np.maximum.at(size, doc + 1, v["word_stop"] + 1)
@@ -286,7 +313,7 @@ def _spans(rows: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, kept_id, kept_start): every passage and line to be removed, and where the one that stays stands.
+    """(key, start, end, kept_id, kept_start): every passage and line to be removed, and where an earlier one stands.
 
     Positions count characters. Of runs of `LEAST_WORDS` words or more that are equal but for white space and ASCII case the first by key, then
     position, stays; of lines linked by a Jaccard similarity of 0.8 or more, directly or through others, the first of their component.
@@ -306,7 +333,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # the documents that hold candidate lines are read again, and only the lines of those move
     texts = line_texts(G.likely_members(slim, held)).dropDuplicates(["id"]).withColumn("weight", F.lit(1).cast("bigint"))
     found = G.scratch(G.verify(members, texts, members.count(), SIMILARITY, line_sets).filter("mate is not null").select("id", "mate"), made)
-    gone = G.scratch(_later(paragraphs(slim), G.components(found), made).withColumn("line", F.lit(1)), made)
+    # a line's class is its component, or else its own words
+    linked = G.components(found).withColumnRenamed("id", "a")
+    units = paragraphs(slim)
+    repeated = G.scratch(_first(units).join(linked, "a", "left").filter("n > 1 or component is not null"), made)
+    best = repeated.filter("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
+    keepers = repeated.join(best, "component", "left").select("a", "b", F.coalesce("kept", "first").alias("kept"))
+    gone, own = write_table(_later(units, keepers).withColumn("line", F.lit(1)))
+    for place in made:
+        drop_table(spark, place)
+    made = [own]
     gone = gone.unionByName(passages(slim, made).withColumn("line", F.lit(0)))
     out = G.scratch(_spans(gone), []).withColumnRenamed("id", key)
     for place in made:

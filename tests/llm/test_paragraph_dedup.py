@@ -114,6 +114,22 @@ def test_every_word_of_a_repeated_passage_goes(documents):
     assert words_cut(rows, got) == want and len({i for i, _ in want}) == 64
 
 
+def test_passages_over_short_lines_go(documents):
+    """Passages of over 50 words on lines of 3 to 19 words, whatever the lines around are, and set on other lines elsewhere."""
+    rng = random.Random(12)
+    short = lambda n: "\n".join(sentence(rng, rng.randint(3, 19)) for _ in range(n))
+    rows = []
+    for i in range(12):
+        w = sentence(rng, 55).split()
+        for k in range(3):
+            step = rng.randint(3, 19)
+            passage = "\n\n".join(" ".join(w[j : j + step]) for j in range(0, 55, step))
+            rows.append((3 * i + k, f"{short(rng.randint(1, 4))}\n{passage}\n{short(2)}"))
+    got = P.repeats(documents(rows)).collect()
+    want = words_to_go(rows, lambda t: [t])
+    assert words_cut(rows, got) == want and len({i for i, _ in want}) == 24
+
+
 def test_cutting(spark):
     docs = spark.createDataFrame([(1, "éa\nbb\ncc", 8, "x"), (2, None, 0, None), (None, "q", 1, "y"), (3, "all", 3, "z")], "doc_id bigint, text string, n_chars bigint, start string")
     spans = spark.createDataFrame([(1, 3, 5), (1, 4, 5), (3, 0, 3)], "doc_id bigint, start int, end int")
