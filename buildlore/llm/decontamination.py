@@ -25,8 +25,9 @@ from buildlore.llm.base import query, table
 Q = 10
 PIECE = 100  # characters, of text in lower case whose other characters than letters and digits are single spaces
 STRIDE = 50
+RUN_WORDS = 13  # in a row, from any word of an item on, are a piece too
 EDITS = 0.08  # of a piece's characters
-LEAST_CHARS = 30  # shorter items are sentences anyone could write, and are not looked for
+LEAST_CHARS = Q  # shorter items have no q-gram, and are not looked for
 BLOCK_CHARS = 4_000_000  # of the benchmark, that a task holds at a time
 
 
@@ -88,7 +89,9 @@ class Index:
         grams, items, offsets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, c in enumerate(self.chars):
             m = min(PIECE, len(c))
-            self.pieces.append([(s, m) for s in sorted({*range(0, len(c) - m + 1, STRIDE), len(c) - m})])
+            begin = [0, *(np.flatnonzero(c == 32) + 1).tolist(), len(c) + 1]
+            runs = {(s, stop - 1 - s) for s, stop in zip(begin, begin[RUN_WORDS:])}
+            self.pieces.append(sorted({(s, m) for s in {*range(0, len(c) - m + 1, STRIDE), len(c) - m}} | runs))
             g = _qgrams(c)
             grams.append(g)
             items.append(np.full(len(g), i))
@@ -98,12 +101,17 @@ class Index:
         self.grams, self.items, self.offsets = grams[order], items[order], offsets[order]
         self.seen = np.zeros(1 << 22, bool)  # a first look that most q-grams of documents fail
         self.seen[self.grams & np.uint64((1 << 22) - 1)] = True
-        self.least = np.array([p[0][1] - Q + 1 - Q * budget(p[0][1]) for p in self.pieces])
-        self.wide = max([budget(p[0][1]) for p in self.pieces], default=0) + 1
+        self.edits = [np.array([budget(m) for _, m in p]) for p in self.pieces]
+        self.bounds = [np.array([m - Q + 1 for _, m in p]) - Q * e for p, e in zip(self.pieces, self.edits)]
+        self.least = np.array([b.min() for b in self.bounds])
+        self.wide = max([int(e.max()) for e in self.edits], default=0) + 1
 
 
-def aligned(piece: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """(edits, end): the fewest edits that turn the piece into a part of the text, start minus position within low..high; where that part ends."""
+def aligned(piece: np.ndarray, text: np.ndarray, low: int, high: int, most: int | None = None) -> tuple[int, int]:
+    """(edits, end): the fewest edits that turn the piece into a part of the text, start minus position within low..high; where that part ends.
+
+    With `most`, more edits than it may be told as fewer, but never as `most` or less.
+    """
     width = high - low + 1
     step = np.arange(width)
     far = len(piece) + 1
@@ -113,24 +121,25 @@ def aligned(piece: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[i
         new = row + (padded[i : i + width] != c)
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
         row = np.minimum.accumulate(new - step) + step
+        if most is not None and i % 6 == 5 and row.min() > most:  # the fewest edits never fall from row to row
+            break
     best = int(row.argmin())
     return int(row[best]), len(piece) + low + best
 
 
 def _find(text: np.ndarray, hits_at: np.ndarray, hits_in: np.ndarray, low: int, high: int, index: Index, item: int):
     """Verified pieces of one item in one band of one document: (piece, edits, start, end)."""
-    chars = index.chars[item]
-    for k, (s, m) in enumerate(index.pieces[item]):
-        e = budget(m)
+    chars, places, ordered = index.chars[item], np.array(index.pieces[item]), np.sort(hits_in)
+    held = np.searchsorted(ordered, places.sum(axis=1) - Q, "right") - np.searchsorted(ordered, places[:, 0], "left")
+    for k in np.flatnonzero(held >= np.maximum(1, index.bounds[item])).tolist():
+        (s, m), e = index.pieces[item][k], int(index.edits[item][k])
         mine = (hits_in >= s) & (hits_in <= s + m - Q)
-        if mine.sum() < m - Q + 1 - Q * e:
-            continue
         piece = chars[s : s + m]
         start = int(hits_at[mine][0] - hits_in[mine][0]) + s
         if 0 <= start and start + m <= len(text) and (text[start : start + m] == piece).all():
             yield k, 0, start, start + m
             continue
-        edits, end = aligned(piece, text, s + low - e, s + high + e)
+        edits, end = aligned(piece, text, s + low - e, s + high + e, e)
         if edits <= e:
             yield k, edits, max(0, end - m), min(end, len(text))
 

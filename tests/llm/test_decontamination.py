@@ -68,6 +68,15 @@ def test_banded_alignment_is_the_whole_table_inside_its_band(piece, n, seed):
     assert edits == edits_inside(piece, text)
 
 
+def test_quotes_of_13_words_from_any_word_of_an_item_are_found():
+    rng = random.Random(6)
+    items = [prose(rng, n) for n in (13, 14, 40, 59)]
+    index = D.Index(list(range(4)), [D.normalise([t])[0] for t in items])
+    cuts = [(i, " ".join(w[k : k + 13])) for i, w in enumerate(t.split() for t in items) for k in range(len(w) - 12)]
+    texts = [f"{prose(rng, 30)} {q} {prose(rng, 30)}" for _, q in cuts]
+    assert {(d, i) for d, i, *_ in D.matches(texts, index)} == {(d, i) for d, (i, _) in enumerate(cuts)}
+
+
 def test_operator(spark, documents):
     rng = random.Random(3)
     items = [(i, prose(rng, 30)) for i in range(5)] + [(5, None), (None, prose(rng, 30)), (6, "too short"), (7, "")]
