@@ -6,7 +6,7 @@ from buildlore.llm.base import ORACLES, QUERIES
 
 MODULES = [
     "ngram_join", "url_filter", "chat_format", "embedding_dups", "paragraph_dedup", "byte_bpe", "quality", "decontamination", "language",
-    "html_text", "whitening", "token_alignment",
+    "html_text", "whitening", "suffix_dedup", "token_alignment",
 ]
 
 
