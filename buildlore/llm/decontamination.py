@@ -27,7 +27,8 @@ PIECE = 100  # characters, of text in lower case whose other characters than let
 STRIDE = 50
 RUN_WORDS = 13  # in a row, from any word of an item on, are a piece too
 EDITS = 0.08  # of a piece's characters
-LEAST_CHARS = Q  # shorter items have no q-gram, and are not looked for
+LEAST_SHARED = 10  # q-grams that a piece shares with a text at its most edits, where it is long enough; shorter ones may have fewer edits
+ALIGNED = 4096  # pieces that are aligned together
 BLOCK_CHARS = 4_000_000  # of the benchmark, that a task holds at a time
 
 
@@ -69,13 +70,13 @@ def _qgrams(chars: np.ndarray) -> np.ndarray:
 
 
 def budget(m: int) -> int:
-    """Edits a piece of m characters may have; never so many that the lemma's bound falls below one q-gram."""
-    return max(0, min(int(m * EDITS), (m - Q) // Q))
+    """Edits a piece of m characters may have: a share of them, and few enough for the lemma's bound to stay selective."""
+    return max(0, min(int(m * EDITS), (m - Q + 1 - LEAST_SHARED) // Q))
 
 
 @dataclass
 class Index:
-    """A block of the benchmark: its q-grams in order, and the pieces of each item."""
+    """A block of the benchmark: its q-grams in order, and the pieces of each item. Items too short for a q-gram are words to look up."""
 
     ids: list[int]
     chars: list[np.ndarray]
@@ -87,8 +88,11 @@ class Index:
 
     def __post_init__(self):
         grams, items, offsets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         for i, c in enumerate(self.chars):
             m = min(PIECE, len(c))
+            if m < Q:
+                self.short.setdefault(m, {}).setdefault(c.tobytes(), []).append(i)
             begin = [0, *(np.flatnonzero(c == 32) + 1).tolist(), len(c) + 1]
             runs = {(s, stop - 1 - s) for s, stop in zip(begin, begin[RUN_WORDS:])}
             self.pieces.append(sorted({(s, m) for s in {*range(0, len(c) - m + 1, STRIDE), len(c) - m}} | runs))
@@ -103,52 +107,140 @@ class Index:
         self.seen[self.grams & np.uint64((1 << 22) - 1)] = True
         self.edits = [np.array([budget(m) for _, m in p]) for p in self.pieces]
         self.bounds = [np.array([m - Q + 1 for _, m in p]) - Q * e for p, e in zip(self.pieces, self.edits)]
-        self.least = np.array([b.min() for b in self.bounds])
+        self.least = np.array([max(1, b.min()) for b in self.bounds])
         self.wide = max([int(e.max()) for e in self.edits], default=0) + 1
 
 
-def aligned(piece: np.ndarray, text: np.ndarray, low: int, high: int, most: int | None = None) -> tuple[int, int]:
-    """(edits, end): the fewest edits that turn the piece into a part of the text, start minus position within low..high; where that part ends.
+def aligned_all(pieces: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, high: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of each piece in its text: the fewest edits that turn it into a part of the text, start less position within low..high, and where that part ends.
 
-    With `most`, more edits than it may be told as fewer, but never as `most` or less.
+    All tables grow together, a row of each at a time. A piece that needs more than `most` edits is given up; it is told as `most` and one.
     """
-    width = high - low + 1
+    n = len(pieces)
+    edits, ends = most + 1, np.zeros(n, np.int64)
+    order = np.argsort([len(p) for p in pieces], kind="stable")
+    size = np.array([len(pieces[k]) for k in order])
+    width = int((high - low).max()) + 1 if n else 0
+    longest = int(size[-1]) if n else 0
+    letters = np.zeros((n, longest), np.uint32)
+    seen = np.full((n, longest + width), 0xFFFFFFFF, np.uint32)
+    for row, k in enumerate(order):
+        letters[row, : size[row]] = pieces[k]
+        a, b = max(0, int(low[k])), min(len(texts[k]), int(low[k]) + longest + width)
+        if b > a:
+            seen[row, a - low[k] : b - low[k]] = texts[k][a:b]
     step = np.arange(width)
-    far = len(piece) + 1
-    padded = np.concatenate([np.full(max(0, -low), 0xFFFFFFFF, np.uint32), text[max(0, low) :], np.full(max(0, len(piece) + width + low - len(text)) + 1, 0xFFFFFFFF, np.uint32)])
-    row = np.where((step + low >= 0) & (step + low <= len(text)), 0, far)
-    for i, c in enumerate(piece):
-        new = row + (padded[i : i + width] != c)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(new - step) + step
-        if most is not None and i % 6 == 5 and row.min() > most:  # the fewest edits never fall from row to row
-            break
-    best = int(row.argmin())
-    return int(row[best]), len(piece) + low + best
-
-
-def _find(text: np.ndarray, hits_at: np.ndarray, hits_in: np.ndarray, low: int, high: int, index: Index, item: int):
-    """Verified pieces of one item in one band of one document: (piece, edits, start, end)."""
-    chars, places, ordered = index.chars[item], np.array(index.pieces[item]), np.sort(hits_in)
+    low, high, most, length = low[order], high[order], most[order], np.array([len(texts[k]) for k in order])
+    start, beyond = step + low[:, None], step > (high - low)[:, None]
+    row = np.where((start >= 0) & (start <= length[:, None]) & ~beyond, 0, longest + 1)
+    for i in range(longest):
+        new = row + (seen[:, i : i + width] != letters[:, i : i + 1])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        row[beyond] = longest + 1
+        done = size == i + 1
+        if done.any():
+            best = row[done].argmin(axis=1)
+            found = row[done, :][np.arange(len(best)), best]
+            edits[order[done]] = np.minimum(found, most[done] + 1)
+            ends[order[done]] = i + 1 + low[done] + best
+        if i % 6 == 5 or done.any():  # the fewest edits never fall from row to row
+            live = ~done & (row.min(axis=1) <= most)
+            if not live.all():
+                order, size, low, most, letters, seen, beyond, row = (x[live] for x in (order, size, low, most, letters, seen, beyond, row))
+            if not len(order):
+                break
+    return edits, ends
+
+
+def aligned(piece: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """(edits, end) of one piece, however many edits it needs."""
+    edits, ends = aligned_all([piece], [text], np.array([low]), np.array([high]), np.array([len(piece) + 1]))
+    return int(edits[0]), int(ends[0])
+
+
+def _candidates(hits_in: np.ndarray, index: Index, item: int) -> np.ndarray:
+    """The pieces of an item that have enough of the q-grams that a band shares."""
+    places, ordered = np.array(index.pieces[item]), np.sort(hits_in)
     held = np.searchsorted(ordered, places.sum(axis=1) - Q, "right") - np.searchsorted(ordered, places[:, 0], "left")
-    for k in np.flatnonzero(held >= np.maximum(1, index.bounds[item])).tolist():
-        (s, m), e = index.pieces[item][k], int(index.edits[item][k])
-        mine = (hits_in >= s) & (hits_in <= s + m - Q)
-        piece = chars[s : s + m]
-        start = int(hits_at[mine][0] - hits_in[mine][0]) + s
-        if 0 <= start and start + m <= len(text) and (text[start : start + m] == piece).all():
-            yield k, 0, start, start + m
-            continue
-        edits, end = aligned(piece, text, s + low - e, s + high + e, e)
-        if edits <= e:
-            yield k, edits, max(0, end - m), min(end, len(text))
+    return np.flatnonzero(held >= np.maximum(1, index.bounds[item]))
 
 
-def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(text, item, pieces found, pieces, least edits, start, end) of each text and item with a verified piece; positions in the text as given."""
+def _words_of(chars: np.ndarray, at: np.ndarray, index: Index):
+    """(text, item, start, end) of items too short for a q-gram, where they stand as whole words."""
+    for m, known in index.short.items():
+        n = len(chars) - m + 1
+        if not m or n < 1:
+            continue
+        begins = np.zeros(len(chars) + 1, bool)
+        begins[at[:-1]] = True
+        begins[1:] |= chars == 32
+        ends = np.zeros(len(chars) + 1, bool)
+        ends[at[1:]] = True
+        ends[:-1] |= chars == 32
+        spot = np.flatnonzero(begins[:n] & ends[m:])
+        doc = np.searchsorted(at, spot, "right") - 1
+        spot = spot[spot + m <= at[doc + 1]]
+        rows = np.lib.stride_tricks.sliding_window_view(chars, m)[spot]
+        heads = [int(np.frombuffer(word, np.uint32)[0]) for word in known]
+        for k in np.flatnonzero(np.isin(rows[:, 0], heads)).tolist():
+            for i in known.get(rows[k].tobytes(), ()):
+                d = int(np.searchsorted(at, spot[k], "right")) - 1
+                yield d, i, int(spot[k] - at[d]), int(spot[k] - at[d]) + m
+
+
+def matches(texts: list[str], index: Index, first_only: bool = False) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(text, item, pieces found, pieces, least edits, start, end) of each text and item with a verified piece; positions in the text as given.
+
+    With `first_only`, a text's pieces need not be aligned any more once one of them is found unedited: the texts are right, the numbers need not be.
+    """
     chars, at, source = normalise(texts)
+    found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
+    held: set[int] = set()
+
+    def add(d: int, i: int, k: int, edits: int, start: int, end: int) -> None:
+        own = found.setdefault((d, i), {})
+        held.add(d)
+        if k not in own or (edits, start) < own[k][:2]:
+            own[k] = (edits, start, end)
+
+    for d, i, start, end in _words_of(chars, at, index):
+        add(d, i, 0, 0, start, end)
+    open_pieces = []
+    for d, i, low, pos, offset in _bands(chars, at, index):
+        if first_only and d in held:
+            continue
+        text, own = chars[at[d] : at[d + 1]], index.chars[i]
+        for k in _candidates(offset, index, i).tolist():
+            s, m = index.pieces[i][k]
+            inside = np.flatnonzero((offset >= s) & (offset <= s + m - Q))[0]
+            start = int(pos[inside] - offset[inside]) + s
+            if 0 <= start and start + m <= len(text) and (text[start : start + m] == own[s : s + m]).all():
+                add(d, i, k, 0, start, start + m)
+            elif index.edits[i][k]:
+                open_pieces.append((d, i, k, s + low - int(index.edits[i][k]), s + low + 2 * index.wide - 1 + int(index.edits[i][k])))
+    if first_only:
+        open_pieces = [p for p in open_pieces if p[0] not in held]
+    for x in range(0, len(open_pieces), ALIGNED):
+        part = open_pieces[x : x + ALIGNED]
+        most = np.array([index.edits[i][k] for _, i, k, _, _ in part])
+        own = [index.chars[i][slice(s, s + m)] for _, i, k, _, _ in part for s, m in [index.pieces[i][k]]]
+        edits, ends = aligned_all(own, [chars[at[d] : at[d + 1]] for d, *_ in part], np.array([p[3] for p in part]), np.array([p[4] for p in part]), most)
+        for (d, i, k, _, _), piece, e, end in zip(part, own, edits.tolist(), ends.tolist()):
+            if e <= index.edits[i][k]:
+                add(d, i, k, e, max(0, end - len(piece)), min(end, int(at[d + 1] - at[d])))
+    out = []
+    for (d, i), own in sorted(found.items()):
+        origin = source[at[d] : at[d + 1]]
+        start, end = min(v[1] for v in own.values()), max(v[2] for v in own.values())
+        out.append((d, i, len(own), len(index.pieces[i]), min(v[0] for v in own.values()), int(origin[start]), int(origin[end - 1]) + 1))
+    return out
+
+
+def _bands(chars: np.ndarray, at: np.ndarray, index: Index):
+    """(text, item, lowest diagonal, places in the text, places in the item) of the bands that share as many q-grams as a piece of the item needs."""
     if len(chars) < Q or not len(index.grams):
-        return []
+        return
     h = _qgrams(chars)
     where = np.flatnonzero(index.seen[h & np.uint64((1 << 22) - 1)])
     lo, hi = np.searchsorted(index.grams, h[where], "left"), np.searchsorted(index.grams, h[where], "right")
@@ -157,7 +249,7 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, in
     inside = where + Q <= at[doc + 1]
     where, lo, hi, doc = where[inside], lo[inside], hi[inside], doc[inside]
     if not len(where):
-        return []
+        return
     size = hi - lo
     entry = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
     doc, pos = np.repeat(doc, size), np.repeat(where - at[doc], size)
@@ -172,24 +264,11 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, in
     enough = count >= index.least[(names // spread) % len(index.ids)]
     keep = np.flatnonzero(enough[inverse])
     keep = keep[np.argsort(inverse[keep], kind="stable")]
-    found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
     for part in np.split(keep, np.flatnonzero(np.diff(inverse[keep])) + 1) if len(keep) else []:
         name = int(names[inverse[part[0]]])
-        d, i = name // spread // len(index.ids), name // spread % len(index.ids)
-        low = (name % spread + base) * index.wide
         rows = part % len(key)
         rows = rows[np.argsort(pos[rows], kind="stable")]
-        own = found.setdefault((d, i), {})
-        for k, edits, start, end in _find(chars[at[d] : at[d + 1]], pos[rows], offset[rows], low, low + 2 * index.wide - 1, index, i):
-            if k not in own or (edits, start) < own[k][:2]:
-                own[k] = (edits, start, end)
-    out = []
-    for (d, i), own in sorted(found.items()):
-        if own:
-            origin = source[at[d] : at[d + 1]]
-            start, end = min(v[1] for v in own.values()), max(v[2] for v in own.values())
-            out.append((d, i, len(own), len(index.pieces[i]), min(v[0] for v in own.values()), int(origin[start]), int(origin[end - 1]) + 1))
-    return out
+        yield name // spread // len(index.ids), name // spread % len(index.ids), (name % spread + base) * index.wide, pos[rows], offset[rows]
 
 
 def indexes(benchmark: DataFrame) -> list[Index]:
@@ -202,7 +281,7 @@ def indexes(benchmark: DataFrame) -> list[Index]:
         rows = sorted(map(tuple, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()))
         chars, at, _ = normalise([t for _, t in rows])
         own = [chars[a:b] if b == a or chars[b - 1] != 32 else chars[a : b - 1] for a, b in zip(at[:-1], at[1:])]
-        kept = [(i, c) for (i, _), c in zip(rows, own) if len(c) >= LEAST_CHARS]
+        kept = [(i, c) for (i, _), c in zip(rows, own) if len(c)]
         if kept:
             out.append(Index([i for i, _ in kept], [c for _, c in kept]))
     return out
@@ -212,8 +291,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, pieces, of_pieces, edits, start, end) of every document and item of which a piece occurs in it.
 
     `pieces` of the item's `of_pieces` pieces were found, the best of them with `edits` edits; start and end bound them all, in characters
-    of the text as given. Null texts and items hold nothing, and items of under `LEAST_CHARS` characters are not looked for. Equal rows of the
-    result are one, so repeated documents and items do not repeat it. Documents with a null key are told with it. Extra columns are ignored.
+    of the text as given. Null texts and items hold nothing, and items without letters and digits are not looked for; items of under `Q`
+    characters are found as whole words. Equal rows of the result are one, so repeated documents and items do not repeat it. Documents with a null
+    key are told with it. Extra columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"_key {kind}, item_id bigint, pieces int, of_pieces int, edits int, start int, end int"
@@ -238,7 +318,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that hold a piece of the benchmark; all their columns, and nothing is shuffled."""
+    """`docs` without the documents that hold a piece of the benchmark; all their columns, whatever their names, and nothing is shuffled."""
+    flag = "_held"
+    while flag in docs.columns:
+        flag += "_"
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -246,11 +329,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 (texts,) = T.columns_of(batch, "text")
                 for a, b in T.slices(texts):
-                    held = {r[0] for r in matches([t or "" for t in texts[a:b].to_pylist()], shared.value)}
-                    yield batch.slice(a, b - a).append_column("_held", pa.array([k in held for k in range(b - a)]))
+                    held = {r[0] for r in matches([t or "" for t in texts[a:b].to_pylist()], shared.value, True)}
+                    yield batch.slice(a, b - a).append_column(flag, pa.array([k in held for k in range(b - a)]))
 
-        flagged = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_held", BooleanType())]))
-        docs = flagged.filter(~F.col("_held")).drop("_held")
+        flagged = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(flag, BooleanType())]))
+        docs = flagged.filter(~F.col(flag)).drop(flag)
     return docs
 
 

@@ -93,6 +93,34 @@ def test_operator(spark, documents):
     assert D.contaminated(docs, bench.filter("false")).count() == 0 and D.contaminated(docs.filter("false"), bench).count() == 0
 
 
+def test_items_without_a_q_gram_are_found_as_whole_words(spark, documents):
+    items = [(1, "Qi zu"), (2, "é"), (3, "!!"), (4, "ab cd efg"), (5, "x")]
+    rows = [(1, "a qi, ZU b"), (2, "aqi zu"), (3, "an é"), (4, "né"), (5, "ab cd efg"), (6, "ab cd efgh"), (7, "qi"), (8, "x"), (9, ""), (10, None), (11, "...x")]
+    docs, bench = documents(rows), spark.createDataFrame(items, BENCH)
+    got = {(r.doc_id, r.item_id, r.start, r.end) for r in D.contaminated(docs, bench).collect()}
+    assert got == {(1, 1, 2, 8), (3, 2, 3, 4), (5, 4, 0, 9), (8, 5, 0, 1), (11, 5, 3, 4)}
+    assert sorted(r.doc_id for r in D.clean(docs, bench).collect()) == [2, 4, 6, 7, 9, 10]
+
+
+def test_alignments_together_are_the_ones_alone():
+    rng = random.Random(4)
+    pieces = [prose(rng, rng.randint(1, 12))[: rng.randint(1, 60)] for _ in range(60)]
+    texts = [prose(rng, 2) + edit(rng, p, min(len(p), rng.randint(0, 5))) + prose(rng, 2) for p in pieces]
+    code = lambda t: np.array([ord(c) for c in t], np.uint32)
+    low, high = np.array([-rng.randint(1, 9) for _ in pieces]), np.array([rng.randint(1, 20) for _ in pieces])
+    most = np.array([rng.randint(0, 6) for _ in pieces])
+    edits, ends = D.aligned_all([code(p) for p in pieces], [code(t) for t in texts], low, high, most)
+    for k, (p, t) in enumerate(zip(pieces, texts)):
+        alone = D.aligned(code(p), code(t), int(low[k]), int(high[k]))
+        assert (edits[k], ends[k]) == alone if alone[0] <= most[k] else edits[k] == most[k] + 1
+
+
+def test_columns_of_any_name_stay(documents, spark):
+    docs = documents([(1, "a b c"), (2, "qi")]).selectExpr("*", "true AS _held", "'x' AS _key", "2 AS _text")
+    out = D.clean(docs, spark.createDataFrame([(1, "qi")], BENCH)).collect()
+    assert [r.asDict() for r in out] == [{"doc_id": 1, "text": "a b c", "_held": True, "_key": "x", "_text": 2}]
+
+
 def test_blocks_of_the_benchmark_find_the_same(spark, documents, monkeypatch):
     rng = random.Random(9)
     items = [(i, prose(rng, 25)) for i in range(20)]
