@@ -137,25 +137,35 @@ _PLACES = "word int, word_stop int, start int, end int"
 _PLACE_NAMES = ["word", "word_stop", "start", "end"]
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(id, word, word_stop, start, end, a, b) of every line of at least `LEAST_WORDS` words."""
+def units(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds, from one reading of the texts.
+
+    Lines of at least `LEAST_WORDS` words: their text `id`, places, hashes a and b, and bands. Anchors of blocks (with `n`): the anchor as `id`, and how
+    many blocks of a slice of texts have it.
+    """
+    names = ["id", *_PLACE_NAMES, "a", "b", "bands", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, cut in _cuts(batches):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut.text)), *map(pa.array, cut.places(cut.first, cut.stop)), pa.array(cut.a), pa.array(cut.b)], ["id", *_PLACE_NAMES, "a", "b"])
-
-    return docs.mapInArrow(run, f"id bigint, {_PLACES}, a bigint, b bigint")
-
+            n = len(cut.first)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(_bands(cut).view(np.int64).ravel()))
+            lines = [ids.take(pa.array(cut.text)), *map(pa.array, cut.places(cut.first, cut.stop)), pa.array(cut.a), pa.array(cut.b), flat, pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(lines, names)
+            anchors, times = np.unique(cut.runs()[2], return_counts=True)
+            none = [pa.nulls(len(anchors), kind) for kind in (*(pa.int32(),) * 4, pa.int64(), pa.int64(), flat.type)]
+            yield pa.RecordBatch.from_arrays([pa.array(anchors), *none, pa.array(times.astype(np.int64))], names)
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(id, n): anchors of blocks, and how many blocks of a slice of texts have them."""
+    return docs.mapInArrow(run, f"id bigint, {_PLACES}, a bigint, b bigint, bands array<bigint>, n bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cut in _cuts(batches):
-            names, n = np.unique(cut.runs()[2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], ["id", "n"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint")
+def _bands(cut: Cut) -> np.ndarray:
+    """(lines, bands) hashes of the lines' bands of MinHash values."""
+    n = len(cut.first)
+    sig = T.minhash(*cut.line_shingles(), n, BANDS * ROWS).astype(np.uint64).reshape(n, BANDS, ROWS)
+    band = np.zeros((n, BANDS), np.uint64)
+    for k in range(ROWS):
+        band = T.mix(band * np.uint64(3) + sig[:, :, k] + np.uint64(k))
+    return band + np.arange(BANDS, dtype=np.uint64)
 
 
 def _marks(ids: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -200,23 +210,6 @@ def _blocks(docs: DataFrame, keeps, single: bool) -> DataFrame:
     return docs.mapInArrow(run, f"id bigint, {_PLACES}, a bigint, b bigint")
 
 
-def banded_lines(docs: DataFrame) -> DataFrame:
-    """(id, a, b, bands) of every line of at least `LEAST_WORDS` words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, cut in _cuts(batches):
-            n = len(cut.first)
-            sig = T.minhash(*cut.line_shingles(), n, BANDS * ROWS).astype(np.uint64).reshape(n, BANDS, ROWS)
-            band = np.zeros((n, BANDS), np.uint64)
-            for k in range(ROWS):
-                band = T.mix(band * np.uint64(3) + sig[:, :, k] + np.uint64(k))
-            band += np.arange(BANDS, dtype=np.uint64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut.text)), pa.array(cut.a), pa.array(cut.b), flat], ["id", "a", "b", "bands"])
-
-    return docs.mapInArrow(run, "id bigint, a bigint, b bigint, bands array<bigint>")
-
-
 def line_texts(docs: DataFrame) -> DataFrame:
     """(id, text) of every line of at least `LEAST_WORDS` words: its first hash, and itself."""
 
@@ -248,24 +241,42 @@ def _later(units: DataFrame, keepers: DataFrame) -> DataFrame:
     return units.join(keepers, ["a", "b"]).filter(F.struct("id", "word", "start") != F.col("kept")).select("id", *_PLACE_NAMES, "kept")
 
 
-def passages(slim: DataFrame, made: list[str]) -> DataFrame:
+def passages(slim: DataFrame, anchors: DataFrame, made: list[str]) -> DataFrame:
     """(id, places, kept) of parts of `slim` (id, _text) that together are all runs of `LEAST_WORDS` words which stand at an earlier place too."""
-    again = G.scratch(anchors(slim).groupBy("id").agg(F.sum("n").alias("n")).filter("n > 1").select("id"), made)
-    units = G.scratch(blocks(slim, G.likely(again)), made)
-    firsts = G.scratch(_first(units), made)
+    again = G.scratch(anchors.groupBy("id").agg(F.sum("n").alias("n")).filter("n > 1").select("id"), made)
+    parts = G.scratch(blocks(slim, G.likely(again)), made)
+    firsts = G.scratch(_first(parts), made)
     # a block that is not the first of its kind goes as a whole; an anchor whose blocks are all equal needs no closer look
     mixed = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("a")
     first = G.scratch(marks(firsts.join(mixed, "a", "left_semi").select("first.id", "first.word")), made)
     single = G.scratch(single_runs(slim, G.likely(first)), made)
     keepers = lambda told: told.filter("n > 1").select("a", "b", F.col("first").alias("kept"))
-    return _later(units, keepers(firsts)).unionByName(_later(single, keepers(_first(single))))
+    return _later(parts, keepers(firsts)).unionByName(_later(single, keepers(_first(single))))
+
+
+def fewest(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[int]:
+    """The fewest of these ranges that hold together what all of them hold, text by text; of two that reach as far the earlier one is taken."""
+    out: list[int] = []
+    now, covered, best, reach = -1, 0, -1, 0
+    order = np.lexsort((-stop, start, text))
+    for k, t, a, b in zip(order.tolist(), text[order].tolist(), start[order].tolist(), stop[order].tolist()):
+        if (t != now or a > covered) and reach > covered:
+            out.append(best)
+            covered = reach
+        if t != now or a > covered:
+            now, covered, reach = t, a, a
+        if b > max(reach, covered):
+            best, reach = k, b
+    if reach > covered:
+        out.append(best)
+    return out
 
 
 def _spans(rows: DataFrame) -> DataFrame:
     """(id, start, end, kept_id, kept_start) from `rows` (id, places, kept, line): lines as they are, and passages put together from parts.
 
     Parts that overlap or touch, and whose kept ones lie in one text at the same distance, are one passage. Passages of which removed lines
-    hold every word are left out.
+    hold every word are left out, and of the others the fewest stay that hold all their words together.
     """
     names = [*_PLACE_NAMES, "kept_id", "kept_word", "kept_start", "line"]
     fields = F.struct(*_PLACE_NAMES, F.col("kept.id").alias("kept_id"), F.col("kept.word").alias("kept_word"), F.col("kept.start").alias("kept_start"), "line")
@@ -302,7 +313,9 @@ def _spans(rows: DataFrame) -> DataFrame:
                 stop, end = np.maximum.reduceat(p["word_stop"], first), np.maximum.reduceat(p["end"], first)
                 x = at[part][first]
                 left = gone[x + stop] - gone[x + p["word"][first]] < stop - p["word"][first]
-                first, end = first[left], end[left]
+                first, stop, end = first[left], stop[left], end[left]
+                few = fewest(own[first], p["word"][first], stop)
+                first, end = first[few], end[few]
             else:
                 first, end = part, part
             out = [np.r_[doc[lines], own[first]], *(np.r_[v[k][lines], e] for k, e in (("start", p["start"][first]), ("end", end), ("kept_id", p["kept_id"][first]), ("kept_start", p["kept_start"][first])))]
@@ -323,7 +336,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     made: list[str] = []
     spark = docs.sparkSession
     slim = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("_text"))
-    lines = G.scratch(banded_lines(slim).groupBy("a", "b").agg(F.min("id").alias("doc"), F.first("bands").alias("bands")), made)
+    told, told_at = write_table(units(slim))
+    every = told.filter("n is null").drop("n")
+    lines = G.scratch(every.groupBy("a", "b").agg(F.min("id").alias("doc"), F.first("bands").alias("bands")), made)
     rows = lines.select(F.explode("bands").alias("group"), F.col("a").alias("id"))
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     colliding = G.scratch(rows.join(sizes.select("group"), "group").distinct(), made)
@@ -335,15 +350,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     found = G.scratch(G.verify(members, texts, members.count(), SIMILARITY, line_sets).filter("mate is not null").select("id", "mate"), made)
     # a line's class is its component, or else its own words
     linked = G.components(found).withColumnRenamed("id", "a")
-    units = paragraphs(slim)
-    repeated = G.scratch(_first(units).join(linked, "a", "left").filter("n > 1 or component is not null"), made)
+    repeated = G.scratch(_first(every).join(linked, "a", "left").filter("n > 1 or component is not null"), made)
     best = repeated.filter("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
     keepers = repeated.join(best, "component", "left").select("a", "b", F.coalesce("kept", "first").alias("kept"))
-    gone, own = write_table(_later(units, keepers).withColumn("line", F.lit(1)))
+    gone, own = write_table(_later(every, keepers).withColumn("line", F.lit(1)))
     for place in made:
         drop_table(spark, place)
-    made = [own]
-    gone = gone.unionByName(passages(slim, made).withColumn("line", F.lit(0)))
+    made = [own, told_at]
+    gone = gone.unionByName(passages(slim, told.filter("n is not null").select("id", "n"), made).withColumn("line", F.lit(0)))
     out = G.scratch(_spans(gone), []).withColumnRenamed("id", key)
     for place in made:
         drop_table(spark, place)

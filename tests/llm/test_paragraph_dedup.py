@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from buildlore.llm import paragraph_dedup as P
 
 
@@ -130,6 +132,19 @@ def test_passages_over_short_lines_go(documents):
     assert words_cut(rows, got) == want and len({i for i, _ in want}) == 24
 
 
+def test_fewest_ranges_hold_the_same():
+    rng = random.Random(3)
+    for _ in range(300):
+        ranges = [(rng.randrange(3), a, a + rng.randint(1, 9)) for a in (rng.randrange(30) for _ in range(rng.randint(0, 14)))]
+        text, start, stop = (np.array([r[k] for r in ranges], np.int64) for k in range(3))
+        held = lambda some: {(t, x) for t, a, b in some for x in range(a, b)}
+        picked = [ranges[k] for k in P.fewest(text, start, stop)]
+        assert held(picked) == held(ranges) and len(set(picked)) == len(picked)
+        # of any three neighbours the first and the last do not touch, or the middle one would not be needed
+        picked.sort()
+        assert all(a[0] != c[0] or a[2] < c[1] for a, c in zip(picked, picked[2:]))
+
+
 def test_cutting(spark):
     docs = spark.createDataFrame([(1, "éa\nbb\ncc", 8, "x"), (2, None, 0, None), (None, "q", 1, "y"), (3, "all", 3, "z")], "doc_id bigint, text string, n_chars bigint, start string")
     spans = spark.createDataFrame([(1, 3, 5), (1, 4, 5), (3, 0, 3)], "doc_id bigint, start int, end int")
