@@ -28,6 +28,8 @@ from buildlore.session import drop_table
 
 LENGTH = 200
 CHUNK = 1 << 22  # windows of a text that are hashed together
+SLICE = 1 << 19  # bytes of pieces that are
+WINDOWS = 1 << 16  # windows that are told together
 _BITS = np.uint64(24)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -86,27 +88,28 @@ def lowest(h: np.ndarray, reach: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[reach - 1 : reach - 1 + n])
 
 
-def _anchored(hashes: Hashes, run: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor's hash, first window, window behind the last) of each block of a text; of equal hashes in a window the first is the anchor."""
+def anchored(data: np.ndarray, asked: np.ndarray, run: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Hashes]:
+    """(anchor's hash, first window, window behind the last) of each block of the asked windows of a few texts that lie one after the other.
+
+    `asked` are the windows' first bytes, rising. Of equal hashes in a window the first is the anchor. Neighbouring windows with one anchor are a block.
+    """
+    hashes = Hashes(data)
     h = hashes.runs(run)
     best = lowest((h >> _BITS << _BITS) | np.arange(len(h), dtype=np.uint64), window - run + 1)
-    if not len(best):
-        return h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = (best & _LOW).astype(np.int64)
-    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return h[at[start]], start, np.r_[start[1:], len(best)]
+    at = (best[asked] & _LOW).astype(np.int64)
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (asked[1:] != asked[:-1] + 1)][: len(at)])
+    return h[at[new]], asked[new], asked[np.r_[new[1:], len(at)][: len(new)] - 1] + 1, hashes
 
 
-def blocks(data: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, kind, first window, window behind the last) of each block of a text, by 64-bit hashes."""
-    out = []
-    for start in range(0, max(0, len(data) - sizes.window + 1), CHUNK):  # where a block is cut does not matter
-        hashes = Hashes(data[start : start + CHUNK + sizes.window - 1])
-        anchor, first, stop = _anchored(hashes, sizes.run, sizes.window)
-        out.append((anchor, hashes.of(first, stop + sizes.window - 1), first + start, stop + start))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*out))
+def parts(at: np.ndarray, sizes: Sizes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first byte, byte behind the last, windows) of texts that start `at` bytes of a slice: the slice as a whole, or a long text in parts of `CHUNK`."""
+    if at[-1] <= CHUNK + sizes.window or len(at) > 2:
+        room = np.maximum(np.diff(at) - sizes.window + 1, 0)
+        yield 0, int(at[-1]), np.repeat(at[:-1] - np.cumsum(room) + room, room) + np.arange(room.sum())
+        return
+    for start in range(0, int(at[-1]) - sizes.window + 1, CHUNK):  # where a block is cut does not matter
+        stop = min(int(at[-1]), start + CHUNK + sizes.window - 1)
+        yield start, stop, np.arange(stop - start - sizes.window + 1)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -115,6 +118,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _all_blocks(docs: DataFrame, sizes: Sizes) -> DataFrame:
+    """(i, j, anchor, kind, first, stop) of every block: its text, its anchor, a hash of all its bytes, and its windows."""
     names = ["i", "j", "anchor", "kind", "first", "stop"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +126,16 @@ def _all_blocks(docs: DataFrame, sizes: Sizes) -> DataFrame:
             i, j, texts = T.columns_of(batch, "i", "j", "_text")
             for x, y in T.slices(texts):
                 data, at = T.utf8(texts[x:y])
-                told = [blocks(data[a:b], sizes) for a, b in zip(at[:-1], at[1:])]
-                row = pa.array(np.repeat(np.arange(x, y), [len(t[0]) for t in told]))
-                cat = lambda k, kind: pa.array(np.concatenate([t[k] for t in told]).view(kind))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([i.take(row), j.take(row), cat(0, np.int64), cat(1, np.int64), cat(2, np.int64), cat(3, np.int64)], names)
+                for a, b, windows in parts(at, sizes):
+                    if not len(windows):
+                        continue
+                    anchor, first, stop, hashes = anchored(data[a:b], windows, sizes.run, sizes.window)
+                    kind = hashes.of(first, stop + sizes.window - 1)
+                    own = np.searchsorted(at, first + a, "right") - 1
+                    begin = at[own] - a
+                    row = pa.array(own + x)
+                    numbers = [pa.array(v) for v in (anchor.view(np.int64), kind.view(np.int64), first - begin, stop - begin)]
+                    yield pa.RecordBatch.from_arrays([i.take(row), j.take(row), *numbers], names)
 
     return docs.select("i", "j", "_text").mapInArrow(run, "i bigint, j bigint, anchor bigint, kind bigint, first bigint, stop bigint")
 
@@ -158,66 +168,98 @@ def merged(runs: np.ndarray, reach: int) -> list[np.ndarray]:
     return np.split(joined, np.flatnonzero(joined[1:, 0] - joined[:-1, 1] > reach) + 1)
 
 
-def _windows(asked: np.ndarray) -> np.ndarray:
-    runs = asked.reshape(-1, 2)
+def _windows(runs: np.ndarray) -> np.ndarray:
+    """All windows of runs (first, stop) in order."""
     size = runs[:, 1] - runs[:, 0]
     return np.repeat(runs[:, 0] - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+@dataclass(frozen=True)
+class Batch:
+    """Pieces that lie one after the other: their bytes, where each starts there, their rows in the record batch, and the runs of windows asked for."""
+
+    data: np.ndarray
+    at: np.ndarray
+    rows: np.ndarray
+    runs: np.ndarray
+
+
+def _together(batch: pa.RecordBatch) -> Iterator[Batch]:
+    """The pieces of a record batch in slices of about `SLICE` bytes."""
+    column, asked = T.columns_of(batch, "data", "asked")
+    column = column.cast(pa.large_binary())
+    edge = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    flat, place = np.asarray(asked.flatten()), np.r_[0, np.cumsum(np.asarray(asked.value_lengths()).astype(np.int64))]
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(edge, edge[start] + SLICE, "right")) - 1)
+        at = edge[start : stop + 1] - edge[start]
+        runs = flat[place[start] : place[stop]].reshape(-1, 2)
+        runs = runs + np.repeat(at[:-1], np.diff(place[start : stop + 1]) // 2)[:, None]
+        yield Batch(data[edge[start] : edge[stop]], at, np.arange(start, stop), runs)
+        start = stop
+
+
+def _long_anchors(own: Batch, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first, stop) of the blocks by longer runs of the windows asked for."""
+    out = []
+    for low in range(0, max(1, len(own.data)), CHUNK):
+        runs = np.clip(own.runs, low, low + CHUNK)
+        runs = runs[runs[:, 0] < runs[:, 1]]
+        if len(runs):
+            anchor, first, stop, _ = anchored(own.data[low : low + CHUNK + sizes.window - 1], _windows(runs - low), sizes.long_run, sizes.window)
+            out.append((anchor.view(np.int64), first + low, stop + low))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
 def _narrowed(pieces: DataFrame, sizes: Sizes) -> DataFrame:
     """The same pieces, cut to the windows whose longer anchors occur again."""
 
-    def found(data: bytes, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = []
-        data = np.frombuffer(data, np.uint8)
-        for first, stop in asked.reshape(-1, 2).tolist():
-            for a in range(first, stop, CHUNK):
-                b = min(stop, a + CHUNK)
-                anchor, x, y = _anchored(Hashes(data[a : b + sizes.window - 1]), sizes.long_run, sizes.window)
-                out.append((anchor.view(np.int64), x + a, y + a))
-        return tuple(np.concatenate(c) for c in zip(*out))
-
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(found(data, np.array(asked))[0])], ["id"])
+            for own in _together(batch):
+                names, times = np.unique(_long_anchors(own, sizes)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(times.astype(np.int64))], ["id", "n"])
 
-    again = pieces.select("data", "asked").mapInArrow(anchors, "id bigint").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    again = pieces.select("data", "asked").mapInArrow(anchors, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).filter("n > 1").select("id")
     wanted = G.likely(again)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, start, data, asked in zip(*(c.to_pylist() for c in T.columns_of(batch, "i", "j", "start", "data", "asked"))):
-                anchor, x, y = found(data, np.array(asked))
-                keep = wanted.holds(anchor)
-                rows = [{"first": a, "stop": b} for a, b in zip(x[keep].tolist(), y[keep].tolist())]
-                if rows:
-                    yield pa.RecordBatch.from_pylist([{"i": i, "j": j, "start": start, "data": data, "runs": rows}], schema)
-
-    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("start", pa.int64()), ("data", pa.binary()), ("runs", pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])))])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
-        for batch in run(batches):
-            for i, j, start, data, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = []
-                for part in merged(np.array([[b["first"], b["stop"]] for b in runs]), sizes.window - 1):
-                    a, b = int(part[0][0]), int(part[-1][1])
-                    rows.append([number, i, j, start + a, data[a : b + sizes.window - 1], (part - a).ravel()])
-                    number += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["piece", "i", "j", "start", "data", "asked"])
+        for batch in batches:
+            i, j, begin = (c.to_numpy() for c in T.columns_of(batch, "i", "j", "start"))
+            for own in _together(batch):
+                anchor, first, stop = _long_anchors(own, sizes)
+                keep = wanted.holds(anchor)
+                first, stop = first[keep], stop[keep]
+                if not len(first):
+                    continue
+                # joined where they touch, and pieces anew where nothing is asked for in between
+                new = np.r_[True, (first[1:] > stop[:-1])]
+                text = np.searchsorted(own.at, first, "right") - 1
+                new[1:] |= text[1:] != text[:-1]
+                head = np.flatnonzero(new)
+                first, stop, text = first[head], stop[np.r_[head[1:], len(stop)] - 1], text[head]
+                split = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (first[1:] - stop[:-1] >= sizes.window)])
+                count = np.diff(np.r_[split, len(first)])
+                low, high = first[split], stop[np.r_[split[1:], len(stop)] - 1] + sizes.window - 1
+                asked = np.stack([first, stop], axis=1) - np.repeat(low, count)[:, None]
+                row = own.rows[text[split]]
+                at = np.r_[0, np.cumsum(2 * count)].astype(np.int32)
+                columns = [number + np.arange(len(split)), i[row], j[row], begin[row] + low - own.at[text[split]]]
+                number += len(split)
+                held = pa.array([own.data[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), held, pa.ListArray.from_arrays(pa.array(at), pa.array(asked.ravel()))], ["piece", "i", "j", "start", "data", "asked"])
 
     return pieces.mapInArrow(cut, "piece bigint, i bigint, j bigint, start bigint, data binary, asked array<bigint>")
 
 
-def phrases(data: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Where phrases start: bytes whose next run has the lowest hash for a while, which the bytes from there on decide."""
-    if len(data) < sizes.decides:
-        return np.zeros(0, np.int64)
-    h = Hashes(data).runs(sizes.end_run)
-    best = lowest(h, sizes.end_reach)
-    return np.flatnonzero(h[: len(best)] == best)
+def phrases(own: Batch, hashes: Hashes, sizes: Sizes) -> np.ndarray:
+    """Where phrases start: bytes whose next run has the lowest hash for a while, which the bytes of the piece from there on decide."""
+    best = lowest(h := hashes.runs(sizes.end_run), sizes.end_reach) if len(own.data) >= sizes.decides else np.zeros(0, np.uint64)
+    at = np.flatnonzero(h[: len(best)] == best) if len(best) else np.zeros(0, np.int64)
+    return at[at + sizes.decides <= own.at[np.searchsorted(own.at, at, "right")]]
 
 
 def _symbols(pieces: DataFrame, sizes: Sizes) -> DataFrame:
@@ -225,12 +267,17 @@ def _symbols(pieces: DataFrame, sizes: Sizes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data in zip(*(c.to_pylist() for c in T.columns_of(batch, "piece", "data"))):
-                at = phrases(np.frombuffer(data, np.uint8), sizes)
-                ends = np.r_[at[1:] + sizes.decides, len(data)]
-                ahead = np.searchsorted(at, at + sizes.window) - np.arange(len(at))
-                words = [data[a:b] for a, b in zip(at.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), piece)), pa.array(np.arange(len(at))), pa.array(words, pa.binary()), pa.array(ahead, pa.int64())], ["text", "at", "word", "ahead"])
+            (names,) = T.columns_of(batch, "piece")
+            for own in _together(batch):
+                at = phrases(own, Hashes(own.data), sizes)
+                text = np.searchsorted(own.at, at, "right") - 1
+                first = np.searchsorted(text, np.arange(len(own.at)))
+                last = np.r_[text[1:] != text[:-1], True][: len(at)]
+                ends = np.where(last, own.at[text + 1], np.r_[at[1:], 0][: len(at)] + sizes.decides)
+                ahead = np.minimum(np.searchsorted(at, at + sizes.window), first[text + 1]) - np.arange(len(at))
+                held = own.data.tobytes()
+                words = [held[a:b] for a, b in zip(at.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(own.rows[text])), pa.array(np.arange(len(at)) - first[text]), pa.array(words, pa.binary()), pa.array(ahead)], ["text", "at", "word", "ahead"])
 
     return pieces.mapInArrow(run, "text bigint, at bigint, word binary, ahead bigint")
 
@@ -241,20 +288,24 @@ def _ranked_windows(pieces: DataFrame, ranks: DataFrame, sizes: Sizes) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, asked, ranks in zip(*(c.to_pylist() for c in T.columns_of(batch, "piece", "data", "asked", "ranks"))):
-                data = np.frombuffer(data, np.uint8)
-                hashes, at = Hashes(data), phrases(data, sizes)
-                every = _windows(np.array(asked))
-                for x in range(0, len(every), 1 << 17):
-                    s = every[x : x + (1 << 17)]
-                    own = hashes.of(s, s + sizes.window)
+            names, listed = T.columns_of(batch, "piece", "ranks")
+            names = names.to_numpy()
+            every, place = np.asarray(listed.flatten()).astype(np.int64), np.r_[0, np.cumsum(np.asarray(listed.value_lengths().fill_null(0)).astype(np.int64))]
+            for own in _together(batch):
+                hashes = Hashes(own.data)
+                at = phrases(own, hashes, sizes)
+                ranks = np.r_[every[place[own.rows[0]] : place[own.rows[-1] + 1]], 0]  # a rank for each phrase, in order
+                windows = _windows(own.runs)
+                for x in range(0, len(windows), WINDOWS):
+                    s = windows[x : x + WINDOWS]
+                    key = hashes.of(s, s + sizes.window)
                     k = np.searchsorted(at, s)
-                    tail, rank = own.copy(), np.zeros(len(s), np.int64)
-                    stop = np.r_[at, len(data)][k] + sizes.decides
+                    stop = np.r_[at, len(own.data)][k] + sizes.decides
                     has = (k < len(at)) & (stop <= s + sizes.window)  # a window without a phrase is its own name
-                    tail[has] = hashes.of(s[has], stop[has])
-                    rank[has] = np.array(ranks or [0])[np.minimum(k[has], len(ranks or [0]) - 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(tail.view(np.int64)), pa.array(rank), pa.array(own.view(np.int64)), pa.array(np.full(len(s), piece)), pa.array(s)], ["tail", "rank", "own", "piece", "at"])
+                    tail, rank = key.copy(), np.zeros(len(s), np.int64)
+                    tail[has], rank[has] = hashes.of(s[has], stop[has]), ranks[k[has]]
+                    text = np.searchsorted(own.at, s, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (tail.view(np.int64), rank, key.view(np.int64), names[own.rows[text]], s - own.at[text])], ["tail", "rank", "own", "piece", "at"])
 
     return pieces.select("piece", "data", "asked").join(listed, "piece", "left").mapInArrow(run, "tail bigint, rank bigint, own bigint, piece bigint, at bigint")
 
