@@ -1,7 +1,8 @@
 """Folding a key's rows in order, for state that depends on its own earlier outcomes.
 
 Rows are shuffled by key and sorted, then streamed through a Python step with constant state: a group is never held in
-memory. Callers first split keys at points where the state is known to be reset, so a busy key still spreads out.
+memory. Callers first split keys at points where the state is known to be reset, so a busy key still spreads out. Keys that stay
+long are folded by ranges where the operator has a map of a range (`ranges`), and alerts follow pointers (`cooldown`).
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from buildlore.operators.ledger import EXPIRY_DAYS, REDEMPTION_COST
 from buildlore.operators.scale import gap_sessions
+from buildlore.session import drop_table, write_table
+from buildlore.streaming import cooldown as C
+from buildlore.streaming import ranges as R
 
 State = Any
 Step = Callable[[State, tuple], tuple[State, tuple]]
@@ -45,6 +49,17 @@ def fold_in_order(df: DataFrame, keys: list[str], order: list[str], inputs: list
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Step, start: State, outputs: str, summary: Callable, exact: bool) -> DataFrame:
+    """`fold_in_order`, where keys of more than `ranges.ROWS` rows are cut into ranges that many tasks fold; the results are the same."""
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > R.ROWS).select(*keys)
+    long, place = write_table(long)
+    if long.isEmpty():
+        drop_table(df.sparkSession, place)
+        return fold_in_order(df, keys, order, inputs, step, start, outputs)
+    short = fold_in_order(df.join(long, keys, "left_anti").select(*df.columns), keys, order, inputs, step, start, outputs)
+    return short.unionByName(R.fold_long_keys(df.join(long, keys, "left_semi").select(*df.columns), keys, order, inputs, step, start, outputs, summary, exact))
+
+
 # Fixed values of the two limiters and the alert.
 CAPACITY, REFILL_PER_MINUTE = 10, 10
 WINDOW_REQUESTS, WINDOW_SECONDS = 15, 60
@@ -75,7 +90,8 @@ def token_bucket(requests: DataFrame, capacity: int = CAPACITY, per_minute: floa
     """requests(event_id, key, t): a pause long enough to fill the bucket starts a new, independent run."""
     full = capacity / (per_minute / 60.0) * (1 + 1e-9)
     runs = gap_sessions(requests, ["key"], "t", "event_id", full, "run")
-    return fold_in_order(runs, ["key", "run"], ["t", "event_id"], ["t"], bucket_step(capacity, per_minute), None, BUCKET_OUTPUTS)
+    summary = lambda times: R.Refill.of(times, float(capacity), per_minute / 60.0)
+    return fold(runs, ["key", "run"], ["t", "event_id"], ["t"], bucket_step(capacity, per_minute), None, BUCKET_OUTPUTS, summary, False)
 
 
 def window_step(limit: int = WINDOW_REQUESTS, seconds: float = WINDOW_SECONDS) -> Step:
@@ -105,8 +121,7 @@ def cooldown_step(cooldown: float = COOLDOWN) -> Step:
 
 def alerts(breaches: DataFrame, cooldown: float = COOLDOWN) -> DataFrame:
     """breaches(id, key, t): the ones that raise an alert, at most one per cooldown."""
-    runs = gap_sessions(breaches, ["key"], "t", "id", cooldown, "run")
-    return fold_in_order(runs, ["key", "run"], ["t", "id"], ["t"], cooldown_step(cooldown), None, "alert boolean")
+    return C.alerts_by_pointers(breaches, cooldown)
 
 
 def redemption_step(cost: int = REDEMPTION_COST) -> Step:
@@ -133,5 +148,6 @@ def redemptions(ledger: DataFrame, requests: DataFrame, days: int = EXPIRY_DAYS,
         "user_id", "id", F.timestamp_add("DAY", F.lit(days), F.col("created_at")).alias("at"), *kind("expiry", 2), (-F.col("points")).cast("bigint").alias("amount"))
     asked = requests.select("user_id", "id", "at", *kind("request", 1), F.lit(0).cast("bigint").alias("amount"))
     events = rows.unionByName(expiry).unionByName(asked).select(*cols)
-    out = fold_in_order(events, ["user_id"], ["at", "turn", "id"], ["kind", "amount"], redemption_step(cost), 0, "allowed boolean, balance bigint")
+    summary = lambda kinds, amounts: R.Spending.of(kinds, amounts, cost)
+    out = fold(events, ["user_id"], ["at", "turn", "id"], ["kind", "amount"], redemption_step(cost), 0, "allowed boolean, balance bigint", summary, True)
     return out.filter("kind = 'request'").select("user_id", "id", "at", "allowed", "balance")
