@@ -98,7 +98,7 @@ def _roots(link: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare(group: int, ids: np.ndarray, sets: list, lists: list, weight: np.ndarray, own: np.ndarray, i: int, j: int, least: Fraction):
+def _compare(group: int, ids: np.ndarray, sets: list, lists: list | None, weight: np.ndarray, own: np.ndarray, i: int, j: int, least: Fraction):
     """(ids, links) of members with links, and (id, mate) spanning links, of one group or one pair of its blocks."""
     one = i == j
     left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(own == i), np.flatnonzero(own == j))
@@ -110,7 +110,7 @@ def _compare(group: int, ids: np.ndarray, sets: list, lists: list, weight: np.nd
     size_a, size_b = np.array([len(s) for s in a], np.float64), np.array([len(s) for s in b], np.float64)
     link = inter * least.denominator >= least.numerator * (size_a[:, None] + size_b[None, :] - inter) - 1e-6
     link &= ids[left][:, None] != ids[right][None, :]
-    met = _met_before(group, [lists[k] for k in left], [lists[k] for k in right])
+    met = _met_before(group, [lists[k] for k in left], [lists[k] for k in right]) if lists is not None else None
     if met is not None:
         link &= ~met
     if not link.any():
@@ -128,15 +128,17 @@ def _compare(group: int, ids: np.ndarray, sets: list, lists: list, weight: np.nd
     return (ids[has], links[has]), (ids[joined], ids[root[joined]])
 
 
-def verify(members: DataFrame, texts: DataFrame, rows: int, least: Fraction, sets_of: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
+def verify(members: DataFrame, texts: DataFrame, rows: int, least: Fraction, sets_of: Callable[[pa.Array], list[np.ndarray]], count: bool = True) -> DataFrame:
     """(id, mate, links) from `members` (group, id, n) and `texts` (id, text, weight): the pairs whose Jaccard similarity is `least` or more.
 
     `sets_of` makes a text's set of sorted distinct tokens; texts move and not sets, as they are smaller. Rows with a mate are spanning links:
     the components of the links are those of these rows. Rows without one add the weights of the linked sets to their id. Every pair that
-    meets in a group is compared exactly, and counted once.
+    meets in a group is compared exactly, and counted once. Without `count` there are spanning links only, and no lists of groups move.
     """
-    lists = members.groupBy("id").agg(F.sort_array(F.collect_list("group")).alias("groups"))  # as many as the sets' runs gave it
-    payload = texts.join(lists, "id")
+    payload = texts
+    if count:
+        lists = members.groupBy("id").agg(F.sort_array(F.collect_list("group")).alias("groups"))  # as many as the sets' runs gave it
+        payload = texts.join(lists, "id")
     full = tasks(members, rows).join(payload, "id")
 
     def run(table: pa.Table) -> pa.Table:
@@ -144,16 +146,20 @@ def verify(members: DataFrame, texts: DataFrame, rows: int, least: Fraction, set
         group, ids, own, weight = (table[c].to_numpy() for c in ("group", "id", "own", "weight"))
         i, j = int(table["i"][0].as_py()), int(table["j"][0].as_py())
 
-        column = table["groups"].chunk(0)
-        at, flat = np.asarray(column.offsets), np.asarray(column.values)
-        own_groups = [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+        own_groups = None
+        if count:
+            column = table["groups"].chunk(0)
+            at, flat = np.asarray(column.offsets), np.asarray(column.values)
+            own_groups = [flat[x:y] for x, y in zip(at[:-1], at[1:])]
         tokens = sets_of(table["text"].chunk(0))
         found_ids, found_mates, found_links = [], [], []
         order = np.argsort(group, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            told = _compare(int(group[part[0]]), ids[part], [tokens[k] for k in part], [own_groups[k] for k in part], weight[part], own[part], i, j, least)
+            told = _compare(int(group[part[0]]), ids[part], [tokens[k] for k in part], [own_groups[k] for k in part] if count else None, weight[part], own[part], i, j, least)
             if told:
                 (has, links), (who, mate) = told
+                if not count:
+                    has, links = has[:0], links[:0]
                 found_ids += [has, who]
                 found_mates += [np.full(len(has), -1), mate]
                 found_links += [links, np.zeros(len(who), np.int64)]

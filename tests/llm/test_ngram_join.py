@@ -73,6 +73,21 @@ def test_nulls_empty_repeated_and_no_rows(documents):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6]
 
 
+def test_a_key_of_several_texts_connects_all_of_them(documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (3, b), (4, c), (5, c + " more"), (5, "one two"), (6, "one two"), (7, ""), (7, c)]
+    out = got(J.join(documents(rows)))
+    assert {k: v[0] for k, v in out.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4}
+    assert out[1][1] == out[3][1] == 1 and out[4][1] == 2 and out[6][1] == 1
+    assert sorted((r.doc_id, r.text) for r in J.one_of_each(documents(rows)).collect()) == [(1, a), (4, c)]
+
+
+def test_one_of_each_keeps_the_first_of_each_class(documents):
+    rows = corpus(5)
+    classes = brute(rows)
+    assert {r.doc_id for r in J.one_of_each(documents(rows, extra=True)).collect()} == {k for k, (c, _) in classes.items() if c == k}
+
+
 def test_runs_follow_the_recall():
     assert 0.06 < J.lost_in_a_run() < 0.07
     assert J.runs_for(0.9) == 1 and J.runs_for(0.999) == 3 and J.runs_for(J.RECALL) == 4
