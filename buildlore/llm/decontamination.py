@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from buildlore.llm import texts as T
-from buildlore.llm.base import query, table
+from buildlore.llm.base import fresh, query, table
 
 Q = 10
 PIECE = 100  # characters, of text in lower case whose other characters than letters and digits are single spaces
@@ -319,9 +319,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that hold a piece of the benchmark; all their columns, whatever their names, and nothing is shuffled."""
-    flag = "_held"
-    while flag in docs.columns:
-        flag += "_"
+    flag = fresh(docs, "_held")
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -24,7 +24,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from buildlore.llm import groups as G
 from buildlore.llm import texts as T
-from buildlore.llm.base import query, table
+from buildlore.llm.base import fresh, query, table
 from buildlore.session import drop_table, write_table
 
 WORDS = 5
@@ -33,6 +33,7 @@ RECALL = 0.996  # of a pair at the threshold; at 0.85 it is above 0.999
 ROWS = 3
 LEAST_WORDS = 20  # shorter passages are phrases that documents may share
 ANCHOR_WORDS = 10  # of the runs that anchors are chosen from, LEAST_WORDS - ANCHOR_WORDS + 1 in each passage of LEAST_WORDS
+SPAN_ROWS = 1 << 15  # parts of passages that are put together at a time
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -282,9 +283,18 @@ def _spans(rows: DataFrame) -> DataFrame:
     fields = F.struct(*_PLACE_NAMES, F.col("kept.id").alias("kept_id"), F.col("kept.word").alias("kept_word"), F.col("kept.start").alias("kept_start"), "line")
     lists = rows.groupBy("id").agg(F.collect_list(fields).alias("_rows"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """Texts with about `SPAN_ROWS` rows together, one text at least."""
         for batch in batches:
             ids, column = T.columns_of(batch, "id", "_rows")
+            size, a = np.cumsum(np.asarray(column.value_lengths()).astype(np.int64)), 0
+            while a < len(ids):
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SPAN_ROWS, "right")))
+                yield ids[a:b], column[a:b]
+                a = b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, column in slices(batches):
             flat = column.flatten()
             doc = np.repeat(np.arange(len(ids)), np.asarray(column.value_lengths()))
             v = {k: np.asarray(flat.field(i)).astype(np.int64) for i, k in enumerate(names)}
@@ -325,8 +335,24 @@ def _spans(rows: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "id bigint, start int, end int, kept_id bigint, kept_start int")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, kept_id, kept_start): every passage and line to be removed, and where an earlier one stands.
+def _numbered(docs: DataFrame, key: str, text: str, made: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(id, _text) of the rows with a key, and (id, of, mark) of the ids that stand for a further text of a key; those come behind all keys."""
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("_text"), F.xxhash64(text).alias("mark"))
+    several = rows.groupBy("id").agg(F.min("mark").alias("first"), F.max("mark").alias("last"), F.max("id").alias("top")).filter("first <> last").select("id", "first")
+    more = G.scratch(rows.select("id", "mark").join(several, "id").filter("mark <> first").select("id", "mark").distinct(), made)
+    if more.isEmpty():
+        return rows.drop("mark"), more.select("id", F.col("id").alias("of"), "mark")
+    top = rows.agg(F.max("id")).collect()[0][0]
+    more = more.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark")
+    more = G.scratch(more.select((F.monotonically_increasing_id() + (top + 1)).alias("id"), F.col("id").alias("of"), "mark"), made)
+    stands = more.select(F.col("of").alias("id"), "mark", F.col("id").alias("own"))
+    return rows.join(stands, ["id", "mark"], "left").select(F.coalesce("own", "id").alias("id"), "_text"), more
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", marks: bool = False) -> DataFrame:
+    """(key, start, end, kept_id, kept_start): every passage and line to be removed, and where an earlier one stands; with `marks`, `mark` too.
+
+    A key may have several texts: `mark`, a 64-bit hash of the text, tells which one a span is of. Such a key's further texts come behind all keys.
 
     Positions count characters. Of runs of `LEAST_WORDS` words or more that are equal but for white space and ASCII case the first by key, then
     position, stays; of lines linked by a Jaccard similarity of 0.8 or more, directly or through others, the first of their component.
@@ -335,7 +361,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     made: list[str] = []
     spark = docs.sparkSession
-    slim = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("_text"))
+    more_at: list[str] = []
+    slim, more = _numbered(docs, key, text, more_at)
     told, told_at = write_table(units(slim))
     every = told.filter("n is null").drop("n")
     lines = G.scratch(every.groupBy("a", "b").agg(F.min("id").alias("doc"), F.first("bands").alias("bands")), made)
@@ -347,7 +374,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     held = G.scratch(lines.join(wanted, lines["a"] == wanted["id"], "left_semi").select(F.col("doc").alias("id")).distinct(), made)
     # the documents that hold candidate lines are read again, and only the lines of those move
     texts = line_texts(G.likely_members(slim, held)).dropDuplicates(["id"]).withColumn("weight", F.lit(1).cast("bigint"))
-    found = G.scratch(G.verify(members, texts, members.count(), SIMILARITY, line_sets).filter("mate is not null").select("id", "mate"), made)
+    found = G.scratch(G.verify(members, texts, members.count(), SIMILARITY, line_sets, False).filter("mate is not null").select("id", "mate"), made)
     # a line's class is its component, or else its own words
     linked = G.components(found).withColumnRenamed("id", "a")
     repeated = G.scratch(_first(every).join(linked, "a", "left").filter("n > 1 or component is not null"), made)
@@ -358,8 +385,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         drop_table(spark, place)
     made = [own, told_at]
     gone = gone.unionByName(passages(slim, told.filter("n is not null").select("id", "n"), made).withColumn("line", F.lit(0)))
-    out = G.scratch(_spans(gone), []).withColumnRenamed("id", key)
-    for place in made:
+    out = _spans(gone)
+    if marks:
+        own = slim.select("id", F.xxhash64("_text").alias("mark")).distinct()
+        out = out.join(own, "id")
+    stands = more.select("id", "of")
+    out = out.join(stands, "id", "left").withColumn("id", F.coalesce("of", "id")).drop("of")
+    out = out.join(stands.select(F.col("id").alias("kept_id"), "of"), "kept_id", "left").withColumn("kept_id", F.coalesce("of", "kept_id")).drop("of")
+    out = G.scratch(out.select(F.col("id").alias(key), "start", "end", "kept_id", "kept_start", *(["mark"] if marks else [])), [])
+    for place in [*made, *more_at]:
         drop_table(spark, place)
     return out
 
@@ -367,34 +401,46 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """`docs` with the spans (doc_id, start, end) cut out of their texts, and `n_chars`, where there is one, counted again.
 
-    A line feed that would stand alone after a cut goes with it. A document of which nothing but white space would be left keeps its row,
-    with an empty text. Rows without spans, null keys and null texts stay as they are.
+    Spans may say by `mark`, the 64-bit hash of the text, which text of a repeated doc_id they are of; others are of all. A line of which nothing but white space is left after a cut goes
+    with its line feed; other lines, blank ones too, stay as they are. A document of which nothing but white space would be left keeps its row,
+    with an empty text. Rows without spans, null keys and null texts stay as they are, and so do all other columns, whatever their names.
     """
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    joined = docs.join(cuts, "doc_id", "left")
-    schema = StructType([*joined.schema.fields, StructField("_left", StringType())])
+    cut, left, key, own = (fresh(docs, c) for c in ("_cuts", "_left", "_of", "_mark"))
+    fields = F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut)
+    if "mark" in spans.columns:
+        cuts = spans.groupBy(F.col("doc_id").alias(key), F.col("mark").alias(own)).agg(fields)
+        same = (docs["doc_id"] == cuts[key]) & (F.xxhash64(docs["text"]) == cuts[own])
+    else:
+        cuts = spans.groupBy(F.col("doc_id").alias(key)).agg(fields)
+        same = docs["doc_id"] == cuts[key]
+    joined = docs.join(cuts, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], cuts[cut])
+    schema = StructType([*joined.schema.fields, StructField(left, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cut = T.columns_of(batch, "text", "_cuts")
+            texts, cuts = T.columns_of(batch, "text", cut)
             for a, b in T.slices(texts):
-                left = [_cut_out(t, [(c["start"], c["end"]) for c in own]) if t and own else t for t, own in zip(texts[a:b].to_pylist(), cut[a:b].to_pylist())]
-                yield batch.slice(a, b - a).append_column("_left", pa.array(left, pa.string()))
+                told = [_cut_out(t, [(c["start"], c["end"]) for c in own]) if t and own else t for t, own in zip(texts[a:b].to_pylist(), cuts[a:b].to_pylist())]
+                yield batch.slice(a, b - a).append_column(left, pa.array(told, pa.string()))
 
-    out = joined.mapInArrow(run, schema).withColumn("text", F.col("_left"))
+    out = joined.mapInArrow(run, schema).withColumn("text", F.col(left))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    scar = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text)
     out, at = [], 0
     for start, end in spans:
         if start > at:
-            out.append(text[at:start])
+            out += [text[at:start], scar]
+        elif not out:
+            out.append(scar)
         at = max(at, end)
     out.append(text[at:])
-    return "\n".join(line for line in "".join(out).split("\n") if line.strip())
+    lines = [line.replace(scar, "") for line in "".join(out).split("\n") if scar not in line or line.replace(scar, "").strip()]
+    return "\n".join(lines) if any(line.strip() for line in lines) else ""
 
 
 @query("op5_paragraph_dedup")

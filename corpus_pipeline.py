@@ -7,28 +7,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlore.llm import byte_bpe, decontamination, ngram_join, paragraph_dedup, quality
-from buildlore.llm.base import table
-from buildlore.session import materialize
+from buildlore.llm.base import fresh, table
+from buildlore.session import drop_table, materialize, write_table
 
+__all__ = ["ORACLE_SQL", "STAGES", "materialize", "run"]
 
 BATCH_ROWS = 1000  # rows that go to a Python worker at a time; whole documents are long, and workers of earlier stages still hold their last batch
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(stage):
-    """`stage` with batches of at most `BATCH_ROWS` rows in the session, however many it had before; results do not depend on it."""
+def written(stage, spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, str]:
+    """What a stage returns, written with batches of at most `BATCH_ROWS` rows, and where; the session's setting is then as it was before."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return write_table(stage(spark, docs, sf_dir))
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
 
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set(BATCH_SETTING, str(min(BATCH_ROWS, int(spark.conf.get(BATCH_SETTING)))))
-        return stage(spark, docs, sf_dir)
 
-    return run
+def small_batches(stage):
+    return lambda spark, docs, sf_dir: written(stage, spark, docs, sf_dir)[0]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled ones among them."""
-    scored = quality.with_score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), "_score")
-    return scored.filter(F.col("_score") >= quality.ACCEPT).drop("_score")
+    score = fresh(docs, "_score")
+    scored = quality.with_score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), score)
+    return scored.filter(F.col(score) >= quality.ACCEPT).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the paragraphs that another document, or an earlier place, has already."""
-    return paragraph_dedup.without(docs, paragraph_dedup.repeats(docs))
+    return paragraph_dedup.without(docs, paragraph_dedup.repeats(docs, marks=True))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,22 +58,25 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [
-    ("quality classifier", small_batches(keep_good)),
-    ("n-gram Jaccard join", small_batches(drop_near_copies)),
-    ("substring dedup", small_batches(cut_repeats)),
-    ("benchmark decontamination", small_batches(drop_benchmark)),
-    ("byte-level BPE", small_batches(to_tokens)),
+_WORK = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_benchmark),
+    ("byte-level BPE", to_tokens),
 ]
+STAGES = [(name, small_batches(stage)) for name, stage in _WORK]
 
 #: Training a classifier is no SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs)
+    """The last stage's rows; the tables of the stages before are dropped as soon as the next one is written."""
+    docs, place = table(spark, sf_dir, "documents"), None
+    for _, stage in _WORK:
+        docs, now = written(stage, spark, docs, sf_dir)
+        if place:
+            drop_table(spark, place)
+        place = now
     return docs

@@ -153,6 +153,25 @@ def test_cutting(spark):
     assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, "éa\ncc", 5), (2, None, None), (None, "q", 1), (3, "", 0)}
 
 
+def test_cutting_leaves_blank_lines_and_other_texts_alone(spark):
+    rows = [(1, "p one\n\np two\n\n \np three", 1), (2, "gone\n\nkeep \ue000 this text\n\nend", 2), (2, "another text of the key", 3), (4, "a b\nc d\ne f", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _cuts int").selectExpr("*", "'l' AS _left", "'m' AS mark", "5 AS start", "6 AS _of", "7 AS _mark")
+    marks = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    spans = [(1, 7, 12, marks[rows[0][1]]), (2, 0, 4, marks[rows[1][1]]), (4, 2, 6, marks[rows[3][1]])]
+    out = P.without(docs, spark.createDataFrame(spans, "doc_id bigint, start int, end int, mark bigint"))
+    assert out.columns == docs.columns
+    assert sorted((r._cuts, r.text) for r in out.collect()) == [(1, "p one\n\n\n \np three"), (2, "\nkeep \ue000 this text\n\nend"), (3, "another text of the key"), (4, "a d\ne f")]
+
+
+def test_a_key_of_several_texts(documents):
+    line, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(1, f"{line}\nend"), (1, f"start\n{line}\n{other}"), (2, f"{other}\n{third}"), (3, "clean words " * 3)]
+    docs = documents(rows)
+    cut = P.without(docs, P.repeats(docs, marks=True)).collect()
+    texts = " ".join(r.text for r in cut)
+    assert len(cut) == 4 and all(texts.count(t) == 1 for t in (line, other, third)) and "clean words" in texts and "start" in texts and "end" in texts
+
+
 def test_nulls_empty_repeated_long_and_no_rows(documents):
     line = " ".join(f"w{i}" for i in range(60))
     rows = [(1, None), (2, ""), (3, line), (3, line), (4, line.upper()), (None, line), (5, (line + "\n") * 3), (6, "z" * 2_000_000)]

@@ -33,6 +33,18 @@ def test_run_is_the_stages_one_after_the_other(spark):
     assert digest(C.run(spark, SF)) == digest(docs)
 
 
+def test_stages_take_columns_of_any_name_and_repeated_ids(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = ("_score", "score", "_cuts", "_left", "_held", "_key", "_text", "id", "label", "mark", "start", "class", "n")
+    docs = base.unionByName(base.limit(5)).selectExpr("*", *[f"'{k}' AS {c}" for k, c in enumerate(extra)])
+    setting = spark.conf.get(C.BATCH_SETTING)
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {tuple(r[c] for c in extra) for r in out.collect()} == {tuple(map(str, range(len(extra))))}
+        docs = out
+    assert spark.conf.get(C.BATCH_SETTING) == setting and docs.count() > 20
+
+
 def test_planted_cases(spark, tmp_path):
     """Near copies, benchmark passages and repeated passages go, clean documents come out as they went in."""
     rng = random.Random(5)
