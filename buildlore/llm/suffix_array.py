@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from buildlore.session import write_table
+from buildlore.session import drop_table, write_table
 
 WIDTH = 1 << 16  # symbols of a string that a window sees together
 PLACE = ["text", "lane", "at"]
@@ -30,6 +30,13 @@ def _scratch(df: DataFrame, made: list[str]) -> DataFrame:
     return out
 
 
+def _drop(df: DataFrame, made: list[str]) -> None:
+    """Drop the tables of `made`, which nothing reads any more."""
+    for place in made:
+        drop_table(df.sparkSession, place)
+    made.clear()
+
+
 def placed(df: DataFrame, keys: list[str], flags: list[str], keep: list[str], made: list[str]) -> tuple[DataFrame, int, int]:
     """`keep` of every row and, as `before_<flag>`, how many rows with the flag (0 or 1) have a smaller key; the numbers of rows and of distinct keys."""
     names = [f"before_{f}" for f in flags]
@@ -88,28 +95,30 @@ def _ahead(df: DataFrame, columns: list[str], steps: int = 2) -> DataFrame:
 
 def _suffixes(symbols: DataFrame, depth: int, made: list[str]) -> DataFrame:
     """(text, lane, at, rank) of `symbols` (text, lane, at, name): one more than the number of smaller suffixes, by `depth` symbols at least."""
-    kind = F.col("at") % 3
+    kind, used = F.col("at") % 3, []
     sample = _ahead(symbols, ["name"]).filter(kind > 0).withColumn("one", F.lit(1))
-    named, rows, names = placed(sample, ["name", "name1", "name2"], ["one"], PLACE, made)
+    named, rows, names = placed(sample, ["name", "name1", "name2"], ["one"], PLACE, used)
     named = named.select(*PLACE, (F.col("before_one") + 1).alias("name"))
     if names == rows or depth <= 3:
         ranked = named.withColumnRenamed("name", "rank")
     else:
         shorter = named.select("text", (F.col("lane") * 2 + kind - 1).cast("int").alias("lane"), F.floor(F.col("at") / 3).alias("at"), "name")
-        told = _suffixes(shorter, -(-depth // 3), made)
+        told = _suffixes(shorter, -(-depth // 3), used)
         ranked = told.select("text", F.floor(F.col("lane") / 2).cast("int").alias("lane"), (F.col("at") * 3 + F.col("lane") % 2 + 1).alias("at"), "rank")
     both = symbols.select(*PLACE, "name", F.lit(None).cast("bigint").alias("rank")).unionByName(ranked.select(*PLACE, F.lit(None).cast("bigint").alias("name"), "rank"))
-    near = _scratch(_ahead(both, ["name", "rank"]), made)
+    near = _scratch(_ahead(both, ["name", "rank"]), used)
     first = near.filter(kind < 2).select(*PLACE, "name", "rank1", (kind == 0).cast("int").alias("rest"), (kind == 1).cast("int").alias("sampled"))
     second = near.filter(kind != 1).select(*PLACE, "name", "name1", "rank2", (kind == 0).cast("int").alias("rest"), (kind == 2).cast("int").alias("sampled"))
-    a, _, _ = placed(first, ["name", "rank1"], ["rest", "sampled"], PLACE, made)
-    b, _, _ = placed(second, ["name", "name1", "rank2"], ["rest", "sampled"], PLACE, made)
+    a, _, _ = placed(first, ["name", "rank1"], ["rest", "sampled"], PLACE, used)
+    b, _, _ = placed(second, ["name", "name1", "rank2"], ["rest", "sampled"], PLACE, used)
     told = [
         a.select(*PLACE, (F.col("before_rest") + F.when(kind == 0, F.col("before_sampled")).otherwise(0)).alias("smaller")),
         b.select(*PLACE, F.when(kind == 0, F.col("before_sampled")).otherwise(F.col("before_rest")).alias("smaller")),
         ranked.select(*PLACE, (F.col("rank") - 1).alias("smaller")),
     ]
-    return _scratch(told[0].unionByName(told[1]).unionByName(told[2]).groupBy(*PLACE).agg((F.sum("smaller") + 1).alias("rank")), made)
+    out = _scratch(told[0].unionByName(told[1]).unionByName(told[2]).groupBy(*PLACE).agg((F.sum("smaller") + 1).alias("rank")), made)
+    _drop(out, used)
+    return out
 
 
 def suffix_ranks(symbols: DataFrame, depth: int, made: list[str]) -> DataFrame:
@@ -119,6 +128,8 @@ def suffix_ranks(symbols: DataFrame, depth: int, made: list[str]) -> DataFrame:
     Suffixes that agree in `depth` words, or to their ends, may share a rank. A place that is told twice is one. `made` takes the tables written
     on the way, which the caller drops when the result has been read.
     """
-    named, _, _ = placed(symbols.withColumn("one", F.lit(1)), ["word"], ["one"], ["text", "at"], made)
-    named = _scratch(named.select("text", F.lit(0).alias("lane"), F.col("at").cast("bigint").alias("at"), (F.col("before_one") + 1).alias("name")), made)
-    return _suffixes(named, depth, made).drop("lane")
+    used: list[str] = []
+    named, _, _ = placed(symbols.withColumn("one", F.lit(1)), ["word"], ["one"], ["text", "at"], used)
+    out = _suffixes(named.select("text", F.lit(0).alias("lane"), F.col("at").cast("bigint").alias("at"), (F.col("before_one") + 1).alias("name")), depth, made)
+    _drop(out, used)
+    return out.drop("lane")

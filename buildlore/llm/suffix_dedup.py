@@ -54,7 +54,7 @@ class Sizes:
 
     @property
     def end_reach(self) -> int:
-        return max(1, self.window // 12)
+        return max(1, self.window // 4)
 
     @property
     def decides(self) -> int:
@@ -367,26 +367,35 @@ def _runs(hits: DataFrame) -> DataFrame:
 
 def _spans(docs: DataFrame, sizes: Sizes, made: list[str]) -> DataFrame:
     """(i, j, runs): of every text with repeated windows, the runs (first, stop) of them, in no order and perhaps overlapping."""
-    every = G.scratch(_all_blocks(docs, sizes), made)
+    spark, used, cut = docs.sparkSession, [], []
+
+    def drop(tables: list[str]) -> None:
+        for place in tables:
+            drop_table(spark, place)
+        tables.clear()
+
+    every = G.scratch(_all_blocks(docs, sizes), used)
     kinds = every.groupBy("anchor", "kind").agg(F.count(F.lit(1)).alias("n"))
-    kinds = G.scratch(kinds, made)
+    kinds = G.scratch(kinds, used)
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor", F.lit(True).alias("several"))
     told = kinds.join(several, "anchor", "left").filter("several or n > 1")
-    told = G.scratch(told.select("anchor", "kind", F.col("kind").alias("id"), "n", F.coalesce("several", F.lit(False)).alias("several")), made)
+    told = G.scratch(told.select("anchor", "kind", F.col("kind").alias("id"), "n", F.coalesce("several", F.lit(False)).alias("several")), used)
     near = G.likely_members(every.withColumn("id", F.col("kind")), told.select("id").distinct()).drop("id")
     marked = G.scratch(near.join(told.drop("id"), ["anchor", "kind"]), made)
+    drop(used)
     whole = marked.filter("n > 1").select("i", "j", "first", "stop")
     offered = marked.filter("several").groupBy("anchor", "kind").agg(F.min(F.struct("i", "j", "first", "stop")).alias("b")).select("b.*")
     asked = offered.groupBy("i", "j").agg(F.collect_list(F.struct("first", "stop")).alias("asked")).withColumn("id", F.col("i"))
-    asked = G.scratch(asked, made)
+    asked = G.scratch(asked, used)
     texts = G.likely_members(docs.select("i", "j", "_text").withColumn("id", F.col("i")), asked.select("id").distinct()).drop("id")
-    pieces = G.scratch(_pieces(texts.join(asked.drop("id"), ["i", "j"]), sizes), made)
-    pieces = G.scratch(_narrowed(pieces, sizes), made)
-    symbols = G.scratch(_symbols(pieces, sizes), made)
+    pieces = G.scratch(_narrowed(G.scratch(_pieces(texts.join(asked.drop("id"), ["i", "j"]), sizes), used), sizes), made)
+    drop(used)
+    symbols = G.scratch(_symbols(pieces, sizes), cut)
     depth = symbols.agg(F.max("ahead")).collect()[0][0]
     found = whole
     if depth is not None or not pieces.isEmpty():
         ranks = suffix_ranks(symbols.drop("ahead"), (depth or 0) + 1, made)
+        drop(cut)
         hits = _repeated_windows(_ranked_windows(pieces, ranks, sizes), made)
         own = pieces.select("piece", "i", "j", "start")
         runs = _runs(hits).join(own, "piece").select("i", "j", (F.col("first") + F.col("start")).alias("first"), (F.col("stop") + F.col("start")).alias("stop"))
