@@ -80,10 +80,23 @@ def g7(spark, sf):
     return ordered_positions(B.tiers(spark, sf), ["repo_id", "tier_index"], ["path"], "pos")
 
 
-# rows only: label propagation stands in for a one-machine community search; the unit tests hold it to a plain Python version
-@query("g8_communities", "repo_id string, path string, community string")
+COMMUNITIES_SQL = """und AS (SELECT DISTINCT repo_id, least(source, target) AS a, greatest(source, target) AS b FROM edges WHERE source <> target),
+ und_total AS (SELECT repo_id, 2 * count(*) AS total FROM und GROUP BY repo_id),
+ und_degree AS (SELECT repo_id, path, count(*) AS d FROM (SELECT repo_id, a AS path FROM und UNION ALL SELECT repo_id, b FROM und) GROUP BY repo_id, path),
+ unite(repo_id, path, community, step) AS (SELECT repo_id, path, path, 0 FROM und_degree UNION ALL
+   SELECT g.repo_id, g.path, CASE WHEN g.community = w.pair.j THEN w.pair.i ELSE g.community END, g.step + 1 FROM unite g JOIN (
+     SELECT p.repo_id, arg_min({'i': p.i, 'j': p.j}, (p.di * p.dj - t.total * p.k, p.i, p.j)) AS pair FROM (
+       SELECT e.repo_id, least(x.community, y.community) AS i, greatest(x.community, y.community) AS j, count(*) AS k, any_value(x.whole * y.whole) AS di, 1 AS dj
+       FROM und e JOIN (SELECT u.repo_id, u.path, u.community, sum(n.d) OVER (PARTITION BY u.repo_id, u.community) AS whole FROM unite u JOIN und_degree n USING (repo_id, path)) x ON x.repo_id = e.repo_id AND x.path = e.a
+       JOIN (SELECT u.repo_id, u.path, u.community, sum(n.d) OVER (PARTITION BY u.repo_id, u.community) AS whole FROM unite u JOIN und_degree n USING (repo_id, path)) y ON y.repo_id = e.repo_id AND y.path = e.b
+       WHERE x.community <> y.community GROUP BY ALL) p JOIN und_total t USING (repo_id) WHERE t.total * p.k > p.di * p.dj GROUP BY p.repo_id) w ON w.repo_id = g.repo_id),
+ united AS (SELECT f.repo_id, f.path, coalesce(u.community, f.path) AS community FROM files f LEFT JOIN (SELECT * FROM unite QUALIFY step = max(step) OVER (PARTITION BY repo_id)) u USING (repo_id, path))"""
+
+
+@query("g8_communities", "repo_id string, path string, community string",
+       with_views("files edges", f"WITH {COMMUNITIES_SQL} SELECT repo_id, path, community FROM united", recursive=True))
 def g8(spark, sf):
-    return G.communities(B.edge_table(spark, sf), B.file_table(spark, sf))
+    return B.communities(spark, sf)
 
 
 @query("g9_connected_components", "repo_id string, path string, component string",
@@ -96,12 +109,13 @@ def g9(spark, sf):
 
 
 def members(spark, sf):
-    fs = V.files(spark, sf)
-    return fs.select("repo_id", "path", F.floor(F.col("n") % 11 / 3).cast("string").alias("community"), classify(F.col("path"))["domain"].alias("domain"))
+    """Every file with its community as found and its domain by convention."""
+    return B.communities(spark, sf).withColumn("domain", classify(F.col("path"))["domain"])
 
 
 def _vote_sql(classified: str) -> str:
-    return f"""m AS (SELECT c.repo_id, c.path, CAST(f.n % 11 // 3 AS VARCHAR) AS community, c.domain FROM {classified} c JOIN files f USING (repo_id, path)),
+    return f"""{COMMUNITIES_SQL},
+ m AS (SELECT c.repo_id, c.path, u.community, c.domain FROM {classified} c JOIN united u USING (repo_id, path)),
  votes AS (SELECT repo_id, community, domain, count(*) AS k, sum(count(*)) OVER (PARTITION BY repo_id, community) AS total FROM m WHERE domain <> 'uncategorized' GROUP BY repo_id, community, domain),
  winners AS (SELECT repo_id, community, domain FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, community ORDER BY k DESC, domain) AS rn FROM votes) WHERE rn = 1 AND k / total >= 0.5),
  voted AS (SELECT m.repo_id, m.path, coalesce(w.domain, 'uncategorized') AS domain FROM m LEFT JOIN winners w USING (repo_id, community) WHERE m.domain = 'uncategorized')"""

@@ -57,7 +57,7 @@ _SEGMENT_SQL = f"""{CLASSIFIED}, {_vote_sql('classified')}, segmented AS (SELECT
 
 
 @query("g10_community_vote", "repo_id string, path string, domain string",
-       with_views("files", f"WITH {CLASSIFIED}, {_vote_sql('classified')} SELECT repo_id, path, domain FROM voted"))
+       with_views("files edges", f"WITH {CLASSIFIED}, {_vote_sql('classified')} SELECT repo_id, path, domain FROM voted", recursive=True))
 def g10(spark, sf):
     return G.community_vote(members(spark, sf))
 
@@ -67,13 +67,13 @@ def segmented(spark, sf):
 
 
 @query("c2_segment_repository", "repo_id string, path string, domain string, method string, confidence string",
-       with_views("files", f"WITH {_SEGMENT_SQL} SELECT * FROM segmented"))
+       with_views("files edges", f"WITH {_SEGMENT_SQL} SELECT * FROM segmented", recursive=True))
 def c2(spark, sf):
     return segmented(spark, sf)
 
 
 @query("c3_domain_method_counts", "repo_id string, kind string, value string, files bigint",
-       with_views("files", f"WITH {_SEGMENT_SQL} SELECT repo_id, 'domain' AS kind, domain AS value, count(*) AS files FROM segmented GROUP BY ALL UNION ALL SELECT repo_id, 'method', method, count(*) FROM segmented GROUP BY ALL"))
+       with_views("files edges", f"WITH {_SEGMENT_SQL} SELECT repo_id, 'domain' AS kind, domain AS value, count(*) AS files FROM segmented GROUP BY ALL UNION ALL SELECT repo_id, 'method', method, count(*) FROM segmented GROUP BY ALL", recursive=True))
 def c3(spark, sf):
     return O.value_counts(segmented(spark, sf), "domain", "method")
 

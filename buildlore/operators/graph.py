@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from buildlore.operators import repositories as R
 from buildlore.operators.scale import ordered_positions
 from buildlore.session import drop_table, write_table
 
@@ -129,13 +130,27 @@ def chain_ends(edges: DataFrame) -> tuple[DataFrame, str]:
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """(repo_id, path, scc) for the members of components with two or more files; `scc` is the smallest member.
+    """(repo_id, path, scc, size) for the members of components with two or more files; `scc` is the smallest member.
+
+    Small repositories are a task each, large ones go through rounds.
+    """
+    small, large = R.by_size(edges.select("repo_id", "source", "target").filter("source <> target").distinct())
+    here = R.placed_vertices(small).filter("size > 1").select(*VERTEX, "scc", "size")
+    large, place = write_table(large)
+    if not large.isEmpty():
+        here = here.unionByName(_connected_by_rounds(large))
+    drop_table(edges.sparkSession, place)
+    return here
+
+
+def _connected_by_rounds(edges: DataFrame) -> DataFrame:
+    """Strongly connected components of any size.
 
     Chains become single edges first, and cycles that are nothing but a chain are found on the way, so long ones take few rounds. On what is
     left, a vertex whose smallest ancestor is also its smallest descendant shares a component with it.
     """
     spark = edges.sparkSession
-    edges, edges_at = write_table(edges.select("repo_id", "source", "target").filter("source <> target").distinct())
+    edges, edges_at = write_table(edges)
     ahead, ahead_at = chain_ends(edges)
     circles = ahead.filter("loop").select(*VERTEX, F.col("low").alias("key"))
     open_edges = edges.join(circles.select("repo_id", F.col("path").alias("source")), ["repo_id", "source"], "left_anti")
@@ -211,11 +226,26 @@ def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:
 def longest_depth(dag: DataFrame, nodes: DataFrame) -> DataFrame:
     """(repo_id, path, depth) over an acyclic graph: 0 without prerequisites, else one more than the deepest of them.
 
+    Small repositories are a task each, large ones go through rounds.
+    """
+    small, large = R.by_size(dag.select("repo_id", "source", "target").distinct())
+    alone = nodes.select(*VERTEX, F.lit(0).alias("depth"))
+    here = alone.unionByName(R.placed_vertices(small).select(*VERTEX, "depth"))
+    large, place = write_table(large)
+    if not large.isEmpty():
+        here = here.unionByName(_depth_by_rounds(large))
+    drop_table(dag.sparkSession, place)
+    return here.groupBy(*VERTEX).agg(F.max("depth").alias("depth"))
+
+
+def _depth_by_rounds(dag: DataFrame) -> DataFrame:
+    """(repo_id, path, depth) of every vertex of an acyclic graph of any size.
+
     Chains become single edges that count their steps. On the vertices left, depths rise until none does: in each round only vertices that
     have just risen tell those that depend on them. The inner vertices of a chain follow from its end.
     """
     spark = dag.sparkSession
-    dag, dag_at = write_table(dag.select("repo_id", "source", "target").distinct())
+    dag, dag_at = write_table(dag)
     ahead, ahead_at = chain_ends(dag)
     inner = ahead.select(*VERTEX, "end", "dist")
     outer = dag.join(inner.select("repo_id", F.col("path").alias("source")), ["repo_id", "source"], "left_anti")
@@ -232,7 +262,7 @@ def longest_depth(dag: DataFrame, nodes: DataFrame) -> DataFrame:
         drop_table(spark, place)
         state, place = nxt, where
     behind = inner.join(state.select("repo_id", F.col("path").alias("end"), F.col("depth").alias("rest")), ["repo_id", "end"]).select(*VERTEX, (F.col("dist") + F.col("rest")).alias("depth"))
-    reached = nodes.select(*VERTEX, F.lit(0).cast("bigint").alias("depth")).unionByName(state.select(*VERTEX, "depth")).unionByName(behind)
+    reached = state.select(*VERTEX, "depth").unionByName(behind)
     out = write_table(reached.groupBy(*VERTEX).agg(F.max("depth").cast("int").alias("depth")))[0]
     for old in (dag_at, ahead_at, short_at, place):
         drop_table(spark, old)
@@ -259,13 +289,24 @@ def number_tiers(nodes: DataFrame) -> DataFrame:
 
 
 def tier_table(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
-    """(repo_id, path, scc, is_cyclic, depth, tier_index) of every connected file, from valid edges."""
-    scc = strongly_connected(edges) if scc is None else scc
-    nodes = with_scc(vertices(edges), scc)
-    units = nodes.select("repo_id", F.col("scc").alias("path")).distinct()
-    depth = longest_depth(condensation(edges, scc), units)
-    placed = nodes.join(depth.withColumnRenamed("path", "scc"), ["repo_id", "scc"])
-    return number_tiers(placed)
+    """(repo_id, path, scc, is_cyclic, depth, tier_index) of every connected file, from valid edges.
+
+    Cycles and depths of a small repository come from one task together; `scc`, where given, is what large ones start from.
+    """
+    small, large = R.by_size(edges.select("repo_id", "source", "target"))
+    here = R.placed_vertices(small).select(*VERTEX, "scc", (F.col("size") > 1).alias("is_cyclic"), "depth")
+    large, place = write_table(large)
+    if not large.isEmpty():
+        scc = strongly_connected(large) if scc is None else scc
+        nodes = with_scc(vertices(large), scc)
+        units = nodes.select("repo_id", F.col("scc").alias("path")).distinct()
+        depth = longest_depth(condensation(large, scc), units)
+        here = here.unionByName(nodes.join(depth.withColumnRenamed("path", "scc"), ["repo_id", "scc"]).select(*VERTEX, "scc", "is_cyclic", "depth"))
+    here, here_at = write_table(here)
+    drop_table(edges.sparkSession, place)
+    out, _ = write_table(number_tiers(here))
+    drop_table(edges.sparkSession, here_at)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -333,6 +374,71 @@ def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return state.drop("changed")
 
 
+def modularity_communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(repo_id, path, community) of `nodes`: communities by greedy modularity on the undirected graph, named by their smallest member.
+
+    A file without edges is a community of its own. In a small repository the best pair of communities is united until no union raises
+    modularity. In a large one many pairs are united a round, each of them raising it: see `_united_by_rounds`.
+    """
+    known = edges.filter("source <> target").select("repo_id", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+    small, large = R.by_size(known)
+    found = R.greedy_members(small)
+    large, place = write_table(large)
+    if not large.isEmpty():
+        found = found.unionByName(_united_by_rounds(large))
+    out = nodes.select(*VERTEX).join(found, VERTEX, "left").select(*VERTEX, F.coalesce("community", "path").alias("community"))
+    out, _ = write_table(out)
+    drop_table(edges.sparkSession, place)
+    return out
+
+
+def _united_by_rounds(pairs: DataFrame) -> DataFrame:
+    """(repo_id, path, community) of the vertices of undirected `pairs` (repo_id, source, target), each pair once, of repositories of any size.
+
+    In each round communities are heads or joiners by a hash. A joiner whose best union is with a head asks for it; a head takes those who ask in order of
+    worth as long as each raises modularity after the ones before it. The united graph has fewer vertices, with weights; rounds end when no union
+    is worth anything.
+    """
+    spark = pairs.sparkSession
+    total = pairs.groupBy("repo_id").agg((2 * F.count(F.lit(1))).alias("total"))
+    ends = sources(pairs).unionByName(targets(pairs))
+    state, state_at = write_table(ends.distinct().select(*VERTEX, F.col("path").alias("community")))
+    own, own_at = write_table(ends.groupBy(*VERTEX).agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("path", "c"))
+    links, links_at = write_table(pairs.select("repo_id", F.col("source").alias("a"), F.col("target").alias("b"), F.lit(1).cast("bigint").alias("w")))
+    turn = 0
+    while True:
+        turn += 1
+        both = links.unionByName(links.select("repo_id", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+        degree = lambda c, name: own.select("repo_id", F.col("c").alias(c), F.col("degree").alias(name))  # noqa: E731, B023
+        valued = both.join(degree("a", "da"), ["repo_id", "a"]).join(degree("b", "db"), ["repo_id", "b"]).join(total, "repo_id")
+        valued = valued.withColumn("worth", F.col("total") * F.col("w") - F.col("da") * F.col("db")).filter("worth > 0")
+        best = valued.groupBy("repo_id", "a").agg(F.min(F.struct((-F.col("worth")).alias("worth"), "b", "w", "da", "db", "total")).alias("x")).select("repo_id", "a", "x.*")
+        best, best_at = write_table(best)
+        if best.isEmpty():
+            drop_table(spark, best_at)
+            break
+        heads = lambda c: F.crc32(F.concat_ws(":", "repo_id", c, F.lit(turn)).cast("binary")) % 2 == 0  # noqa: E731, B023
+        asking = best.filter(~heads("a") & heads("b"))
+        before = Window.partitionBy("repo_id", "b").orderBy("worth", "a").rowsBetween(Window.unboundedPreceding, -1)
+        grown = F.col("db") + F.coalesce(F.sum("da").over(before), F.lit(0))
+        taken = asking.withColumn("raises", F.col("total") * F.col("w") > F.col("da") * grown)
+        # whoever would not raise it stays; the others count with all who asked before them, so each still raises it
+        joins, joins_at = write_table(taken.filter("raises").select("repo_id", F.col("a").alias("c"), F.col("b").alias("into")))
+        moved = lambda df, c: df.join(joins.select("repo_id", F.col("c").alias(c), "into"), ["repo_id", c], "left").withColumn(c, F.coalesce("into", c)).drop("into")  # noqa: E731, B023
+        new_state, new_state_at = write_table(moved(state, "community"))
+        new_own, new_own_at = write_table(moved(own, "c").groupBy("repo_id", "c").agg(F.sum("degree").alias("degree")))
+        ends_of = moved(moved(links, "a"), "b").filter("a <> b").select("repo_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
+        new_links, new_links_at = write_table(ends_of.groupBy("repo_id", "a", "b").agg(F.sum("w").alias("w")))
+        for old in (state_at, own_at, links_at, best_at, joins_at):
+            drop_table(spark, old)
+        state, own, links, state_at, own_at, links_at = new_state, new_own, new_links, new_state_at, new_own_at, new_links_at
+    named = state.groupBy("repo_id", "community").agg(F.min("path").alias("least"))
+    out, _ = write_table(state.join(named, ["repo_id", "community"]).select(*VERTEX, F.col("least").alias("community")))
+    for old in (state_at, own_at, links_at):
+        drop_table(spark, old)
+    return out
+
+
 def community_vote(members: DataFrame, threshold: float = 0.5) -> DataFrame:
     """members(repo_id, path, community, domain): domain each unclassified member takes from its community.
 

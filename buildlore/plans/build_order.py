@@ -20,7 +20,11 @@ def cycles(spark: SparkSession, sf: str) -> DataFrame:
 
 def tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Tier of every connected file; built once per session and folder, then read by every plan that needs it."""
-    return staged(spark, "tiers", sf, lambda: G.tier_table(edge_table(spark, sf), cycles(spark, sf)))
+    return staged(spark, "tiers", sf, lambda: G.tier_table(edge_table(spark, sf)))
+
+
+def communities(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(spark, "communities", sf, lambda: G.modularity_communities(edge_table(spark, sf), file_table(spark, sf)))
 
 
 def file_table(spark: SparkSession, sf: str) -> DataFrame:
