@@ -6,6 +6,7 @@ not depend on how many rows Spark puts into it; one text longer than a slice is
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[str, np.ndarray] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,8 +59,10 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         stop = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
         yield start, stop
         start = stop
-    # a worker lives on after its task; what Arrow has freed goes back to the machine
+    # a worker lives on after its task; what Arrow and numpy have freed goes back to the machine
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,18 +16,15 @@ BATCH_ROWS = 1000  # rows that go to a Python worker at a time; whole documents
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(stage, spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, str]:
-    """What a stage returns, written with batches of at most `BATCH_ROWS` rows, and where; the session's setting is then as it was before."""
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
-    try:
-        return write_table(stage(spark, docs, sf_dir))
-    finally:
-        spark.conf.set(BATCH_SETTING, before)
+def small_batches(stage):
+    """`stage` with batches of at most `BATCH_ROWS` rows in the session; results do not depend on it. `run` puts the setting back."""
 
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = int(spark.conf.get(BATCH_SETTING))
+        spark.conf.set(BATCH_SETTING, str(min(BATCH_ROWS, before) if before > 0 else BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
 
-def small_batches(stage):
-    return lambda spark, docs, sf_dir: written(stage, spark, docs, sf_dir)[0]
+    return call
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,25 +55,27 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-_WORK = [
-    ("quality classifier", keep_good),
-    ("n-gram Jaccard join", drop_near_copies),
-    ("substring dedup", cut_repeats),
-    ("benchmark decontamination", drop_benchmark),
-    ("byte-level BPE", to_tokens),
+STAGES = [
+    ("quality classifier", small_batches(keep_good)),
+    ("n-gram Jaccard join", small_batches(drop_near_copies)),
+    ("substring dedup", small_batches(cut_repeats)),
+    ("benchmark decontamination", small_batches(drop_benchmark)),
+    ("byte-level BPE", small_batches(to_tokens)),
 ]
-STAGES = [(name, small_batches(stage)) for name, stage in _WORK]
 
 #: Training a classifier is no SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; the tables of the stages before are dropped as soon as the next one is written."""
-    docs, place = table(spark, sf_dir, "documents"), None
-    for _, stage in _WORK:
-        docs, now = written(stage, spark, docs, sf_dir)
-        if place:
-            drop_table(spark, place)
-        place = now
+    """The last stage's rows. The tables of the stages before are dropped as soon as the next one is written, and the session's setting is as before."""
+    docs, place, before = table(spark, sf_dir, "documents"), None, spark.conf.get(BATCH_SETTING)
+    try:
+        for _, stage in STAGES:
+            docs, now = write_table(stage(spark, docs, sf_dir))
+            if place:
+                drop_table(spark, place)
+            place = now
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs

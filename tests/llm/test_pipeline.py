@@ -29,20 +29,22 @@ def test_run_is_the_stages_one_after_the_other(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in C.STAGES:
         docs = C.materialize(stage(spark, docs, SF))
+    spark.conf.set(C.BATCH_SETTING, "5000")
     digest = lambda df: sorted((r.doc_id, r.n_tokens, hashlib.sha256(bytes(r.ids)).hexdigest(), r.decoded_sha256) for r in df.collect())
     assert digest(C.run(spark, SF)) == digest(docs)
+    assert spark.conf.get(C.BATCH_SETTING) == "5000"
+    spark.conf.unset(C.BATCH_SETTING)
 
 
 def test_stages_take_columns_of_any_name_and_repeated_ids(spark):
     base = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     extra = ("_score", "score", "_cuts", "_left", "_held", "_key", "_text", "id", "label", "mark", "start", "class", "n")
     docs = base.unionByName(base.limit(5)).selectExpr("*", *[f"'{k}' AS {c}" for k, c in enumerate(extra)])
-    setting = spark.conf.get(C.BATCH_SETTING)
     for _, stage in C.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and {tuple(r[c] for c in extra) for r in out.collect()} == {tuple(map(str, range(len(extra))))}
         docs = out
-    assert spark.conf.get(C.BATCH_SETTING) == setting and docs.count() > 20
+    assert docs.count() > 20
 
 
 def test_planted_cases(spark, tmp_path):
