@@ -5,6 +5,7 @@ from buildlore.catalog.sqlviews import NOW_SQL, REPO_NOW_SQL, text_set, with_vie
 from buildlore.functions import paths as P
 from buildlore.functions import text as X
 from buildlore.operators import corpus as C
+from buildlore.operators.scale import spread
 from buildlore.plans import views as V
 from buildlore.sources import corpus as S
 
@@ -86,7 +87,7 @@ def a4(spark, sf):
         F.lit("h"), t(F.col("l_orderkey")), F.lit("|"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit("|dev"),
         t(F.col("l_suppkey")), F.lit("|fix a|b: "), F.col("l_linestatus"), F.lit("\n\n"), status, F.lit("\nD\tgone/"), t(F.col("l_partkey")), F.lit("\njunk"),
     )
-    return S.parse_commits(li.select(F.col("l_partkey").alias("block_key"), block.alias("block")), "block_key")
+    return S.parse_commits(spread(li.select(F.col("l_partkey").alias("block_key"), block.alias("block"))), "block_key")
 
 
 _STAMP = """CASE event_id % 7 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
@@ -263,7 +264,7 @@ def secret_docs(spark, sf):
 @query("f9_secret_redaction", "doc_id bigint, redaction_count bigint, digest string",
        f"WITH {REDACT_SQL} SELECT doc_id, redaction_count, md5(content) AS digest FROM redacted")
 def f9(spark, sf):
-    return C.redact_files(secret_docs(spark, sf)).withColumn("digest", F.md5("content"))
+    return C.redact_files(spread(secret_docs(spark, sf))).withColumn("digest", F.md5("content"))
 
 
 # repositories 0,3,6... recorded counts per file; the others only a total

@@ -7,7 +7,7 @@ from buildlore.catalog.sqlviews import WORD_BREAK, lines_sql, with_views
 from buildlore.operators import chunking as K
 from buildlore.operators import extraction as X
 from buildlore.operators import retrieval as R
-from buildlore.operators.scale import first_rows
+from buildlore.operators.scale import first_rows, spread
 from buildlore.plans import build_order as B
 from buildlore.plans import views as V
 from buildlore.session import staged
@@ -63,7 +63,7 @@ def s4(spark, sf):
 @query("s5_hashed_embedding", "doc_id bigint, bucket int, value double",
        f"WITH {vectors_sql('documents', 'doc_id', 'text', 'vec')} SELECT doc_id, bucket, w / norm AS value FROM vec JOIN vec_norm USING (doc_id)")
 def s5(spark, sf):
-    docs = R.with_weights(V.table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    docs = R.with_weights(spread(V.table(spark, sf, "documents").select("doc_id", "text")), "text").drop("text")
     unit = R.normalized(F.col("weights"))
     return docs.select("doc_id", F.posexplode(unit).alias("bucket", "value")).filter("value <> 0")
 

@@ -125,7 +125,8 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
 
     for name in names.split():
         need(name)
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name][1]})" for name in order)
+    # splitting all texts into words is done once, however often a query reads them
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if name == 'symbols' else ''}({VIEWS[name][1]})" for name in order)
     body = body.strip()
     rest = ",\n" + body[5:].lstrip() if body.upper().startswith("WITH ") else "\n" + body
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}{rest}"

@@ -29,7 +29,7 @@ def j9(spark, sf):
 # ---------------------------------------------------------------- symbols
 def exports(spark, sf):
     tiers = B.tiers(spark, sf).select("repo_id", "path", "tier_index")
-    return V.symbols(spark, sf).select("repo_id", "path", F.col("symbol").alias("name"), F.lit(0).alias("pos")).join(tiers, ["repo_id", "path"])
+    return B.symbol_table(spark, sf).select("repo_id", "path", F.col("symbol").alias("name"), F.lit(0).alias("pos")).join(tiers, ["repo_id", "path"])
 
 
 @query("j12_expected_symbols", "repo_id string, tier_index int, name string, kind string, source_file string",
@@ -49,7 +49,7 @@ _EXPECTED = r"""ex AS (SELECT repo_id || ':' || path AS attempt, symbol AS name,
 
 
 def comparison(spark, sf):
-    s = V.symbols(spark, sf)
+    s = B.symbol_table(spark, sf)
     attempt = F.concat("repo_id", F.lit(":"), "path").alias("attempt")
     n = F.length("symbol")
     kind = F.when(F.col("symbol").rlike("^[A-Z]"), "class").otherwise("function")
@@ -93,7 +93,7 @@ _BLANKS = """bx AS (SELECT repo_id || ':' || path AS attempt, CASE WHEN length(s
 
 
 def blanks(spark, sf):
-    s = V.symbols(spark, sf)
+    s = B.symbol_table(spark, sf)
     attempt = F.concat("repo_id", F.lit(":"), "path").alias("attempt")
     n, sym = F.length("symbol"), F.col("symbol")
     owned = lambda o: F.concat(F.lit(o + "."), sym)

@@ -51,6 +51,18 @@ def ordered_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores, if what it reads is too small to give each of them a full task: one row group cannot be read by several.
+
+    For work that costs much a row. Large inputs are left as they are read, so their rows do not move; results do not depend on it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    full = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if read < cores * full else df
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], limit: int, out: str) -> DataFrame:
     """Top rows per key. Spark cuts each map task's rows to `limit` per key before the shuffle (window group limit)."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= limit)

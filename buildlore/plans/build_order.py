@@ -27,5 +27,10 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
     return staged(spark, "communities", sf, lambda: G.modularity_communities(edge_table(spark, sf), file_table(spark, sf)))
 
 
+def symbol_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of every file, split once for all that a plan does with them."""
+    return staged(spark, "symbols", sf, lambda: V.symbols(spark, sf))
+
+
 def file_table(spark: SparkSession, sf: str) -> DataFrame:
     return staged(spark, "files", sf, lambda: V.files(spark, sf).select("repo_id", "n", "path", F.col("doc_id")))

@@ -42,9 +42,10 @@ def text_of(c: Column) -> Column:
 def files(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumnRenamed("source", "repo_id")
     n = F.col("n")
+    # ids alone are numbered, so that no window holds a text
+    numbers = running_index(docs.select("repo_id", "doc_id"), ["repo_id"], "doc_id", "n").select("doc_id", (n - 1).alias("n"))
     return (
-        running_index(docs, ["repo_id"], "doc_id", "n")
-        .withColumn("n", n - 1)
+        docs.join(numbers, "doc_id")
         .select(
             "repo_id", "n", "doc_id",
             F.concat(pick(DIRECTORIES, n % 11), F.lit("f"), text_of(n), pick(SUFFIXES, F.col("doc_id") % 8)).alias("path"),
