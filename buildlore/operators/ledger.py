@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlore.operators.corpus import is_paid
 from buildlore.operators.scale import first_rows
+from buildlore.session import drop_table, write_table
 
 # Fixed values of the points economy.
 BASE_POINTS = 50
@@ -140,27 +141,48 @@ def layer_averages(metrics: DataFrame) -> DataFrame:
                                         F.bround(F.count_if(F.col("status") == "failed") / F.count(F.lit(1)) * 100, 2).alias("failure_pct"))
 
 
-def values_at(df: DataFrame, keys: list[str], value: str, wanted: DataFrame, buckets: int = 4096) -> DataFrame:
+def values_at(df: DataFrame, keys: list[str], value: str, wanted: DataFrame, buckets: int = 4096, most: int = 1 << 16) -> DataFrame:
     """Exact order statistics: wanted(keys..., label, index) plus the value at that 0-based place of the sorted values.
 
-    Equal values are counted first. A histogram over each key's range then says which bucket holds the wanted place, and
-    only that bucket's distinct values are ordered.
+    Equal values are counted first. The range that holds a wanted place is cut into buckets and narrowed to the one with the place, again and again, all
+    places together, until it holds at most `most` distinct values; only those are ordered. A far outlier costs a round, as each divides the
+    range by `buckets`.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col(value) - F.col("_lo")) / width * buckets))).otherwise(0)
-    placed = counts.join(span, keys).withColumn("_b", bucket).drop("_lo", "_hi")
-    hist = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_h"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_base", F.coalesce(F.sum("_h").over(before), F.lit(0)))
-    target = wanted.join(hist, keys).filter((F.col("index") >= F.col("_base")) & (F.col("index") < F.col("_base") + F.col("_h")))
-    inside = placed.join(target.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    upto = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_end", F.sum("_n").over(upto))
-    found = target.join(ranked, [*keys, "_b"])
+    spark = df.sparkSession
+    counts, counts_at = write_table(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_d"))
+    target, place = write_table(wanted.join(span, keys).withColumn("_base", F.lit(0).cast("bigint")))
+    ends = [*keys, "_lo", "_hi"]
+    own = [F.col(c) for c in target.columns if c not in ("_lo", "_hi", "_d", "_base")]
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        return counts.join(ranges.select(*ends).distinct(), keys).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
+
+    def reached(ranged: DataFrame, order: str, upto: int) -> Column:
+        return F.coalesce(F.sum("_h").over(Window.partitionBy(*ends).orderBy(order).rowsBetween(Window.unboundedPreceding, upto)), F.lit(0))
+
+    while True:
+        wide = target.filter(F.col("_d") > most)
+        if wide.isEmpty():
+            break
+        width = F.col("_hi") - F.col("_lo")
+        bucket = F.least(F.lit(buckets - 1), F.floor((F.col(value) - F.col("_lo")) / width * buckets))
+        hist = inside(wide).groupBy(*ends, bucket.alias("_b")).agg(F.sum("_n").alias("_h"), F.count(F.lit(1)).alias("_d2"), F.min(value).alias("_lo2"), F.max(value).alias("_hi2"))
+        hist = hist.withColumn("_before", reached(hist, "_b", -1))
+        local = F.col("index") - F.col("_base")
+        narrow = wide.join(hist, ends).filter((local >= F.col("_before")) & (local < F.col("_before") + F.col("_h")))
+        narrow = narrow.select(*own, F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"), F.col("_d2").alias("_d"), (F.col("_base") + F.col("_before")).alias("_base"))
+        now, where = write_table(target.filter(F.col("_d") <= most).unionByName(narrow))
+        drop_table(spark, place)
+        target, place = now, where
+    few = inside(target).withColumnRenamed("_n", "_h")
+    ranked = few.withColumn("_end", reached(few, value, 0))
     local = F.col("index") - F.col("_base")
-    return found.filter((local < F.col("_end")) & (local >= F.col("_end") - F.col("_n"))).select(*keys, "label", "index", F.col(value).alias("value"))
+    found = target.join(ranked, ends).filter((local < F.col("_end")) & (local >= F.col("_end") - F.col("_h")))
+    out, _ = write_table(found.select(*keys, "label", "index", F.col(value).alias("value")))
+    drop_table(spark, counts_at)
+    drop_table(spark, place)
+    return out
 
 
 def layer_medians(metrics: DataFrame) -> DataFrame:

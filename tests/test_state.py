@@ -163,3 +163,19 @@ def test_order_statistics(spark):
     got = {(r["k"], r["index"]): r["value"] for r in L.values_at(df, ["k"], "v", wanted, buckets=16).collect()}
     by_key = {k: sorted(v for k2, v in rows if k2 == k) for k in "abc"}
     assert got == {(k, i): by_key[k][i] for (k, i) in got} and len(got) == 9
+
+
+def test_order_statistics_with_far_outliers(spark, monkeypatch):
+    """A range with an outlier is narrowed until few values are left to order."""
+    rng = random.Random(6)
+    rows = [("a", rng.uniform(0, 1)) for _ in range(900)] + [("a", 1e12), ("a", -1e12), ("a", 5e11)] + [("b", float(i % 7)) for i in range(50)] + [("c", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    by_key = {k: sorted(v for k2, v in rows if k2 == k) for k in "abc"}
+    wanted = spark.createDataFrame([(k, f"i{i}", i) for k, v in by_key.items() for i in {0, 1, len(v) // 3, len(v) // 2, len(v) - 1} if i < len(v)], "k string, label string, index bigint")
+    rounds = []
+    table = L.write_table
+    monkeypatch.setattr(L, "write_table", lambda d: rounds.append(1) or table(d))
+    got = {(r["k"], r["index"]): r["value"] for r in L.values_at(df, ["k"], "v", wanted, buckets=64, most=20).collect()}
+    assert got == {(k, i): by_key[k][i] for k, i in got} and len(got) == wanted.count()
+    assert 4 < len(rounds) < 20
+    assert L.values_at(df.filter("false"), ["k"], "v", wanted).collect() == []
