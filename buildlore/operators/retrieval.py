@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ QUERY_ROWS = 1024  # of a block; with ITEM_ROWS a block's scores take 64 MB
 ITEM_ROWS = 8192
 GRAPH_SCORE = 0.5  # fixed value: score of a chunk only the graph found
 SCORE_PLACES = 6
+FOCUS_CHARS = 1 << 22  # of the names of an automaton, and of the texts that are read with it in a task
 
 
 _BUCKETS: dict[str, int] = {}
@@ -148,16 +151,33 @@ def fuse(by_vector: DataFrame, by_graph: DataFrame, cap: int = 10) -> DataFrame:
 def detect_focus(queries: DataFrame, files: DataFrame) -> DataFrame:
     """queries(repo_id, query_id, text): smallest path that is mentioned whole or by file name.
 
-    A mention is a substring. Instead of testing every file against every query, each query offers its substrings of
-    the lengths that names in its repository have, and those are joined by equality.
+    A mention is a substring. Names of a repository are cut into shards of bounded size, its queries into blocks; each task makes an automaton of its
+    shard's names and reads the texts of its block once, however many names there are.
     """
     names = files.select("repo_id", "path", F.explode(F.array("path", F.element_at(F.split("path", "/"), -1))).alias("name")).filter("name <> ''")
     names = names.groupBy("repo_id", "name").agg(F.min("path").alias("path"))
-    sizes = names.select("repo_id", F.length("name").alias("size")).distinct()
-    at = F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)
-    pieces = queries.join(sizes, "repo_id").filter(F.length("text") >= F.col("size")).select(
-        "repo_id", "query_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.col("size"))))).alias("name"))
-    return pieces.join(names, ["repo_id", "name"]).groupBy("repo_id", "query_id").agg(F.min("path").alias("path"))
+    asked = queries.filter(F.col("text") != "").select("repo_id", "query_id", "text")
+    parts = lambda df, column, out: df.groupBy("repo_id").agg(F.ceil(F.sum(F.length(column)) / F.lit(FOCUS_CHARS)).cast("int").alias(out))
+    sizes = parts(names, "name", "shards").join(parts(asked, "text", "blocks"), "repo_id")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, "repo_id").select("repo_id", own("query_id", "blocks").alias("block"), every("shards").alias("shard"), "query_id", "text")
+    right = names.join(sizes, "repo_id").select("repo_id", own("name", "shards").alias("shard"), every("blocks").alias("block"), "name", "path")
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def scan(texts: pa.Table, known: pa.Table) -> pa.Table:
+        automaton = ahocorasick.Automaton()
+        for name, path in zip(known["name"].to_pylist(), known["path"].to_pylist()):
+            automaton.add_word(name, path)
+        found = [None] * len(texts)
+        if len(known):
+            automaton.make_automaton()
+            found = [min((path for _, path in automaton.iter(t)), default=None) for t in texts["text"].to_pylist()]
+        return texts.select(["repo_id", "query_id"]).append_column("path", pa.array(found, pa.string()))
+
+    keys = ["repo_id", "block", "shard"]
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, f"repo_id string, query_id {kind}, path string")
+    return hits.filter("path is not null").groupBy("repo_id", "query_id").agg(F.min("path").alias("path"))
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 5, graph_k: int = 5, cap: int = 10) -> DataFrame:
