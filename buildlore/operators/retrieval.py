@@ -126,9 +126,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def graph_chunks(focus: DataFrame, near: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """focus(repo_id, query_id, text, path): chunks of the focus file first, then text matches, then file order."""
+    """focus(repo_id, query_id, text, path): chunks of the focus file first, then text matches, then file order.
+
+    A focus file with k chunks or more fills the list by itself: texts of its neighbours are read for the others only.
+    """
+    sizes = chunks.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("_n"))
+    short = focus.join(sizes, ["repo_id", "path"], "left").filter(F.coalesce("_n", F.lit(0)) < k).drop("_n")
     own = focus.select("repo_id", "query_id", F.lower("text").alias("_t"), "path", F.lit(True).alias("is_target"))
-    linked = focus.join(near, ["repo_id", "path"]).select("repo_id", "query_id", F.lower("text").alias("_t"), F.col("other").alias("path"), F.lit(False).alias("is_target"))
+    linked = short.join(near, ["repo_id", "path"]).select("repo_id", "query_id", F.lower("text").alias("_t"), F.col("other").alias("path"), F.lit(False).alias("is_target"))
     hits = own.unionByName(linked).join(chunks, ["repo_id", "path"])
     says = lambda c: F.coalesce(F.contains(F.lower(c), F.col("_t")), F.lit(False))
     hits = hits.withColumn("is_match", (F.col("_t") != "") & (says("symbol") | says("content")))

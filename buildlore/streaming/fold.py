@@ -107,7 +107,8 @@ def window_step(limit: int = WINDOW_REQUESTS, seconds: float = WINDOW_SECONDS) -
 def sliding_window(requests: DataFrame, limit: int = WINDOW_REQUESTS, seconds: float = WINDOW_SECONDS) -> DataFrame:
     """Refused calls do not count; a pause of one window empties it."""
     runs = gap_sessions(requests, ["key"], "t", "event_id", float(seconds), "run")
-    return fold_in_order(runs, ["key", "run"], ["t", "event_id"], ["t"], window_step(limit, seconds), (), "allowed boolean, in_window int")
+    summary = lambda times: R.Slots.of(times, limit, float(seconds))
+    return fold(runs, ["key", "run"], ["t", "event_id"], ["t"], window_step(limit, seconds), (), "allowed boolean, in_window int", summary, True)
 
 
 def cooldown_step(cooldown: float = COOLDOWN) -> Step:

@@ -117,6 +117,39 @@ class Refill:
         return Refill(self.capacity, self.rate, self.first, other.last, tuple(_joined(out)))
 
 
+@dataclass(frozen=True)
+class Slots:
+    """What requests at given times do to a window that takes `limit` of them in `seconds`: the times alone, of which only accepted ones are looked at.
+
+    When the window is full, nothing happens until its oldest request leaves it, so a state is carried over a stretch by one search for each
+    accepted request, however many are refused. Unlike the other maps this one is as long as its range; it is eight bytes a row.
+    """
+
+    limit: int
+    seconds: float
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, times: list[float], limit: int, seconds: float) -> Slots:
+        return cls(limit, seconds, np.array(times, np.float64))
+
+    def after(self, state: tuple[float, ...]) -> tuple[float, ...]:
+        live, at, n = list(state), 0, len(self.times)
+        left = self.times - self.seconds  # what has left by then, compared as the fold does
+        while at < n:
+            gone = left[at]
+            live = [x for x in live if x > gone]
+            if len(live) < self.limit:
+                live.append(float(self.times[at]))
+                at += 1
+            else:
+                at = max(at + 1, int(np.searchsorted(left, live[0])))
+        return tuple(x for x in live if x > left[-1]) if n else state
+
+    def then(self, other: Slots) -> Slots:
+        return Slots(self.limit, self.seconds, np.concatenate([self.times, other.times]))
+
+
 def _rising(other: Refill, found: float) -> bool:
     return next(p for p in reversed(other.pieces) if p[0] <= found or p[0] == 0.0)[2]
 

@@ -50,6 +50,20 @@ def test_refill_map_is_the_fold_from_any_fill(one, two, tokens):
         assert len(found.pieces) <= 2 * (5 + 2)
 
 
+@settings(max_examples=300, deadline=None)
+@given(TIMES, TIMES, st.integers(1, 4), st.floats(0.5, 9))
+def test_window_map_is_the_fold_from_any_state(one, two, limit, seconds):
+    step = fold.window_step(limit, seconds)
+    two = [one[-1] + t for t in two]
+    maps = [R.Slots.of(t, limit, seconds) for t in (one, two)]
+    middle = run(step, (), [(t,) for t in one])
+    # the fold drops what has left when the next request comes, the map right away
+    alive = lambda state, t: tuple(x for x in state if x > t - seconds)
+    assert maps[0].after(()) == alive(middle, one[-1])
+    want = alive(run(step, middle, [(t,) for t in two]), two[-1])
+    assert maps[1].after(middle) == want and maps[0].then(maps[1]).after(()) == want
+
+
 def busy(n, seed=1):
     """One key without a pause, and two small ones."""
     rng = random.Random(seed)
@@ -85,6 +99,18 @@ def test_one_key_of_a_bucket_is_folded_by_many_tasks(spark, monkeypatch, many_ta
     assert {r.event_id: (r.allowed, r.remaining, r.reset_seconds, r.retry_after) for r in got} == plain(rows, fold.bucket_step(), None)
 
 
+def test_one_key_of_a_window_is_folded_by_many_tasks(spark, monkeypatch, many_tasks):
+    monkeypatch.setattr(R, "ROWS", 40)
+    monkeypatch.setattr(R, "FAN", 4)
+    rng, t, rows = random.Random(9), 0.0, []
+    for i in range(1200):
+        t += rng.choice([0.0, 0.1, 0.5, 7.0])
+        rows.append((i, 0, t))
+    rows += [(2000 + i, 1, i * 7.5) for i in range(20)]
+    got = {r.event_id: (r.allowed, r.in_window) for r in fold.sliding_window(spark.createDataFrame(rows, "event_id int, key int, t double")).collect()}
+    assert got == plain(rows, fold.window_step(), ())
+
+
 def test_one_user_is_folded_by_many_tasks(spark, monkeypatch, many_tasks):
     monkeypatch.setattr(R, "ROWS", 30)
     monkeypatch.setattr(R, "FAN", 3)
