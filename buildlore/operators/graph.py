@@ -417,7 +417,7 @@ def _united_by_rounds(pairs: DataFrame) -> DataFrame:
         if best.isEmpty():
             drop_table(spark, best_at)
             break
-        heads = lambda c: F.crc32(F.concat_ws(":", "repo_id", c, F.lit(turn)).cast("binary")) % 2 == 0  # noqa: E731, B023
+        heads = lambda c: F.pmod(F.xxhash64("repo_id", c, F.lit(turn)), F.lit(2)) == 0  # noqa: E731, B023
         asking = best.filter(~heads("a") & heads("b"))
         before = Window.partitionBy("repo_id", "b").orderBy("worth", "a").rowsBetween(Window.unboundedPreceding, -1)
         grown = F.col("db") + F.coalesce(F.sum("da").over(before), F.lit(0))

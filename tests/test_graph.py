@@ -58,7 +58,7 @@ def test_tiers(spark, way):
         assert all(want[a] == want[b] or tiers[name][a] > tiers[name][b] for a, b in edges)
 
 
-def test_only_loops_and_no_edges(spark, way):
+def test_only_loops_and_no_edges(spark):
     none = G.valid_edges(frame(spark, {("a", "a")}))
     assert none.count() == 0
     assert G.strongly_connected(none).count() == 0
@@ -100,7 +100,8 @@ def test_vote_needs_half(spark):
     assert as_map(G.community_vote(df), "domain") == {"x": "uncategorized"}
 
 
-def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch, way):
+def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(R, "EDGES", 0)
     n = 5000
     name = lambda i: f"v{(i * 7919) % n:05d}"
     chain = [("chain", name(i), name(i + 1)) for i in range(n - 1)]
@@ -194,22 +195,23 @@ def planted(seed, groups, size):
 GRAPHS = CASES | {"planted": planted(1, 5, 12), "star": {("hub", f"leaf{i:02d}") for i in range(30)}, "path": {(f"p{i:02d}", f"p{i + 1:02d}") for i in range(40)}}
 
 
-def found_communities(spark):
-    rows = [(name, a, b) for name, edges in GRAPHS.items() for a, b in edges]
-    nodes = spark.createDataFrame([(n, v) for n, e in GRAPHS.items() for v in sorted({x for p in e for x in p} | {"alone"})], "repo_id string, path string")
+def found_communities(spark, graphs):
+    rows = [(name, a, b) for name, edges in graphs.items() for a, b in edges]
+    nodes = spark.createDataFrame([(n, v) for n, e in graphs.items() for v in sorted({x for p in e for x in p} | {"alone"})], "repo_id string, path string")
     return by_repo(G.modularity_communities(spark.createDataFrame(rows, "repo_id string, source string, target string"), nodes), "community")
 
 
 def test_modularity_communities_are_the_greedy_ones(spark):
-    got = found_communities(spark)
+    got = found_communities(spark, GRAPHS)
     for name, edges in GRAPHS.items():
         assert got[name] == greedy(edges) | {"alone": "alone"}
 
 
 def test_communities_by_rounds_are_as_good(spark, monkeypatch):
     monkeypatch.setattr(R, "EDGES", 0)
-    got = found_communities(spark)
-    for name, edges in GRAPHS.items():
+    graphs = {"planted": planted(1, 3, 8), "star": {("hub", f"leaf{i:02d}") for i in range(10)}, "path": {(f"p{i:02d}", f"p{i + 1:02d}") for i in range(14)}}
+    got = found_communities(spark, graphs)
+    for name, edges in graphs.items():
         label = got[name]
         assert label["alone"] == "alone" and all(label[c] == c and c == min(v for v in label if label[v] == c) for c in label.values())
         assert modularity(edges, label) >= 0.85 * modularity(edges, greedy(edges)) - 1e-9
