@@ -5,7 +5,7 @@ from buildlore.catalog.sqlviews import NOW_SQL, REPO_NOW_SQL, text_set, with_vie
 from buildlore.functions import paths as P
 from buildlore.functions import text as X
 from buildlore.operators import corpus as C
-from buildlore.operators.scale import spread
+from buildlore.operators.scale import dealt, spread
 from buildlore.plans import views as V
 from buildlore.sources import corpus as S
 
@@ -127,7 +127,8 @@ def odd_paths(spark, sf):
         F.lit(".gitmodules"),
     ])
     size = F.col("size_bytes") * F.when(n % 17 == 0, 100000).otherwise(1)
-    return V.files(spark, sf).select("repo_id", "doc_id", "n", size.alias("size_bytes"), "content", path.alias("path"))
+    # a path is as long as its number is large, so rows are dealt before it is made
+    return dealt(V.files(spark, sf)).select("repo_id", "doc_id", "n", size.alias("size_bytes"), "content", path.alias("path"))
 
 
 @query("f1_path_inclusion", "doc_id bigint, include boolean, reason string, scoped_reason string",
@@ -136,16 +137,16 @@ def f1(spark, sf):
     df = odd_paths(spark, sf)
     path, size = F.col("path"), F.col("size_bytes")
     reason = P.exclusion_reason(path, size=size)
-    return df.select("doc_id", reason.isNull().alias("include"), reason.alias("reason"),
-                     P.exclusion_reason(path, F.lit("packages/api/"), size).alias("scoped_reason"))
+    told = df.select("doc_id", reason.alias("reason"), P.exclusion_reason(path, F.lit("packages/api/"), size).alias("scoped_reason"))
+    return told.withColumn("include", F.col("reason").isNull())
 
 
 @query("f2_ignored_directories", "directory string, ignored boolean, files bigint",
        with_views("files", f"""WITH odd AS ({_PATHS_SQL}), d AS (SELECT unnest({_PARENTS}) AS directory FROM odd)
        SELECT directory, lower(directory) IN {text_set(P.IGNORED_DIRECTORIES)} OR starts_with(directory, '.git') AS ignored, count(*) AS files FROM d GROUP BY ALL"""))
 def f2(spark, sf):
-    d = odd_paths(spark, sf).select(F.explode(P.parents(P.normalize(F.col("path")))).alias("directory"))
-    return d.groupBy("directory").agg(F.count(F.lit(1)).alias("files")).withColumn("ignored", P.is_ignored_directory(F.col("directory")))
+    d = C.directory_counts(odd_paths(spark, sf))
+    return d.groupBy("directory").agg(F.sum("times").alias("files")).withColumn("ignored", P.is_ignored_directory(F.col("directory")))
 
 
 @query("f3_binary_sniff", "doc_id bigint, has_zero boolean",
@@ -199,9 +200,8 @@ def f5(spark, sf):
        l AS (SELECT *, list_filter(ps, lambda x: length(x) > 255) AS lg FROM p), r AS (SELECT *, coalesce({reason_sql()}, {_HARD}) AS reason FROM l)
        SELECT repo_id, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS skipped FROM r GROUP BY repo_id"""))
 def f6(spark, sf):
-    kept, skipped = C.split_files(odd_paths(spark, sf))
-    both = kept.select("repo_id", F.lit(1).alias("k"), F.lit(0).alias("s")).unionAll(skipped.select("repo_id", F.lit(0), F.lit(1)))
-    return both.groupBy("repo_id").agg(F.sum("k").alias("kept"), F.sum("s").alias("skipped"))
+    marked = C.with_reason(odd_paths(spark, sf)).select("repo_id", "reason")
+    return marked.groupBy("repo_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count("reason").alias("skipped"))
 
 
 @query("f7_file_cap", "repo_id string, files_kept bigint, file_count bigint",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +31,11 @@ MAX_SUBPATH_DEPTH = 16
 SNIFF_BYTES = 1024
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def slashes(path: Column) -> Column:
     """Backslashes become slashes."""
     return F.replace(path, F.lit("\\"), F.lit("/"))
@@ -35,7 +43,8 @@ def slashes(path: Column) -> Column:
 
 def normalize(path: Column) -> Column:
     """Slashes only, none at either end."""
-    return F.btrim(slashes(path), F.lit("/"))
+    # trimming costs several times a look at both ends, and most paths have nothing to trim
+    return let(slashes(path), lambda p: F.when(p.startswith("/") | p.endswith("/"), F.btrim(p, F.lit("/"))).otherwise(p))
 
 
 def parts(path: Column) -> Column:
@@ -58,7 +67,13 @@ def parent_dir(path: Column) -> Column:
 
 def suffix(name: Column) -> Column:
     """The last extension with its dot, as pathlib has it: none for dotfiles or a trailing dot."""
-    return F.regexp_extract(name, r"[^/.][^/]*?(\.[^/.]+)$", 1)
+
+    def of_base(base: Column) -> Column:
+        return let(F.substring_index(base, ".", -1), lambda ext: F.when(
+            F.contains(base, F.lit(".")) & (ext != "") & F.substring(base, F.lit(1), F.length(base) - F.length(ext) - 1).rlike(r"[^.]"),
+            F.concat(F.lit("."), ext)).when(base.isNotNull(), ""))
+
+    return let(F.substring_index(name, "/", -1), of_base)
 
 
 def splitext_ext(name: Column) -> Column:
@@ -117,46 +132,69 @@ def is_ignored_directory(name: Column) -> Column:
     return F.lower(name).isin(IGNORED_DIRECTORIES) | name.startswith(".git")
 
 
+def _any_case(names: list[str]) -> str:
+    """Pattern of the names in any ASCII case, by first letter: a search tries one letter of each, not every name."""
+    heads = sorted({n[0].lower() for n in names})
+    return "|".join(f"[{re.escape(h)}{re.escape(h.upper())}](?i:{'|'.join(re.escape(n[1:]) for n in names if n[0].lower() == h)})" for h in heads)
+
+
+def ignored_parent(norm: Column) -> Column:
+    """The first ignored directory above the file, '' if there is none: one search, however deep the path is. No name has a letter that only Unicode folds."""
+    found = F.regexp_extract(F.concat(F.lit("/"), norm), rf"/({_any_case(IGNORED_DIRECTORIES)}|\.git[^/]*)(?=/)", 1)
+    return F.when(F.contains(norm, F.lit("/")), found).otherwise("")
+
+
 def exclusion_reason(path: Column, subpath: Column | None = None, size: Column | None = None) -> Column:
     """Null when the file is kept, otherwise the first rule that rejects it."""
-    norm = normalize(path)
-    ignored = F.filter(parents(norm), is_ignored_directory)
-    out = F.when(path.isNull() | (path == "") | (path == ".gitmodules"), F.lit("skipped — submodule reference or empty path"))
-    if subpath is not None:
+    start = F.when(path.isNull() | (path == "") | (path == ".gitmodules"), F.lit("skipped — submodule reference or empty path"))
+
+    def rest(norm: Column, ignored: Column) -> Column:
+        out = F.when(
+            ignored != "", F.concat(F.lit("skipped — ignored directory '"), ignored, F.lit("'")),
+        ).when(F.lower(suffix(norm)).isin(BINARY_EXTENSIONS), F.lit("skipped — binary file"))
+        if size is not None:
+            out = out.when(
+                size > MAX_FILE_BYTES,
+                F.concat(F.lit("skipped — file size ("), size.cast("string"), F.lit(" bytes) exceeds 1MB limit")),
+            )
+        return out
+
+    def reason(norm: Column) -> Column:
+        told = let(ignored_parent(norm), lambda ignored: rest(norm, ignored))
+        if subpath is None:
+            return told
         clean = normalize(subpath)
         inside = (norm == clean) | F.startswith(norm, F.concat(clean, F.lit("/")))
         scoped = subpath.isNotNull() & (subpath != "")
-        out = out.when(scoped & ~inside, F.lit("skipped — outside scoped subdirectory"))
-    out = out.when(
-        F.size(ignored) > 0,
-        F.concat(F.lit("skipped — ignored directory '"), F.try_element_at(ignored, F.lit(1)), F.lit("'")),
-    ).when(F.lower(suffix(norm)).isin(BINARY_EXTENSIONS), F.lit("skipped — binary file"))
-    if size is not None:
-        out = out.when(
-            size > MAX_FILE_BYTES,
-            F.concat(F.lit("skipped — file size ("), size.cast("string"), F.lit(" bytes) exceeds 1MB limit")),
-        )
-    return out
+        return F.when(scoped & ~inside, F.lit("skipped — outside scoped subdirectory")).otherwise(told)
+
+    return start.otherwise(let(normalize(path), reason))
+
+
+def level_count(path: Column) -> Column:
+    """How many parts of a path are neither empty nor `.`; plain paths are told by their slashes."""
+    named = F.size(F.array_remove(F.array_remove(parts(path), ""), "."))
+
+    def count(whole: Column) -> Column:
+        plain = ~F.contains(whole, F.lit("//")) & ~F.contains(whole, F.lit("/./"))
+        return F.when(plain, F.length(whole) - F.length(F.replace(whole, F.lit("/"))) - 1).otherwise(named)
+
+    return let(F.concat(F.lit("/"), path, F.lit("/")), count)
 
 
 def hardening_reason(path: Column, max_depth: int = MAX_DEPTH, max_name: int = MAX_NAME) -> Column:
     """Null when depth and name lengths are acceptable."""
-    p = F.filter(parts(path), lambda x: ~x.isin("", "."))
-    long = F.filter(p, lambda x: F.length(x) > max_name)
-    first = F.try_element_at(long, F.lit(1))
-    return F.when(
-        F.size(p) > max_depth,
-        F.concat(
-            F.lit("Path depth ("), F.size(p).cast("string"),
-            F.lit(f") exceeds maximum allowed limit of {max_depth} levels."),
-        ),
-    ).when(
-        F.size(long) > 0,
-        F.concat(
-            F.lit("Filename '"), F.substring(first, 1, 20), F.lit("...' length ("), F.length(first).cast("string"),
-            F.lit(f") exceeds maximum limit of {max_name} characters."),
-        ),
+    first = F.regexp_extract(path, rf"[^/]{{{max_name + 1},}}", 0)
+
+    def reason(n: Column) -> Column:
+        too_deep = F.concat(F.lit("Path depth ("), n.cast("string"), F.lit(f") exceeds maximum allowed limit of {max_depth} levels."))
+        return F.when(n > max_depth, too_deep).when(first != "", too_long)
+
+    too_long = F.concat(
+        F.lit("Filename '"), F.substring(first, 1, 20), F.lit("...' length ("), F.length(first).cast("string"),
+        F.lit(f") exceeds maximum limit of {max_name} characters."),
     )
+    return let(level_count(path), reason)
 
 
 def is_binary_content(content: Column) -> Column:

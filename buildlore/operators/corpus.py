@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlore.functions.paths import exclusion_reason, hardening_reason, is_binary_content
+from buildlore.functions.paths import exclusion_reason, hardening_reason, is_binary_content, normalize, parents
 from buildlore.functions.text import REDACTED, redact_secrets
 from buildlore.operators.scale import attach_counts, first_rows
 
@@ -14,10 +14,9 @@ FILE_CAP = 150
 
 def with_reason(files: DataFrame, subpath: Column | None = None, binary: bool = False) -> DataFrame:
     """Adds `reason`: null for files to keep, else the first of path, hardening and content rules that rejects them."""
-    hard = hardening_reason(F.col("path"))
     rules = [
         exclusion_reason(F.col("path"), subpath, F.col("size_bytes")),
-        F.when(hard.isNotNull(), F.concat(F.lit("skipped — "), hard)),
+        F.concat(F.lit("skipped — "), hardening_reason(F.col("path"))),
     ]
     if binary:
         rules.append(F.when(is_binary_content(F.col("content")), F.lit("skipped — binary file")))
@@ -32,6 +31,18 @@ def split_files(files: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return kept, skipped
 
 
+FEW_NAMES = 8
+
+
+def directory_counts(files: DataFrame) -> DataFrame:
+    """(directory, times) for the directories above every file. A path of few different names is counted before its names become rows."""
+    named = files.select(parents(normalize(F.col("path"))).alias("_names")).withColumn("_own", F.array_distinct("_names"))
+    told = lambda n: lambda d: F.struct(d.alias("directory"), n(d).cast("bigint").alias("times"))
+    counted = F.transform("_own", told(lambda d: F.size("_names") - F.size(F.array_remove("_names", d))))
+    rows = F.when(F.size("_own") <= FEW_NAMES, counted).otherwise(F.transform("_names", told(lambda d: F.lit(1))))
+    return named.select(F.explode(rows).alias("_d")).select("_d.*")
+
+
 def file_cap(files: DataFrame, cap: int = FILE_CAP) -> tuple[DataFrame, DataFrame]:
     """(files of repositories within the cap, rejected repositories with their count)."""
     counts = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("file_count"))

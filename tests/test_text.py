@@ -1,5 +1,6 @@
 import html
 import random
+import time
 
 import pytest
 from plain import chunks_of, spans_of
@@ -9,6 +10,7 @@ from buildlore.functions import paths as P
 from buildlore.functions import rules as R
 from buildlore.functions import text as X
 from buildlore.operators import chunking as K
+from buildlore.operators import corpus
 from buildlore.operators import extraction as E
 from buildlore.operators import resolution as J
 from buildlore.operators import verification as C
@@ -201,3 +203,30 @@ def test_best_scores_keep_the_smaller_of_equal_ids():
         want = sorted(range(50), key=lambda c: (-scores[r, c], ids[c]))[:7]
         assert column[row == r].tolist() == want
     assert QUERY_ROWS * ITEM_ROWS * 8 <= 256 << 20
+
+
+def test_long_paths_are_read_once(spark):
+    """Rules of very deep and very long paths: one search each, the same answers as for short ones."""
+    paths = ["d/" * 40000 + "x.py", "d/" * 40000 + "Build/" + "e/" * 40000 + "x.py", "y" * 300000 + ".py", "./" * 30 + "a//b.PNG"]
+    rows = [(i, p) for i, p in enumerate(paths)]
+    df = spark.createDataFrame(rows, "id int, path string")
+    path = F.col("path")
+    start = time.monotonic()
+    got = {r[0]: tuple(r[1:]) for r in df.unionAll(df).select("id", P.exclusion_reason(path), P.hardening_reason(path)).collect()}
+    assert time.monotonic() - start < 20
+    deep = "Path depth ({}) exceeds maximum allowed limit of 20 levels."
+    assert got == {
+        0: (None, deep.format(40001)), 1: ("skipped — ignored directory 'Build'", deep.format(80002)),
+        2: (None, "Filename 'yyyyyyyyyyyyyyyyyyyy...' length (300003) exceeds maximum limit of 255 characters."), 3: ("skipped — binary file", None),
+    }
+
+
+def test_directories_are_counted_before_they_are_rows(spark):
+    many = "/".join(f"m{i}" for i in range(12)) + "/m3/x.py"
+    df = spark.createDataFrame([("d/" * 5000 + "e/x.py",), (many,), ("top.py",)], "path string")
+    rows = corpus.directory_counts(df).collect()
+    assert len(rows) == 2 + 13
+    total = {}
+    for name, times in rows:
+        total[name] = total.get(name, 0) + times
+    assert total == {"d": 5000, "e": 1, **{f"m{i}": 1 for i in range(12)}, "m3": 2}
