@@ -219,13 +219,30 @@ def latency_report(logs: DataFrame, keys: list[str], wall_seconds: float) -> Dat
 def trailing_counts(failures: DataFrame, keys: list[str], seconds: int = 60, threshold: int = 5) -> DataFrame:
     """failures(keys..., id, t) plus how many fell in the trailing window, and whether that is a breach.
 
-    Time is cut into slices of one window length; each row is also shown to the next slice, so a slice can be counted
-    without its neighbours and no window spans a key.
+    A count in a window is the place of its end less the place of its beginning among all rows of the key. Places come from time slices of
+    one window length: running counts inside a slice, and the rows of all slices before. So the work does not depend on how many rows a window holds.
     """
-    slices = failures.withColumn("_slice", F.floor(F.col("t") / F.lit(seconds)))
-    shown = slices.withColumn("_own", F.lit(True)).unionByName(slices.withColumn("_slice", F.col("_slice") + 1).withColumn("_own", F.lit(False)))
-    frame = Window.partitionBy(*keys, "_slice").orderBy("t").rangeBetween(-seconds, 0)
-    return shown.withColumn("recent", F.count(F.lit(1)).over(frame)).filter("_own").drop("_slice", "_own").withColumn("breach", F.col("recent") >= threshold)
+    slice_of = F.floor(F.col("_spot") / F.lit(seconds)).alias("_slice")
+    at = failures.groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("_n"))
+    ends = at.select(*keys, "t", F.col("t").cast("double").alias("_spot"), F.lit(1).alias("_end"), "_n")
+    begins = at.select(*keys, "t", (F.col("t") - F.lit(seconds)).cast("double").alias("_spot"), F.lit(0).alias("_end"), F.lit(0).cast("bigint").alias("_n"))
+    points = ends.unionByName(begins).select("*", slice_of)
+    per_slice = points.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_all"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_slice.select(*keys, "_slice", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_base"))
+    # a window's beginning comes before the rows of the same time, which are in the window
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_spot", "_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = _joined(points.withColumn("_place", F.sum("_n").over(inside)), base, [*keys, "_slice"]).withColumn("_place", F.col("_place") + F.col("_base"))
+    upto = lambda end: F.max(F.when(F.col("_end") == end, F.col("_place")))
+    counts = placed.groupBy(*keys, "t").agg((upto(1) - upto(0)).alias("recent"))
+    return _joined(failures, counts, [*keys, "t"]).withColumn("breach", F.col("recent") >= threshold)
+
+
+def _joined(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` with the other columns of `facts`, which has one row for each of its keys; null is a key like any other."""
+    facts = facts.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(facts, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def job_points(ledger: DataFrame) -> DataFrame:

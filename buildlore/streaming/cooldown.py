@@ -41,8 +41,10 @@ def successors(rows: DataFrame, keys: list[str], cooldown: float) -> DataFrame:
     none = F.lit(None).cast(rows.schema["id"].dataType)
     both = slim.select(*keys, slice_of("t"), F.col("t").alias("spot"), F.lit(1).alias("turn"), "id", none.alias("asks"), F.lit(None).cast("double").alias("t"))
     both = both.unionByName(found.select(*keys, slice_of("spot"), "spot", F.lit(0).alias("turn"), none.alias("id"), F.col("id").alias("asks"), "t"))
-    ahead = Window.partitionBy(*keys, "slice").orderBy("spot", "turn", "id").rowsBetween(0, Window.unboundedFollowing)
-    here = both.withColumn("here", F.first("id", ignorenulls=True).over(ahead)).filter("turn = 0")
+    # from the last row back, so that a row adds to what is known and no window is read again for each of its rows
+    back = [F.col(c).desc() for c in ("spot", "turn", "id")]
+    ahead = Window.partitionBy(*keys, "slice").orderBy(*back).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = both.withColumn("here", F.last("id", ignorenulls=True).over(ahead)).filter("turn = 0")
     heads = slim.select(*keys, (slice_of("t") - 1).alias("slice"), F.struct("t", "id").alias("head")).groupBy(*keys, "slice").agg(F.min("head").alias("head"))
     out = here.join(heads, [*keys, "slice"], "left")
     return out.select(*keys, F.col("asks").alias("id"), "t", F.coalesce("here", "head.id").alias("next"))

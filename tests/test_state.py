@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlore.operators import ledger as L
 from buildlore.operators import state as S
+from buildlore.streaming import cooldown
 from buildlore.streaming import fold, streams
 
 NOW = dt.datetime(2024, 7, 1)
@@ -179,3 +180,20 @@ def test_order_statistics_with_far_outliers(spark, monkeypatch):
     assert got == {(k, i): by_key[k][i] for k, i in got} and len(got) == wanted.count()
     assert 4 < len(rounds) < 20
     assert L.values_at(df.filter("false"), ["k"], "v", wanted).collect() == []
+
+
+def test_windows_are_not_read_again_for_each_row(spark):
+    """Dense times: no frame slides over the rows of a window or looks ahead over all that follow; counts and pointers as by hand."""
+    rows = [(i, "a" if i % 3 else None, float(i // 4) / 8) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, key string, t double")
+    counted = L.trailing_counts(df, ["key"], 5, 30)
+    got = {r["id"]: (r["recent"], r["breach"]) for r in counted.collect()}
+    want = {i: sum(1 for _, k2, t2 in rows if k2 == k and t - 5 <= t2 <= t) for i, k, t in rows}
+    assert got == {i: (n, n >= 30) for i, n in want.items()}
+    keyed = df.select("id", F.lit("all").alias("key"), "t")
+    pointers = cooldown.successors(keyed, ["key"], 2.0)
+    later = lambda i, t: min(((t2, j) for j, _, t2 in rows if t2 - t >= 2.0), default=(0, None))[1]
+    assert {r["id"]: r["next"] for r in pointers.collect()} == {i: later(i, t) for i, _, t in rows}
+    for plan in (counted, pointers):
+        told = plan._jdf.queryExecution().executedPlan().toString()
+        assert "RangeFrame" not in told and "unboundedfollowing" not in told
