@@ -230,3 +230,21 @@ def test_directories_are_counted_before_they_are_rows(spark):
     for name, times in rows:
         total[name] = total.get(name, 0) + times
     assert total == {"d": 5000, "e": 1, **{f"m{i}": 1 for i in range(12)}, "m3": 2}
+
+
+def test_symbols_and_blanks_are_joined_once_by_name(spark):
+    """One join of expected and submitted symbols, two of blanks; results as by hand."""
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Join ")
+    shape = "attempt string, {} int, name string, kind string, arg_count int, args array<string>"
+    e = spark.createDataFrame([("a", 0, "f", "function", 1, ["x"]), ("a", 1, "G", "class", None, []), ("a", 2, "h", "function", 0, [])], shape.format("pos"))
+    s = spark.createDataFrame([("a", 0, "f", "method", 2, ["self", "x"], True), ("a", 1, "f", "method", 2, ["self", "x"], False), ("a", 2, "G", "function", 0, [], False)], shape.format("idx") + ", is_stub boolean")
+    rows, extra = C.compare_symbols(e, s)
+    assert joins(rows) == 1
+    assert {r["name"]: (r["status"], r["stub_seen"], r["match_idx"]) for r in rows.collect()} == {"f": ("present", True, 1), "G": ("missing", False, None), "h": ("missing", False, None)}
+    assert sorted(r["idx"] for r in extra.collect()) == [0, 2]
+    blanks = "attempt string, {}full_name string, name string, is_trivial boolean"
+    x = spark.createDataFrame([("a", "C.f", "f", False), ("a", "g", "g", True), ("a", "h", "h", False), ("a", "C.k", "k", False)], blanks.format(""))
+    y = spark.createDataFrame([("a", 0, "C.f", "f", True), ("a", 1, "C.f", "f", False), ("a", 2, "D.g", "g", True), ("a", 3, "D.k", "k", True)], blanks.format("idx int, "))
+    graded = C.grade_blanks(x, y)
+    assert joins(graded) == 2
+    assert {r["full_name"]: r["status"] for r in graded.collect()} == {"C.f": "implemented", "g": "implemented", "h": "missing", "C.k": "unimplemented_stub"}
