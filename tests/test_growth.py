@@ -20,3 +20,56 @@ def test_folder_hits_are_made_last(spark):
     assert sorted(tuple(r) for r in resolved.collect()) == expected
     # nothing is grouped or dealt after the lists are opened
     assert plan_of(resolved).splitlines()[0].startswith("Project") and "Aggregate" not in plan_of(resolved).split("Join")[0]
+
+
+def test_spans_are_not_made_below_the_join(spark):
+    from buildlore.catalog import retrieval as Q
+
+    plan = plan_of(Q.s2(spark, "/root/testdata/sf0.001"))
+    assert not [line for line in plan.splitlines() if "Join" in line and ("_lines" in line or "split(" in line)]
+
+
+def test_leaked_symbols_match_plain_version(spark):
+    from buildlore.operators import retrieval as R
+
+    rows = [("a", "Run the RUNNER, then stop_it; ÉTÉ", ["run", "Run", "RUN", "runner", "stop_it", "it", "Été", "gone"]), ("b", "", ["abc"]), ("c", "Abc", []), ("d", "of", ["of"]), ("e", None, ["abc"])]
+    hints = spark.createDataFrame(rows, "hint_id string, text string, names array<string>").select("hint_id", R.said_words("text").alias("said"), "names")
+    got = sorted(tuple(r) for r in R.leaked_symbols(hints).collect())
+    assert got == sorted([("a", n) for n in ("run", "Run", "RUN", "runner", "stop_it", "Été")])
+
+
+def made_files(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["Alpha", "beta", "gamma_x", "Delta", "eps", "zeta", "Eta", "theta", "iota", "a/b", "run.py", ""]
+    files = [(i, "r", i % 3, f"p{rng.randrange(1000):03}_{i}", rng.sample(words, rng.randrange(0, 9))) for i in range(40)]
+    lists = spark.createDataFrame([(f[0], f[4]) for f in files], "id int, symbols array<string>")
+    placed = spark.createDataFrame([f[:4] for f in files], "id int, repo_id string, tier_index int, path string")
+    return files, lists, placed
+
+
+def test_first_symbols_of_tiers_match_plain_version(spark):
+    from buildlore.operators import milestones as M
+
+    files, lists, placed = made_files(spark)
+    got = {}
+    for r in M.milestone_symbols(lists, placed, "id", 4).orderBy("place").collect():
+        got.setdefault(r["tier_index"], []).append(r["symbol"])
+    for t in range(3):
+        assert got[t] == sorted({s for f in files if f[2] == t for s in f[4] if s and "/" not in s and not s.endswith(".py")})[:4]
+
+
+def test_second_hints_match_plain_version(spark):
+    from buildlore.operators import milestones as M
+
+    files, lists, placed = made_files(spark)
+    got = {r["tier_index"]: r["hint"] for r in M.second_hint(placed, lists, placed, "id", most=3).collect()}
+    for t in range(3):
+        first = {}
+        for f in sorted((f for f in files if f[2] == t), key=lambda f: f[3]):
+            for s in f[4]:
+                first.setdefault(s, f[3])
+        names = [s for _, s in sorted((p, s) for s, p in first.items())][:3]
+        kinds = ["class" if s[:1].isupper() and "_" not in s else "function" for s in names]
+        assert ", ".join(f"`{s}` ({k})" for s, k in zip(names, kinds)) + ". Verify" in got[t]
