@@ -73,3 +73,20 @@ def test_second_hints_match_plain_version(spark):
         names = [s for _, s in sorted((p, s) for s, p in first.items())][:3]
         kinds = ["class" if s[:1].isupper() and "_" not in s else "function" for s in names]
         assert ", ".join(f"`{s}` ({k})" for s, k in zip(names, kinds)) + ". Verify" in got[t]
+
+
+def test_items_move_once_for_many_queries(spark):
+    import numpy as np
+    from buildlore.operators import retrieval as R
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 4, (1500, 4)).astype(float), rng.integers(0, 4, (60, 4)).astype(float)
+    q = spark.createDataFrame([("r", i, v.tolist()) for i, v in enumerate(a)] + [("none", 0, [1.0] * 4)], "repo_id string, query_id int, vector array<double>")
+    it = spark.createDataFrame([("r", f"c{i:02}", v.tolist()) for i, v in enumerate(b)], "repo_id string, item_id string, vector array<double>")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit(a) @ unit(b).T, 6)
+    got = {}
+    for r in R.vector_topk(q, it, 3, item_rows=20).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert got == {i: [f"c{j:02}" for j in np.lexsort((np.arange(60), -s))[:3]] for i, s in enumerate(scores)}
+    assert R.QUERY_ROWS > len(a) > R.SCORE_ROWS
