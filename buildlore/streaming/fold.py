@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +50,19 @@ def fold_in_order(df: DataFrame, keys: list[str], order: list[str], inputs: list
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Step, start: State, outputs: str, summary: Callable, exact: bool) -> DataFrame:
-    """`fold_in_order`, where keys of more than `ranges.ROWS` rows are cut into ranges that many tasks fold; the results are the same."""
+def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Step, start: State, outputs: str, summary: Callable, exact: bool, whole: Callable | None = None) -> DataFrame:
+    """`fold_in_order`, where keys of more than `ranges.ROWS` rows are cut into ranges that many tasks fold; the results are the same.
+
+    The rows are written once: they are counted, divided and put in order from there.
+    """
+    df, _ = write_table(df)
     long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > R.ROWS).select(*keys)
     long, place = write_table(long)
     if long.isEmpty():
         drop_table(df.sparkSession, place)
         return fold_in_order(df, keys, order, inputs, step, start, outputs)
     short = fold_in_order(df.join(long, keys, "left_anti").select(*df.columns), keys, order, inputs, step, start, outputs)
-    return short.unionByName(R.fold_long_keys(df.join(long, keys, "left_semi").select(*df.columns), keys, order, inputs, step, start, outputs, summary, exact))
+    return short.unionByName(R.fold_long_keys(df.join(long, keys, "left_semi").select(*df.columns), keys, order, inputs, step, start, outputs, summary, exact, whole))
 
 
 # Fixed values of the two limiters and the alert.
@@ -83,6 +88,40 @@ def bucket_step(capacity: int = CAPACITY, per_minute: float = REFILL_PER_MINUTE,
     return step
 
 
+SINGLE, WIDTH = 16, 1 << 12  # refused requests in a row before they are summed together, and how many are at most
+
+
+def bucket_range(capacity: int = CAPACITY, per_minute: float = REFILL_PER_MINUTE, cost: float = 1.0) -> Callable:
+    """`bucket_step` for all rows of a range at once, bit for bit: while requests are refused, what they find is a running sum."""
+    rate, full = per_minute / 60.0, float(capacity)
+
+    def run(state, columns):
+        times = columns[0].to_numpy(zero_copy_only=False)
+        tokens, since = (full, times[0]) if state is None else state
+        gains = R.gained(times, since, rate)
+        found, singles, at, refused, width = np.empty(len(gains)), gains.tolist(), 0, 0, SINGLE
+        while at < len(gains):
+            if refused < SINGLE:
+                found[at] = tokens = min(full, tokens + singles[at])
+                at, refused = at + 1, 0 if tokens >= cost else refused + 1
+                tokens -= cost if tokens >= cost else 0.0
+                continue
+            sums = np.add.accumulate(np.r_[tokens, gains[at : at + width]])[1:]  # adds one by one
+            stops = sums >= min(cost, full)
+            n = int(stops.argmax()) if stops.any() else len(sums)
+            found[at : at + n] = sums[:n]
+            tokens, at = float(sums[n - 1]) if n else tokens, at + n
+            refused, width = (0, SINGLE) if n < len(sums) else (refused, min(WIDTH, 2 * width))
+        allowed = found >= cost
+        left = np.where(allowed, found - cost, found)
+        remaining = np.where(allowed, np.maximum(0, np.floor(left)), 0)
+        reset = np.maximum(1, np.ceil((capacity - left) / rate))
+        retry = np.where(allowed, 0, np.maximum(1, np.ceil((cost - found) / rate)))
+        return (float(left[-1]), float(times[-1])), [allowed, *(v.astype(np.int32) for v in (remaining, reset, retry))]
+
+    return run
+
+
 BUCKET_OUTPUTS = "allowed boolean, remaining int, reset_seconds int, retry_after int"
 
 
@@ -91,7 +130,7 @@ def token_bucket(requests: DataFrame, capacity: int = CAPACITY, per_minute: floa
     full = capacity / (per_minute / 60.0) * (1 + 1e-9)
     runs = gap_sessions(requests, ["key"], "t", "event_id", full, "run")
     summary = lambda times: R.Refill.of(times, float(capacity), per_minute / 60.0)
-    return fold(runs, ["key", "run"], ["t", "event_id"], ["t"], bucket_step(capacity, per_minute), None, BUCKET_OUTPUTS, summary, False)
+    return fold(runs, ["key", "run"], ["t", "event_id"], ["t"], bucket_step(capacity, per_minute), None, BUCKET_OUTPUTS, summary, False, bucket_range(capacity, per_minute))
 
 
 def window_step(limit: int = WINDOW_REQUESTS, seconds: float = WINDOW_SECONDS) -> Step:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,3 +179,41 @@ def test_a_long_chain_of_alerts_takes_few_rounds(spark, monkeypatch):
 
 def test_alerts_of_no_rows(spark):
     assert fold.alerts(spark.createDataFrame([], "id int, key int, t double")).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 1e-3, 0.01, 0.3, 1.0, 5.9, 60.0, 1e4]), min_size=1, max_size=300), st.integers(1, 12), st.sampled_from([0.7, 10, 60]), st.sampled_from([1.0, 3.0]), st.sampled_from([None, (0.0, 0.0), (0.25, 0.1)]))
+def test_a_range_of_a_bucket_at_once_is_the_fold(pauses, capacity, per_minute, cost, state):
+    times = np.add.accumulate(np.array(pauses))
+    step, entered, want = fold.bucket_step(capacity, per_minute, cost), state, []
+    for t in times.tolist():
+        state, out = step(state, (t,))
+        want.append(out)
+    left, got = fold.bucket_range(capacity, per_minute, cost)(entered, [pa.array(times)])
+    assert left == state and list(zip(*(v.tolist() for v in got))) == want
+
+
+def test_requests_of_a_crowd_are_one_to_the_map(monkeypatch):
+    paid, calls = R._paid, []
+    monkeypatch.setattr(R, "_paid", lambda *a: calls.append(1) or paid(*a))
+    times = np.linspace(0.0, 61.0, 5000)
+    found = R.Refill.of(times.tolist(), 10.0, 1 / 6)
+    step, state = fold.bucket_step(), None
+    for t in times.tolist():
+        state, _ = step(state, (t,))
+    assert abs(found.after(None)[0] - state[0]) < 1e-9 and len(calls) < 200
+
+
+def test_rounding_goes_down_a_crowded_key_in_one_pass(spark, monkeypatch, many_tasks):
+    """Sums of requests that are refused differ by rounding from the map, in every range; tables written do not grow with the ranges."""
+    monkeypatch.setattr(R, "ROWS", 40)
+    monkeypatch.setattr(R, "FAN", 4)
+    rng, t, rows, written = random.Random(4), 0.0, [], []
+    for i in range(800):
+        t += rng.random() / 7
+        rows.append((i, 0, t))
+    write = R.write_table
+    monkeypatch.setattr(R, "write_table", lambda df: written.append(1) or write(df))
+    got = fold.token_bucket(spark.createDataFrame(rows, "event_id int, key int, t double")).collect()
+    assert {r.event_id: (r.allowed, r.remaining, r.reset_seconds, r.retry_after) for r in got} == plain(rows, fold.bucket_step(), None)
+    assert len(written) < 8
