@@ -144,7 +144,7 @@ def histories(spark, sf):
 
 def groups(spark, sf):
     tiers = B.tiers(spark, sf).select("repo_id", "tier_index", "is_cyclic", "path")
-    domains = O.convention_domains(B.file_table(spark, sf)).select("repo_id", "path", "domain")
+    domains = B.domain_table(spark, sf).select("repo_id", "path", "domain")
     return O.tie_groups(tiers.join(domains, ["repo_id", "path"], "left"), dated_files(spark, sf), histories(spark, sf))
 
 
@@ -177,7 +177,7 @@ def scored(spark, sf):
     refined = O.break_ties(groups(spark, sf))
     ranked = O.score(refined, histories(spark, sf)).select("repo_id", "path", "tier_index", "is_cyclic", "domain", "method", "confidence", "reason", "group_key", "rank")
     alone = O.score_isolated(G.isolated(B.file_table(spark, sf), B.edge_table(spark, sf)))
-    domains = O.convention_domains(B.file_table(spark, sf)).select("repo_id", "path", "domain")
+    domains = B.domain_table(spark, sf).select("repo_id", "path", "domain")
     alone = alone.join(domains, ["repo_id", "path"]).withColumns({"is_cyclic": F.lit(False), "group_key": F.lit(-1).cast("bigint"), "rank": F.lit(0)})
     return ranked.unionByName(alone.select(*ranked.columns))
 

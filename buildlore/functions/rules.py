@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from buildlore.functions.paths import normalize, parents, parts, splitext_ext, splitext_stem
+from buildlore.functions.paths import let, normalize, parts, splitext_ext, splitext_stem
 
 # Folder, file and extension lists of each domain.
 TEST_FOLDERS = ["tests", "test", "spec", "specs", "__tests__", "testing"]
@@ -54,13 +54,17 @@ def strings(values: list[str]) -> Column:
 
 
 def classify(path: Column, language: Column | None = None) -> Column:
-    """struct(domain, confidence) by the first rule that fits."""
-    norm = F.lower(normalize(path))
-    above = parents(norm)
-    p = parts(norm)
-    name = F.element_at(p, -1)
-    ext = splitext_ext(name)
-    stem = splitext_stem(name)
+    """struct(domain, confidence) by the first rule that fits.
+
+    What the rules ask of a path is bound by lambdas: as plain columns it would be worked out again wherever a rule names it.
+    """
+    return let(parts(F.lower(normalize(path))), lambda p: let(F.element_at(p, -1), lambda name: let(
+        F.struct(p.alias("p"), F.slice(p, 1, F.size(p) - 1).alias("above"), name.alias("name"), splitext_ext(name).alias("ext"), splitext_stem(name).alias("stem")),
+        lambda facts: _by_rules(facts, language))))
+
+
+def _by_rules(facts: Column, language: Column | None) -> Column:
+    p, above, name, ext, stem = (facts[c] for c in ("p", "above", "name", "ext", "stem"))
 
     def under(folders: list[str]) -> Column:
         return F.arrays_overlap(above, strings(folders))
@@ -89,10 +93,8 @@ def classify(path: Column, language: Column | None = None) -> Column:
         .otherwise("uncategorized")
     )
     sure = (under(CORE_FOLDERS) & code) | (known & in_core_root) | (code & (F.size(p) == 1))
-    confidence = (
-        F.when(found == "uncategorized", "low").when((found == "core") & ~sure, "medium").otherwise("high")
-    )
-    return F.struct(found.alias("domain"), confidence.alias("confidence"))
+    return let(found, lambda domain: F.struct(
+        domain.alias("domain"), F.when(domain == "uncategorized", "low").when((domain == "core") & ~sure, "medium").otherwise("high").alias("confidence")))
 
 
 # Extensions each language front-end takes, in registration order.

@@ -90,3 +90,12 @@ def test_items_move_once_for_many_queries(spark):
         got.setdefault(r["query_id"], []).append(r["item_id"])
     assert got == {i: [f"c{j:02}" for j in np.lexsort((np.arange(60), -s))[:3]] for i, s in enumerate(scores)}
     assert R.QUERY_ROWS > len(a) > R.SCORE_ROWS
+
+
+def test_a_path_is_taken_apart_once_for_all_rules(spark):
+    from buildlore.operators.ordering import convention_domains
+
+    told = convention_domains(spark.createDataFrame([("r", "src/tests/a.py"), ("r", "/README.md"), ("r", ".env.x/b.xyz"), ("r", None)], "repo_id string, path string"))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert max(plan.count(f) for f in ("regexp_extract(", "split(", "replace(")) <= 6
+    assert [(r.domain, r.confidence) for r in told.collect()] == [("tests", "high"), ("docs", "high"), ("uncategorized", "low"), ("uncategorized", "low")]
