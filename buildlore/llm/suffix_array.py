@@ -24,8 +24,9 @@ WIDTH = 1 << 16  # symbols of a string that a window sees together
 PLACE = ["text", "lane", "at"]
 
 
-def _scratch(df: DataFrame, made: list[str]) -> DataFrame:
-    out, place = write_table(df)
+def scratch(df: DataFrame, made: list[str]) -> DataFrame:
+    """`df` written once to the shared folder; `made` remembers where. Without dictionaries: hashes and ranks hardly repeat, and looking each up costs a third of the writing."""
+    out, place = write_table(df, **{"parquet.enable.dictionary": "false"})
     made.append(place)
     return out
 
@@ -73,7 +74,7 @@ def placed(df: DataFrame, keys: list[str], flags: list[str], keep: list[str], ma
     fields = [df.schema[c] for c in keep] + [StructField(c, LongType()) for c in names]
     fields = [StructField(f.name, f.dataType) for f in fields] + [StructField("range", IntegerType()), StructField("rows", LongType()), StructField("groups", LongType())]
     slim = df.select(*dict.fromkeys([*keep, *keys, *flags]))
-    told = _scratch(slim.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, StructType(fields)), made)
+    told = scratch(slim.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, StructType(fields)), made)
     ends = told.filter("rows is not null")
     size = ends.agg(F.sum("rows"), F.sum("groups")).collect()[0]
     along = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
@@ -106,7 +107,7 @@ def _suffixes(symbols: DataFrame, depth: int, made: list[str]) -> DataFrame:
         told = _suffixes(shorter, -(-depth // 3), used)
         ranked = told.select("text", F.floor(F.col("lane") / 2).cast("int").alias("lane"), (F.col("at") * 3 + F.col("lane") % 2 + 1).alias("at"), "rank")
     both = symbols.select(*PLACE, "name", F.lit(None).cast("bigint").alias("rank")).unionByName(ranked.select(*PLACE, F.lit(None).cast("bigint").alias("name"), "rank"))
-    near = _scratch(_ahead(both, ["name", "rank"]), used)
+    near = scratch(_ahead(both, ["name", "rank"]), used)
     first = near.filter(kind < 2).select(*PLACE, "name", "rank1", (kind == 0).cast("int").alias("rest"), (kind == 1).cast("int").alias("sampled"))
     second = near.filter(kind != 1).select(*PLACE, "name", "name1", "rank2", (kind == 0).cast("int").alias("rest"), (kind == 2).cast("int").alias("sampled"))
     a, _, _ = placed(first, ["name", "rank1"], ["rest", "sampled"], PLACE, used)
@@ -116,7 +117,7 @@ def _suffixes(symbols: DataFrame, depth: int, made: list[str]) -> DataFrame:
         b.select(*PLACE, F.when(kind == 0, F.col("before_sampled")).otherwise(F.col("before_rest")).alias("smaller")),
         ranked.select(*PLACE, (F.col("rank") - 1).alias("smaller")),
     ]
-    out = _scratch(told[0].unionByName(told[1]).unionByName(told[2]).groupBy(*PLACE).agg((F.sum("smaller") + 1).alias("rank")), made)
+    out = scratch(told[0].unionByName(told[1]).unionByName(told[2]).groupBy(*PLACE).agg((F.sum("smaller") + 1).alias("rank")), made)
     _drop(out, used)
     return out
 

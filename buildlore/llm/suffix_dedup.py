@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from buildlore.llm import groups as G
 from buildlore.llm import texts as T
 from buildlore.llm.base import query, table
-from buildlore.llm.suffix_array import suffix_ranks
+from buildlore.llm.suffix_array import scratch, suffix_ranks
 from buildlore.session import drop_table
 
 LENGTH = 200
 CHUNK = 1 << 22  # windows of a text that are hashed together
 SLICE = 1 << 19  # bytes of pieces that are
 WINDOWS = 1 << 16  # windows that are told together
+SAMPLED = 64  # windows a range that its ends are chosen from
 _BITS = np.uint64(24)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -282,8 +283,33 @@ def _symbols(pieces: DataFrame, sizes: Sizes) -> DataFrame:
     return pieces.mapInArrow(run, "text bigint, at bigint, word binary, ahead bigint")
 
 
-def _ranked_windows(pieces: DataFrame, ranks: DataFrame, sizes: Sizes) -> DataFrame:
-    """(tail, rank, own, piece, at) of every window: its bytes up to the next phrase, that phrase's rank, and all its bytes, by hashes."""
+def _range_of(tail: np.ndarray, rank: np.ndarray, ends: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the ends (tail, rank), in order, are at or before each (tail, rank)."""
+    tails, ranks = ends
+    at, stop = np.searchsorted(tails, tail), np.searchsorted(tails, tail, "right")
+    for k in np.flatnonzero(at < stop):
+        at[k] += np.searchsorted(ranks[at[k] : stop[k]], rank[k], "right")
+    return at
+
+
+def _ends(pieces: DataFrame, ranks: DataFrame, sizes: Sizes, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ends (tail, rank) of about equal ranges of the windows, from `SAMPLED` windows a range.
+
+    Windows of some pieces are looked at, as making all of them twice would cost as much as sorting them.
+    """
+    total = pieces.select(F.aggregate("asked", F.lit(0).cast("bigint"), lambda t, v: v - t).alias("n")).agg(F.sum("n")).collect()[0][0] or 0
+    share = min(64, max(1, total // (1024 * parts)))
+    stride = max(1, total // (share * parts * SAMPLED))
+    few = _ranked_windows(pieces.filter(F.pmod(F.xxhash64("piece"), F.lit(share)) == 0), ranks, sizes).filter(F.pmod(F.xxhash64("piece", "at"), F.lit(stride)) == 0)
+    told = sorted((r.tail, r.rank) for r in few.select("tail", "rank").collect())
+    if len(told) < parts:  # tails are hashes
+        told = [(v, 0) for v in np.linspace(-(2.0**63), 2.0**63, parts, endpoint=False).astype(np.int64).tolist()]
+    picked = [told[len(told) * k // parts] for k in range(1, parts)]
+    return np.array([t for t, _ in picked], np.int64), np.array([r for _, r in picked], np.int64)
+
+
+def _ranked_windows(pieces: DataFrame, ranks: DataFrame, sizes: Sizes, ends: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(tail, rank, own, piece, at) of every window: its bytes up to the next phrase, that phrase's rank, and all its bytes, by hashes; with `ends` its range."""
     listed = ranks.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("at", "rank"))).alias("ranks")).select(F.col("text").alias("piece"), F.col("ranks.rank").alias("ranks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,13 +331,18 @@ def _ranked_windows(pieces: DataFrame, ranks: DataFrame, sizes: Sizes) -> DataFr
                     tail, rank = key.copy(), np.zeros(len(s), np.int64)
                     tail[has], rank[has] = hashes.of(s[has], stop[has]), ranks[k[has]]
                     text = np.searchsorted(own.at, s, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (tail.view(np.int64), rank, key.view(np.int64), names[own.rows[text]], s - own.at[text])], ["tail", "rank", "own", "piece", "at"])
+                    made = [tail.view(np.int64), rank, key.view(np.int64), names[own.rows[text]], s - own.at[text]]
+                    if ends is not None:
+                        made.append(_range_of(made[0], rank, ends).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in made], columns[: len(made)])
 
-    return pieces.select("piece", "data", "asked").join(listed, "piece", "left").mapInArrow(run, "tail bigint, rank bigint, own bigint, piece bigint, at bigint")
+    columns = ["tail", "rank", "own", "piece", "at", "range"]
+    schema = "tail bigint, rank bigint, own bigint, piece bigint, at bigint" + (", range int" if ends is not None else "")
+    return pieces.select("piece", "data", "asked").join(listed, "piece", "left").mapInArrow(run, schema)
 
 
-def _repeated_windows(windows: DataFrame, made: list[str]) -> DataFrame:
-    """(piece, at) of the windows whose neighbour in order is equal."""
+def _repeated_windows(windows: DataFrame, parts: int, made: list[str]) -> DataFrame:
+    """(piece, at) of the windows, dealt over `parts` ranges, whose neighbour in order is equal."""
     names = ["range", "edge", "tail", "own", "piece", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +350,10 @@ def _repeated_windows(windows: DataFrame, made: list[str]) -> DataFrame:
         kept = None
 
         def rows(edge, columns, mask):
-            own = [c[mask] for c in columns]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), part), pa.int32()), pa.array(np.full(len(own[0]), edge), pa.int32()), *(pa.array(c) for c in own)], names)
+            own = [pa.array(c[mask]) for c in columns]
+            n = len(own[0])
+            own[:2] = own[:2] if edge else [pa.nulls(n, pa.int64())] * 2  # only ends are compared again
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, edge), pa.int32()), *own], names)
 
         first = True
         for batch in batches:
@@ -343,8 +376,8 @@ def _repeated_windows(windows: DataFrame, made: list[str]) -> DataFrame:
                 yield rows(0, kept[0], slice(0, 1))
             yield rows(2, kept[0], slice(0, 1))
 
-    ordered = windows.repartitionByRange("tail", "rank").sortWithinPartitions("tail", "rank", "own")
-    told = G.scratch(ordered.mapInArrow(run, "range int, edge int, tail bigint, own bigint, piece bigint, at bigint"), made)
+    ordered = windows.repartitionById(parts, "range").drop("range").sortWithinPartitions("tail", "rank", "own")
+    told = scratch(ordered.mapInArrow(run, "range int, edge int, tail bigint, own bigint, piece bigint, at bigint"), made)
     # windows of one tail may lie on both sides of where two ranges meet: two rows a range tell
     ends = sorted(told.filter("edge > 0").collect(), key=lambda r: (r.range, r.edge))
     more = [(r.piece, r.at) for a, b in zip(ends[1::2], ends[2::2]) if (a.tail, a.own) == (b.tail, b.own) for r in (a, b)]
@@ -374,29 +407,30 @@ def _spans(docs: DataFrame, sizes: Sizes, made: list[str]) -> DataFrame:
             drop_table(spark, place)
         tables.clear()
 
-    every = G.scratch(_all_blocks(docs, sizes), used)
+    every = scratch(_all_blocks(docs, sizes), used)
     kinds = every.groupBy("anchor", "kind").agg(F.count(F.lit(1)).alias("n"))
-    kinds = G.scratch(kinds, used)
+    kinds = scratch(kinds, used)
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor", F.lit(True).alias("several"))
     told = kinds.join(several, "anchor", "left").filter("several or n > 1")
-    told = G.scratch(told.select("anchor", "kind", F.col("kind").alias("id"), "n", F.coalesce("several", F.lit(False)).alias("several")), used)
+    told = scratch(told.select("anchor", "kind", F.col("kind").alias("id"), "n", F.coalesce("several", F.lit(False)).alias("several")), used)
     near = G.likely_members(every.withColumn("id", F.col("kind")), told.select("id").distinct()).drop("id")
-    marked = G.scratch(near.join(told.drop("id"), ["anchor", "kind"]), made)
+    marked = scratch(near.join(told.drop("id"), ["anchor", "kind"]), made)
     drop(used)
     whole = marked.filter("n > 1").select("i", "j", "first", "stop")
     offered = marked.filter("several").groupBy("anchor", "kind").agg(F.min(F.struct("i", "j", "first", "stop")).alias("b")).select("b.*")
     asked = offered.groupBy("i", "j").agg(F.collect_list(F.struct("first", "stop")).alias("asked")).withColumn("id", F.col("i"))
-    asked = G.scratch(asked, used)
+    asked = scratch(asked, used)
     texts = G.likely_members(docs.select("i", "j", "_text").withColumn("id", F.col("i")), asked.select("id").distinct()).drop("id")
-    pieces = G.scratch(_narrowed(G.scratch(_pieces(texts.join(asked.drop("id"), ["i", "j"]), sizes), used), sizes), made)
+    pieces = scratch(_narrowed(scratch(_pieces(texts.join(asked.drop("id"), ["i", "j"]), sizes), used), sizes), made)
     drop(used)
-    symbols = G.scratch(_symbols(pieces, sizes), cut)
+    symbols = scratch(_symbols(pieces, sizes), cut)
     depth = symbols.agg(F.max("ahead")).collect()[0][0]
     found = whole
     if depth is not None or not pieces.isEmpty():
         ranks = suffix_ranks(symbols.drop("ahead"), (depth or 0) + 1, made)
         drop(cut)
-        hits = _repeated_windows(_ranked_windows(pieces, ranks, sizes), made)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        hits = _repeated_windows(_ranked_windows(pieces, ranks, sizes, _ends(pieces, ranks, sizes, parts)), parts, made)
         own = pieces.select("piece", "i", "j", "start")
         runs = _runs(hits).join(own, "piece").select("i", "j", (F.col("first") + F.col("start")).alias("first"), (F.col("stop") + F.col("start")).alias("stop"))
         found = found.unionByName(runs)
@@ -433,7 +467,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     try:
         keyed = _keyed(docs)
-        spans = G.scratch(_spans(keyed, sizes, made), kept := [])
+        spans = scratch(_spans(keyed, sizes, made), kept := [])
         schema = f"doc_id {kind}, n_bytes bigint, removed array<struct<start: bigint, stop: bigint>>, kept binary"
         return keyed.join(spans, ["i", "j"], "left").select("_key", "_text", "runs").mapInArrow(run, schema)
     finally:

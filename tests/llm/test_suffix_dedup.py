@@ -96,3 +96,13 @@ def test_query_against_a_count_of_all_windows(spark):
     want = {r.doc_id: (n, sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept).hexdigest()) for r, (n, gone, kept) in zip(rows, brute([r.text for r in rows], 200))}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.op12_suffix_dedup(spark, sf).collect()}
     assert got == want and any(w[2] for w in want.values())
+
+
+def test_ranges_of_windows_follow_their_order():
+    draw = random.Random(3)
+    pairs = [(draw.choice([-9, -1, 0, 4, 7]), draw.randrange(6)) for _ in range(300)]
+    for n in (0, 1, 5, 40):
+        ends = sorted(draw.choices(pairs, k=n))
+        tails, ranks = (np.array([e[k] for e in ends], np.int64) for k in (0, 1))
+        got = D._range_of(*(np.array([p[k] for p in pairs], np.int64) for k in (0, 1)), (tails, ranks))
+        assert got.tolist() == [sum(e <= p for e in ends) for p in pairs]
