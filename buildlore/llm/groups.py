@@ -7,7 +7,7 @@ compares two blocks; small groups are packed, many to a task. So no task holds m
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlore.llm.texts import mix
+from buildlore.llm.texts import mix, release
 from buildlore.operators.graph import connected_components
 from buildlore.session import write_table
 
@@ -141,7 +141,7 @@ def verify(members: DataFrame, texts: DataFrame, rows: int, least: Fraction, set
         payload = texts.join(lists, "id")
     full = tasks(members, rows).join(payload, "id")
 
-    def run(table: pa.Table) -> pa.Table:
+    def compared(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         group, ids, own, weight = (table[c].to_numpy() for c in ("group", "id", "own", "weight"))
         i, j = int(table["i"][0].as_py()), int(table["j"][0].as_py())
@@ -168,6 +168,11 @@ def verify(members: DataFrame, texts: DataFrame, rows: int, least: Fraction, set
         alone = np.concatenate([np.full(len(m), k % 2 == 0) for k, m in enumerate(found_mates)]) if found_mates else np.zeros(0, bool)
         return pa.table({"id": pa.array(cat(found_ids), pa.int64()), "mate": pa.array(mates, pa.int64(), mask=alone), "links": pa.array(cat(found_links), pa.int64())})
 
+    def run(table: pa.Table) -> pa.Table:
+        out = compared(table)
+        release()
+        return out
+
     return full.groupBy("task").applyInArrow(run, "id bigint, mate bigint, links bigint")
 
 
@@ -233,6 +238,22 @@ def likely(ids: DataFrame) -> Likely:
     return Likely(ids.sparkSession.sparkContext.broadcast(filled.view(np.uint8)), bits)
 
 
+def likely_batches(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """`likely_members` for rows that tasks read in Python: the rows, and what the reading function does to its batches first.
+
+    So one worker does both. Two in a row are two workers a core, and each lives on after its task.
+    """
+    if ids.count() * 8 > FILTER_BITS:
+        return rows.join(ids, "id", "left_semi"), lambda batches: batches
+    wanted = likely(ids)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.holds(batch.column(batch.schema.get_field_index("id")).to_numpy())))
+
+    return rows, keep
+
+
 def likely_members(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows (id, ...) whose id is among the distinct `ids`, and few others: for a join that follows and should not move every text.
 

@@ -211,11 +211,12 @@ def _blocks(docs: DataFrame, keeps, single: bool) -> DataFrame:
     return docs.mapInArrow(run, f"id bigint, {_PLACES}, a bigint, b bigint")
 
 
-def line_texts(docs: DataFrame) -> DataFrame:
-    """(id, text) of every line of at least `LEAST_WORDS` words: its first hash, and itself."""
+def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of every line of at least `LEAST_WORDS` words of the texts with one of the distinct `ids`, and of few others: its first hash, and itself."""
+    docs, keep = G.likely_batches(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cut in _cuts(batches):
+        for _, cut in _cuts(keep(batches)):
             first, last = (cut.starts[cut.first], cut.ends[cut.stop - 1]) if len(cut.first) else (cut.first, cut.first)
             lines = [cut.data[x:y].tobytes().decode() for x, y in zip(first, last)]
             yield pa.RecordBatch.from_arrays([pa.array(cut.a), pa.array(lines, pa.string())], ["id", "text"])
@@ -373,7 +374,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", marks: boo
     wanted = members.select("id").distinct()
     held = G.scratch(lines.join(wanted, lines["a"] == wanted["id"], "left_semi").select(F.col("doc").alias("id")).distinct(), made)
     # the documents that hold candidate lines are read again, and only the lines of those move
-    texts = line_texts(G.likely_members(slim, held)).dropDuplicates(["id"]).withColumn("weight", F.lit(1).cast("bigint"))
+    texts = line_texts(slim, held).dropDuplicates(["id"]).withColumn("weight", F.lit(1).cast("bigint"))
     found = G.scratch(G.verify(members, texts, members.count(), SIMILARITY, line_sets, False).filter("mate is not null").select("id", "mate"), made)
     # a line's class is its component, or else its own words
     linked = G.components(found).withColumnRenamed("id", "a")

@@ -59,7 +59,11 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         stop = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
         yield start, stop
         start = stop
-    # a worker lives on after its task; what Arrow and numpy have freed goes back to the machine
+    release()
+
+
+def release() -> None:
+    """Give what Arrow and numpy have freed back to the machine; a worker lives on after its task."""
     pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)

@@ -8,7 +8,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline as C
-from buildlore.llm import byte_bpe
+from buildlore.llm import byte_bpe, groups, paragraph_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +73,42 @@ def test_planted_cases(spark, tmp_path):
     for k, r in out.items():
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == encode(text[k])
         assert r.decoded_sha256 == hashlib.sha256(text[k].encode()).hexdigest()
+
+
+def _python_feeds_python(node, above=False):
+    """Whether a task of the plan hands rows from one Python worker to another."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        node = node.initialPlan()
+    python = "InArrow" in node.nodeName()
+    if python and above:
+        return True
+    above = "Exchange" not in node.nodeName() and (above or python)
+    children = node.children()
+    return any(_python_feeds_python(children.apply(i), above) for i in range(children.size()))
+
+
+def test_a_task_of_the_dedup_stages_needs_one_python_worker(spark, monkeypatch):
+    """Each worker more stays with its executor for the rest of the session."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert _python_feeds_python(docs.mapInArrow(lambda b: b, docs.schema).mapInArrow(lambda b: b, docs.schema)._jdf.queryExecution().executedPlan())
+    written, write = [], groups.write_table
+
+    def seen(df, **options):
+        written.append(_python_feeds_python(df._jdf.queryExecution().executedPlan()))
+        return write(df, **options)
+
+    monkeypatch.setattr(groups, "write_table", seen)
+    monkeypatch.setattr(paragraph_dedup, "write_table", seen)
+    for stage in (C.drop_near_copies, C.cut_repeats):
+        docs = C.materialize(stage(spark, docs, SF))
+    assert len(written) > 20 and not any(written)
+
+
+def test_lines_of_wanted_texts_are_the_same_by_filter_and_by_join(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS id", "text AS _text")
+    ids = docs.select("id").filter("id % 7 = 0").distinct()
+    lines = lambda: {tuple(r) for r in paragraph_dedup.line_texts(docs, ids).collect()}
+    found, every = lines(), {tuple(r) for r in paragraph_dedup.line_texts(docs, docs.select("id").distinct()).collect()}
+    monkeypatch.setattr(groups, "FILTER_BITS", 1)
+    joined = lines()
+    assert joined and joined <= found < every
