@@ -16,6 +16,8 @@ from buildlore.operators import verification as C
 
 E = "attempt string, pos int, name string, kind string, arg_count int, args array<string>"
 S = "attempt string, idx int, name string, kind string, arg_count int, args array<string>, is_stub boolean"
+X = "attempt string, full_name string, name string, is_trivial boolean"
+Y = "attempt string, idx int, full_name string, name string, is_trivial boolean"
 
 
 def rows(df):
@@ -44,6 +46,15 @@ def test_lists_of_symbols_give_the_rows_of_the_join(spark, seed):
         assert rows(now) == rows(was)
 
 
+def test_lists_of_blanks_give_the_rows_of_the_joins(spark):
+    r = random.Random(3)
+    names = ["f", "g", "C.f", "C.g", "D.f", None]
+    x = [(r.choice(["a", "b", "only", None]), r.choice(names), r.choice(names), r.choice([True, False, None])) for _ in range(80)]
+    y = [(a, i, r.choice(names), r.choice(names), r.choice([True, False, None])) for i, a in enumerate(r.choices(["a", "b", "other", None], k=80))]
+    x, y = spark.createDataFrame(x, X), spark.createDataFrame(y, Y)
+    assert rows(C.grade_blanks(lists(x), lists(y))) == rows(C.grade_blanks(x, y))
+
+
 def test_pairs_of_one_name_are_held_in_blocks(monkeypatch):
     monkeypatch.setattr(listed, "PAIRS", 7)
     key, other = np.array([3, -1, 3, 5, 3]), np.array([3, 5, -1, 3, 3, 8])
@@ -81,3 +92,16 @@ def test_symbols_are_no_rows_before_they_have_met(spark, folder, name):
     assert rows(df) == rows(want.select(*df.columns))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and ", name#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+@pytest.mark.parametrize("name", ["j13_blank_grading", "j13_blank_verdicts"])
+def test_blanks_are_no_rows_before_they_have_met(spark, folder, name, monkeypatch):
+    catalog.load()
+    grade, sides = C.grade_blanks, []
+    monkeypatch.setattr(C, "grade_blanks", lambda *both: sides.extend(both) or grade(*both))
+    df = QUERIES[name](spark, folder)
+    flat = grade(*(side.select("attempt", F.inline("symbols")) for side in sides))
+    want = {"j13_blank_grading": flat, "j13_blank_verdicts": C.blank_verdicts(flat)}[name]
+    assert rows(df) == rows(want.select(*df.columns)) and rows(df)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and ", full_name#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
